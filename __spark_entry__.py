@@ -120,12 +120,9 @@ def _history(w: Workspace, side: str) -> DataFrame:
 
 
 def _review_fill(w: Workspace) -> DataFrame:
-    on_orders = order_base.lookup(
-        w.tables["orders"].select("order_id"),
-        order_base.counted_reviews(w.tables["reviews"]),
-        "order_id",
-    )
-    return order_base.review_fill(on_orders)
+    orders = w.tables["orders"].select("order_id")
+    counted = order_base.counted_reviews(w.tables["reviews"])
+    return order_base.review_fill(order_base.with_reviews(orders, counted))
 
 
 def _filter_domains(w: Workspace) -> DataFrame:

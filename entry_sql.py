@@ -465,8 +465,8 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
             ", edges AS (SELECT CAST(min(actual_delivery_days) AS DOUBLE) AS lo,"
             " (max(actual_delivery_days) - min(actual_delivery_days)) / 30.0 AS width"
             " FROM delivered),"
-            " binned AS (SELECT CAST(coalesce(least(floor((actual_delivery_days - lo)"
-            " / nullif(CAST(width AS DOUBLE), 0)), 29), 0) AS INT) AS bin, lo,"
+            " binned AS (SELECT CAST(least(coalesce(floor((actual_delivery_days - lo)"
+            " / nullif(CAST(width AS DOUBLE), 0)), 0), 29) AS INT) AS bin, lo,"
             " CAST(width AS DOUBLE) AS width"
             " FROM delivered, edges WHERE actual_delivery_days IS NOT NULL)"
             " SELECT bin, round(lo + bin * width, 6) AS bin_start,"

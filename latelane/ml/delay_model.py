@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from latelane.ml.scaling import CategoryText, MedianScaler
 from latelane.operators.evaluation import classification_report, roc_auc
 from latelane.operators.split import ROW_KEYS, SEED, TEST_SHARE, stratified_split
-from latelane.sources.scratch import written
+from latelane.sources.scratch import spread_partitions, written
 
 # The model's input columns, seed and forest size.
 NUMERIC = [
@@ -86,7 +86,7 @@ def build_pipeline(trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int = S
                 impurity="gini",
                 featureSubsetStrategy="sqrt",
                 seed=seed,
-                maxMemoryInMB=1024,
+                maxMemoryInMB=512,
                 cacheNodeIds=True,
             ),
         ]
@@ -128,6 +128,9 @@ def train(
     the scored row included, so the quality measured is on the optimistic side.
     """
     rows = written(training_rows(delivered), "training_rows")
-    split = written(stratified_split(rows, "label", share, seed), "split")
+    split = stratified_split(rows, "label", share, seed)
+    # The forest passes over its rows once per batch of tree nodes: use every core.
+    partitions = spread_partitions(rows.sparkSession, rows.count())
+    split = written(split.repartition(partitions), "split")
     model = build_pipeline(trees, max_depth, seed).fit(split.where("not is_test"))
     return TrainedModel(model, written(scored(model, split.where("is_test")), "test_scores"))

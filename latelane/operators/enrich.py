@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from latelane.functions.columns import all_present, ratio, sorted_distinct_list, sum_or_zero
-from latelane.operators.joins import SMALL_ROWS, hot_keys, lookup
+from latelane.operators.joins import ROW, SMALL_ROWS, hot_keys, lookup, with_row_number
 from latelane.operators.selection import exact_medians
 
 UNKNOWN_CATEGORY = "unknown"  # fixed value
@@ -71,9 +71,10 @@ def items_with_products(
     )
     hot = hot_keys(items, ["product_id"], small_rows)["product_id"]
     return (
-        lookup(items, products, "product_id", hot, ["order_id", "order_item_id"])
+        with_row_number(items)
+        .transform(lookup, products, "product_id", hot)
         .transform(lookup, categories, "product_category_name")
-        .drop("product_category_name")
+        .drop("product_category_name", ROW)
     )
 
 

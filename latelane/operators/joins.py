@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+ROW = "_row"
 SALTS = 64
 HOT_SHARE = 0.001
 # Below this many rows even a single task holding all of them is no straggler.
@@ -15,31 +16,41 @@ SMALL_ROWS = 5_000_000
 def hot_keys(
     df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS
 ) -> dict[str, list]:
-    """Per column, values that may hold more than a 1/1000 share of the rows.
+    """Per column, the present values holding more than a HOT_SHARE of the rows.
 
-    One pass with bounded memory and no shuffle (a frequent-items sketch): at most 1000
-    values per column, never missing a hot one. Some may be cold, which costs a few
-    spare copies of lookup rows but never changes a result.
+    A frequent-items sketch names at most 1/HOT_SHARE candidates per column and misses
+    no hot value; it takes one pass, bounded memory and no shuffle. A second pass counts
+    the candidates. ``df`` should be a scan.
     """
-    if df.count() <= small_rows:
+    rows = df.count()
+    if rows <= small_rows:
         return {c: [] for c in columns}
-    found = df.freqItems(list(columns), HOT_SHARE).first()
-    return {c: [v for v in found[f"{c}_freqItems"] if v is not None] for c in columns}
+    candidates = df.freqItems(list(columns), HOT_SHARE).first()
 
+    def confirmed(column: str) -> list:
+        values = [v for v in candidates[f"{column}_freqItems"] if v is not None]
+        counts = df.where(F.col(column).isin(values)).groupBy(column).count()
+        return [r[0] for r in counts.where(F.col("count") > rows * HOT_SHARE).collect()]
 
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    hot: Sequence = (),
-    spread: Sequence[str] = (),
-) -> DataFrame:
+    return {c: confirmed(c) for c in columns}
+
+
+def with_row_number(scan: DataFrame) -> DataFrame:
+    """A number per row to spread hot keys by.
+
+    It depends on the file splits alone, so a task that runs again numbers its rows the
+    same way. For scans only: rows coming out of a shuffle have no fixed order.
+    """
+    return scan.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: Sequence = ()) -> DataFrame:
     """Left outer join on ``key`` where a missing key matches a missing key.
 
     Catalyst broadcasts the right side when it is under the session's broadcast
-    threshold. Otherwise both sides shuffle on the key; rows of the keys in ``hot``, and
-    of the missing key, are then spread over SALTS partitions by a hash of the
-    ``spread`` columns, and the few right rows of those keys are copied to each.
+    threshold. Otherwise both sides shuffle on the key. If ``hot`` names values, rows of
+    those and of the missing key are spread over SALTS partitions by their row number
+    (``with_row_number``), and the right rows of those few keys are copied to each.
     """
     right_key = f"_{key}"
     right = right.withColumnRenamed(key, right_key)
@@ -50,7 +61,7 @@ def lookup(
     def is_hot(c: str) -> Column:
         return F.col(c).isNull() | F.col(c).isin(list(hot))
 
-    salt = F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.col(ROW), F.lit(SALTS)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
     left = left.withColumn("_salt", F.when(is_hot(key), salt).otherwise(0))
     right = right.withColumn(

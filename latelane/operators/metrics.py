@@ -137,7 +137,7 @@ def delivery_days_histogram(df: DataFrame, bins: int = DELIVERY_BINS) -> DataFra
     )
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.floor((F.col("actual_delivery_days") - F.col("lo")) / F.nullif(width, F.lit(0.0)))
-    bin_number = F.coalesce(F.least(place, F.lit(bins - 1)), F.lit(0)).cast("int")
+    bin_number = F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
         counts.crossJoin(F.broadcast(edges))  # one row
         .groupBy(bin_number.alias("bin"), "lo", width.alias("width"))

@@ -23,7 +23,7 @@ from latelane.operators.enrich import (
     located_sellers,
     payments_per_order,
 )
-from latelane.operators.joins import SMALL_ROWS, hot_keys, lookup, repeated
+from latelane.operators.joins import ROW, SMALL_ROWS, hot_keys, lookup, repeated, with_row_number
 from latelane.operators.selection import histogram_median
 from latelane.sources.scratch import written
 
@@ -55,23 +55,46 @@ def counted_reviews(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("order_id", "review_score").agg(F.count("*").alias("copies"))
 
 
+def with_reviews(orders: DataFrame, counted: DataFrame) -> DataFrame:
+    """Orders left-joined to their counted scores; a missing id matches a missing id.
+
+    The main join is a plain one on ``order_id``, which keeps the orders partitioned the
+    way the joins around it need. Reviews without an id, a row per score, are broadcast
+    to the orders without one.
+    """
+    unnamed = counted.where("order_id is null").select(
+        F.lit(1).alias("_unnamed"),
+        F.col("review_score").alias("_score"),
+        F.col("copies").alias("_copies"),
+    )
+    without_id = F.when(F.col("order_id").isNull(), 1) == F.col("_unnamed")
+    return (
+        orders.join(counted.where("order_id is not null"), "order_id", "left")
+        .join(F.broadcast(unnamed), without_id, "left")
+        .withColumn("review_score", F.coalesce("review_score", "_score"))
+        .withColumn("copies", F.coalesce("copies", "_copies", F.lit(1)))
+        .drop("_unnamed", "_score", "_copies")
+    )
+
+
 def order_facts(tables: Mapping[str, DataFrame], geo: DataFrame, small_rows: int) -> DataFrame:
     """Orders with customer, payments, review scores and items, reviews still counted.
 
     After the customer lookup every join is on ``order_id``, and the sides joined in are
     aggregated to a row (reviews: a row per score) of an order first.
     """
-    orders = delivery_columns(tables["orders"])
     hot = hot_keys(tables["orders"], ["customer_id"], small_rows)["customer_id"]
+    orders = with_row_number(delivery_columns(tables["orders"]))
     customers = located_customers(tables["customers"], geo)
+    items = items_per_order(items_with_products(tables, small_rows))
     return (
-        lookup(orders, customers, "customer_id", hot, ["order_id"])
+        lookup(orders, customers, "customer_id", hot)
+        .drop(ROW)
         .join(payments_per_order(tables["payments"]), "order_id", "left")
-        .transform(lookup, counted_reviews(tables["reviews"]), "order_id")
-        .join(items_per_order(items_with_products(tables, small_rows)), "order_id", "left")
+        .join(items, "order_id", "left")
+        .transform(with_reviews, counted_reviews(tables["reviews"]))
         .withColumns(
             {
-                "copies": F.coalesce("copies", F.lit(1)),
                 "freight_ratio": freight_ratio("freight_value", "revenue"),
                 "payment_type_primary": first_token("payment_types"),
                 "payment_installments": F.coalesce(
@@ -125,16 +148,16 @@ def build_order_base(
     ).withColumn("seller_id", F.coalesce("seller_id", "_id")).drop("_id")
     customer_side = late_history(facts, "customer_id", "customer_orders", "customer_late_rate")
 
-    spread = ["order_id", "review_score"]
     base = (
-        facts.transform(lookup, seller_side, "seller_id", hot["seller_id"], spread)
-        .transform(lookup, customer_side, "customer_id", hot["customer_id"], spread)
+        with_row_number(facts)
+        .transform(lookup, seller_side, "seller_id", hot["seller_id"])
+        .transform(lookup, customer_side, "customer_id", hot["customer_id"])
         .crossJoin(F.broadcast(review_fill(facts)))  # one row
         .withColumn("review_score", F.coalesce(F.col("review_score").cast("double"), "fill_score"))
         .withColumn(
             "distance_km",
             great_circle_km("customer_lat", "customer_lng", "seller_lat", "seller_lng"),
         )
-        .drop("fill_score")
+        .drop("fill_score", ROW)
     )
     return repeated(base, "copies", facts)
