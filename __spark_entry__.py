@@ -298,6 +298,9 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
             metrics.top(metrics.delay_ranking(w.delivered, "customer_state"), metrics.TOP_TABLE),
             revenue=2,
         ),
+        "delay_table_formatted": lambda w: metrics.delay_formatted(
+            metrics.top(metrics.delay_ranking(w.delivered, "customer_state"), metrics.TOP_TABLE)
+        ).select("customer_state", "revenue_text", "late_rate_text", "median_delay_text"),
         "revenue_by_date": lambda w: _rounded(
             _texts(metrics.revenue_by_date(w.delivered)), revenue=2
         ),

@@ -447,6 +447,14 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
             _DELAYS + " ORDER BY late_rate DESC NULLS LAST, median_delay DESC NULLS LAST,"
             " customer_state LIMIT 10",
         ),
+        "delay_table_formatted": _sql(
+            "base",
+            "SELECT customer_state, format('{:,.2f}', coalesce(sum(revenue), 0)) AS revenue_text,"
+            " concat(format('{:.2f}', avg(CAST(is_late AS INT)) * 100), '%') AS late_rate_text,"
+            " format('{:.1f}', median(delivery_delay)) AS median_delay_text FROM delivered"
+            " WHERE customer_state IS NOT NULL GROUP BY 1 ORDER BY avg(CAST(is_late AS INT)) DESC,"
+            " median(delivery_delay) DESC NULLS LAST, customer_state LIMIT 10",
+        ),
         "revenue_by_date": _sql(
             "base",
             _revenue(

@@ -88,8 +88,12 @@ def _as_text(c: ColumnOrName, pattern: str) -> Column:
 
 
 # Display formats of the headline figures.
+def amount_text(c: ColumnOrName) -> Column:
+    return _as_text(c, "#,##0.00")
+
+
 def money_text(c: ColumnOrName) -> Column:
-    return F.concat(F.lit("R$ "), _as_text(c, "#,##0.00"))
+    return F.concat(F.lit("R$ "), amount_text(c))
 
 
 def days_text(c: ColumnOrName) -> Column:

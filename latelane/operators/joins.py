@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ROW = "_row"
-SALTS = 64
 HOT_SHARE = 0.001
 # Below this many rows even a single task holding all of them is no straggler.
 SMALL_ROWS = 5_000_000
 
+Ways = Mapping[object, int]
+
 
 def hot_keys(
     df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS
-) -> dict[str, list]:
-    """Per column, the present values holding more than a HOT_SHARE of the rows.
+) -> dict[str, Ways]:
+    """Per column, the values with more rows than an even shuffle partition has.
 
-    A frequent-items sketch names at most 1/HOT_SHARE candidates per column and misses
-    no hot value; it takes one pass, bounded memory and no shuffle. A second pass counts
-    the candidates. ``df`` should be a scan.
+    Each comes with the number of partitions its rows would fill. A frequent-items
+    sketch names at most 1/HOT_SHARE candidates per column and misses none above that
+    share; it takes one pass, bounded memory and no shuffle. A second pass counts the
+    candidates and the missing values. ``df`` should be a scan.
     """
     rows = df.count()
     if rows <= small_rows:
-        return {c: [] for c in columns}
+        return {c: {} for c in columns}
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = df.freqItems(list(columns), HOT_SHARE).first()
 
-    def confirmed(column: str) -> list:
+    def ways(column: str) -> Ways:
         values = [v for v in candidates[f"{column}_freqItems"] if v is not None]
-        counts = df.where(F.col(column).isin(values)).groupBy(column).count()
-        return [r[0] for r in counts.where(F.col("count") > rows * HOT_SHARE).collect()]
+        counts = (
+            df.where(F.col(column).isin(values) | F.col(column).isNull())
+            .groupBy(F.col(column).alias("value"))
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") * partitions > rows)
+            .collect()
+        )
+        return {r["value"]: ceil(r["n"] * partitions / rows) for r in counts}
 
-    return {c: confirmed(c) for c in columns}
+    return {c: ways(c) for c in columns}
 
 
 def with_row_number(scan: DataFrame) -> DataFrame:
@@ -44,13 +54,13 @@ def with_row_number(scan: DataFrame) -> DataFrame:
     return scan.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, hot: Sequence = ()) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, hot: Ways | None = None) -> DataFrame:
     """Left outer join on ``key`` where a missing key matches a missing key.
 
     Catalyst broadcasts the right side when it is under the session's broadcast
-    threshold. Otherwise both sides shuffle on the key. If ``hot`` names values, rows of
-    those and of the missing key are spread over SALTS partitions by their row number
-    (``with_row_number``), and the right rows of those few keys are copied to each.
+    threshold. Otherwise both sides shuffle on the key. Rows of a ``hot`` value are then
+    dealt to as many partitions as ``hot`` says, by their row number
+    (``with_row_number``), and the right rows of that value are copied to each.
     """
     right_key = f"_{key}"
     right = right.withColumnRenamed(key, right_key)
@@ -58,15 +68,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: Sequence = ()) -> D
     if not hot:
         return left.join(right, match, "left").drop(right_key)
 
-    def is_hot(c: str) -> Column:
-        return F.col(c).isNull() | F.col(c).isin(list(hot))
-
-    salt = F.pmod(F.col(ROW), F.lit(SALTS)).cast("int")
-    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    left = left.withColumn("_salt", F.when(is_hot(key), salt).otherwise(0))
-    right = right.withColumn(
-        "_copy", F.explode(F.when(is_hot(right_key), copies).otherwise(F.array(F.lit(0))))
+    schema = T.StructType(
+        [T.StructField("_hot", left.schema[key].dataType), T.StructField("_ways", T.IntegerType())]
     )
+    ways = left.sparkSession.createDataFrame(list(hot.items()), schema)
+
+    def with_ways(df: DataFrame, c: str) -> DataFrame:
+        # At most 1/HOT_SHARE rows and the missing value.
+        known = df.join(F.broadcast(ways), F.col(c).eqNullSafe(F.col("_hot")), "left")
+        return known.withColumn("_ways", F.coalesce("_ways", F.lit(1))).drop("_hot")
+
+    salt = F.pmod(F.col(ROW), F.col("_ways")).cast("int")
+    left = with_ways(left, key).withColumn("_salt", salt).drop("_ways")
+    copies = F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))
+    right = with_ways(right, right_key).withColumn("_copy", copies).drop("_ways")
     match = match & (F.col("_salt") == F.col("_copy"))
     return left.join(right, match, "left").drop(right_key, "_salt", "_copy")
 

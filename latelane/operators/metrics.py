@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from latelane.functions.columns import (
+    amount_text,
     all_present,
     days_text,
     late_share,
@@ -93,6 +94,16 @@ def delay_ranking(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def delay_formatted(ranking: DataFrame) -> DataFrame:
+    """The delay ranking as display text, next to the numbers."""
+    return ranking.select(
+        "*",
+        amount_text("revenue").alias("revenue_text"),
+        percent_text("late_rate").alias("late_rate_text"),
+        plain_text("median_delay", 1).alias("median_delay_text"),
+    )
+
+
 def top(ranking: DataFrame, rows: int) -> DataFrame:
     return ranking.limit(rows)
 

@@ -12,15 +12,16 @@ from latelane.sources.scratch import written
 # Groups up to this size go through Spark's own exact median.
 GROUP_ROWS = 1_000_000
 CELLS = 1024
+BROADCAST_ROWS = 100_000
 
 
 def kth_values(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The k-th smallest ``value`` per group, for the (keys, k) rows of ``targets``.
+    """The k-th smallest ``value`` per group, for the (keys, rank) rows of ``targets``.
 
     Each pass counts the values of a group's current interval in up to CELLS equal
     cells, a map-side-combined aggregate, keeps the cell the rank falls in and shrinks
     the interval to the smallest and largest value seen there. It ends when the interval
-    is one value. Returns keys, k, value and below (how many values are smaller).
+    is one value. Returns keys, rank, value and below (how many values are smaller).
     """
     keys = list(keys)
     bounds = values.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -28,19 +29,21 @@ def kth_values(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Da
     state = written(state, "ranks")
     while not state.where("lo < hi").isEmpty():
         open_ranks = state.where("lo < hi")
+        if open_ranks.count() <= BROADCAST_ROWS:
+            open_ranks = F.broadcast(open_ranks)
         cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
                        F.lit(CELLS - 1))
         cells = (
             values.join(open_ranks, keys)
             .where("value between lo and hi")
-            .groupBy(*keys, "k", "below", cell.alias("cell"))
+            .groupBy(*keys, "rank", "below", cell.alias("cell"))
             .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
         )
         # At most CELLS rows per rank from here on.
-        so_far = Window.partitionBy(*keys, "k").orderBy("cell")
+        so_far = Window.partitionBy(*keys, "rank").orderBy("cell")
         narrowed = (
             cells.withColumn("upto", F.col("below") + F.sum("n").over(so_far))
-            .where(F.col("upto") >= F.col("k"))
+            .where(F.col("upto") >= F.col("rank"))
             .withColumn("place", F.row_number().over(so_far))
             .where("place = 1")
             .withColumn("below", F.col("upto") - F.col("n"))
@@ -56,7 +59,7 @@ def _middle_ranks(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
         values.groupBy(*keys)
         .agg(F.count("*").alias("n"))
-        .select(*keys, F.explode(middles).alias("k"))
+        .select(*keys, F.explode(middles).alias("rank"))
     )
 
 

@@ -40,7 +40,7 @@ def stratified_split(
     known = sizes.limit(100).collect()  # the labels of a classification: two rows here
     if any(r["n"] < 2 for r in known):
         raise ValueError(f"a stratified split needs two rows of each {label}")
-    wanted = sizes.select(label, F.round(F.col("n") * share).cast("bigint").alias("k"))
+    wanted = sizes.select(label, F.round(F.col("n") * share).cast("bigint").alias("rank"))
     key = hash_text(row_keys, seed)
     rest = [c for c in df.columns if c != label]
     if sum(r["n"] for r in known) <= group_rows:
@@ -48,14 +48,14 @@ def stratified_split(
         return (
             _numbered(df, [label], order)
             .join(F.broadcast(wanted), label)  # a row per label
-            .withColumn("is_test", F.col("_rank") <= F.col("k"))
+            .withColumn("is_test", F.col("_rank") <= F.col("rank"))
             .select(*df.columns, "is_test")
         )
     hashed = df.withColumn("value", hash_number(key))
-    ranks = wanted.where("k > 0")
+    ranks = wanted.where("rank > 0")
     edges = (
         kth_values(hashed.select(label, "value"), ranks, [label])
-        .select(label, F.col("k").alias("_k"), F.col("value").alias("_edge"),
+        .select(label, F.col("rank").alias("_k"), F.col("value").alias("_edge"),
                 F.col("below").alias("_below"))
     )
     placed = hashed.join(F.broadcast(edges), label, "left")  # a row per label

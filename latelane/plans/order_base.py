@@ -126,6 +126,16 @@ def review_fill(facts: DataFrame) -> DataFrame:
     return histogram.agg(histogram_median("review_score", "n").alias("fill_score"))
 
 
+def seller_lookup(sellers: DataFrame, history: DataFrame) -> DataFrame:
+    """Place and history of every seller id in either table."""
+    places = sellers.withColumnRenamed("seller_id", "_id")
+    return (
+        places.join(history, F.col("_id").eqNullSafe(F.col("seller_id")), "full")
+        .withColumn("seller_id", F.coalesce("seller_id", "_id"))
+        .drop("_id")
+    )
+
+
 def build_order_base(
     tables: Mapping[str, DataFrame],
     approximate_geo: bool = False,
@@ -134,24 +144,21 @@ def build_order_base(
     """The enriched order table, at order and review grain.
 
     The joined facts are written once; the seller history, customer history, review
-    median and final lookups each scan only the columns they need of them. Seller place
-    and seller history are looked up in a single join.
+    median and final lookups each scan only the columns they need of them. Centroids and
+    sellers are written too: Catalyst then knows their real size, and when it is under
+    the broadcast threshold neither customers nor facts are shuffled to meet them.
     """
-    geo = geo_centroids(tables["geolocation"], approximate_geo)
+    geo = written(geo_centroids(tables["geolocation"], approximate_geo), "centroids")
     facts = written(order_facts(tables, geo, small_rows), "order_facts")
     hot = hot_keys(facts, ["seller_id", "customer_id"], small_rows)
 
     history = late_history(facts, "seller_id", "seller_orders", "seller_late_rate")
-    sellers = located_sellers(tables["sellers"], geo)
-    seller_side = sellers.withColumnRenamed("seller_id", "_id").join(
-        history, F.col("_id").eqNullSafe(F.col("seller_id")), "full"
-    ).withColumn("seller_id", F.coalesce("seller_id", "_id")).drop("_id")
-    customer_side = late_history(facts, "customer_id", "customer_orders", "customer_late_rate")
-
+    sellers = seller_lookup(located_sellers(tables["sellers"], geo), history)
+    customers = late_history(facts, "customer_id", "customer_orders", "customer_late_rate")
     base = (
         with_row_number(facts)
-        .transform(lookup, seller_side, "seller_id", hot["seller_id"])
-        .transform(lookup, customer_side, "customer_id", hot["customer_id"])
+        .transform(lookup, written(sellers, "sellers"), "seller_id", hot["seller_id"])
+        .transform(lookup, customers, "customer_id", hot["customer_id"])
         .crossJoin(F.broadcast(review_fill(facts)))  # one row
         .withColumn("review_score", F.coalesce(F.col("review_score").cast("double"), "fill_score"))
         .withColumn(

@@ -30,7 +30,7 @@ def mart_tables(base: DataFrame) -> dict[str, DataFrame]:
         "top_states": metrics.top(states, metrics.TOP_CHART),
         "top_categories": metrics.top(categories, metrics.TOP_CHART),
         "late_states": metrics.top(delays, metrics.TOP_CHART),
-        "delay_table": metrics.top(delays, metrics.TOP_TABLE),
+        "delay_table": metrics.delay_formatted(metrics.top(delays, metrics.TOP_TABLE)),
         "revenue_by_date": metrics.revenue_by_date(delivered),
         "month_profile": metrics.month_profile(delivered),
         "delivery_days_histogram": metrics.delivery_days_histogram(delivered),

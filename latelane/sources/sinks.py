@@ -23,5 +23,7 @@ def write_json_records(df: DataFrame, path: str) -> str:
 
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV with a header and doubled quotes, as ``load_tables`` reads it."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(
+        path, header=True, escape='"', emptyValue=""
+    )
     return path

@@ -10,8 +10,11 @@ def hot_orders(spark, n=3000):
 
 def test_hot_keys_are_found_and_confirmed(spark):
     df = hot_orders(spark)
-    assert joins.hot_keys(df, ["k", "i"], small_rows=0) == {"k": ["hot"], "i": []}
-    assert joins.hot_keys(df, ["k"]) == {"k": []}
+    # A third, and a seventh of the rest, of 3000 rows over 8 partitions.
+    assert joins.hot_keys(df, ["k", "i"], small_rows=0) == {"k": {"hot": 3}, "i": {}}
+    mostly = df.withColumn("k", joins.F.when(joins.F.col("i") > 600, joins.F.col("k")))
+    assert joins.hot_keys(mostly, ["k"], small_rows=0)["k"][None] == 3
+    assert joins.hot_keys(df, ["k"]) == {"k": {}}
 
 
 def test_salted_lookup_equals_plain_lookup(spark):
@@ -21,7 +24,7 @@ def test_salted_lookup_equals_plain_lookup(spark):
         "k string, v string",
     )
     plain = joins.lookup(left, right, "k")
-    salted = joins.lookup(left, right, "k", ["hot"])
+    salted = joins.lookup(left, right, "k", {"hot": 5, None: 3})
     assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, salted.collect()))
     assert salted.columns == plain.columns
     got = {r["i"]: r["v"] for r in salted.where("i in (0, 7, 2, 4)").collect()}
@@ -34,7 +37,7 @@ def test_salted_lookup_spreads_the_hot_key(spark):
     try:
         left = joins.with_row_number(hot_orders(spark))
         right = spark.createDataFrame([("hot", "H"), ("k1", "one")], "k string, v string")
-        joined = joins.lookup(left, right, "k", ["hot"]).where("k = 'hot'")
+        joined = joins.lookup(left, right, "k", {"hot": 64}).where("k = 'hot'")
         sizes = joined.selectExpr("spark_partition_id() p").groupBy("p").count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -58,9 +58,9 @@ def test_even_count_interpolates(spark):
 )
 def test_kth_value_and_how_many_are_below(spark, values, data):
     k = data.draw(st.integers(1, len(values)))
-    df = spark.createDataFrame([("g", v) for v in values], "k_ string, value double")
-    targets = spark.createDataFrame([("g", k)], "k_ string, k bigint")
-    row = kth_values(df, targets, ["k_"]).first()
+    df = spark.createDataFrame([("g", v) for v in values], "k string, value double")
+    targets = spark.createDataFrame([("g", k)], "k string, rank bigint")
+    row = kth_values(df, targets, ["k"]).first()
     expected = sorted(values)[k - 1]
     assert row["value"] == expected
     assert row["below"] == sum(v < expected for v in values)
