@@ -328,6 +328,12 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
             evaluation.classification_report(_rule_scores(w))
         ),
         "drift_tier_by_state": lambda w: _rounded(_drift_by_state(w)),
+        "historical_late_rate": lambda w: _rounded(drift.historical_late_rate(w.delivered)),
+        "report_headline": lambda w: pipeline.report_headline(pipeline.mart_tables(w.base)).select(
+            "total_revenue_text", "avg_ticket_text", "avg_delivery_days_text", "late_rate_text",
+            "avg_review_score_text", "top_category", "top_category_revenue_text", "top_state",
+            "top_state_revenue_text", "latest_state", "latest_state_late_rate_text",
+        ),
         "csv_roundtrip": _csv_roundtrip,
         "late_model_scores": lambda w: _rounded(w.trained.test_scores, score=6),
         "late_model_metrics": lambda w: _rounded(_model_metrics(w)),

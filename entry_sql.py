@@ -230,6 +230,29 @@ _KPIS = """SELECT round(coalesce(sum(revenue), 0), 2) AS total_revenue,
   round(avg(CAST(is_late AS INT)), 6) AS late_rate,
   round(avg(review_score), 6) AS avg_review_score FROM delivered"""
 
+_KPI_TEXTS = """concat('R$ ', format('{:,.2f}', coalesce(sum(revenue), 0))) AS total_revenue_text,
+  concat('R$ ', format('{:,.2f}', avg(revenue))) AS avg_ticket_text,
+  concat(format('{:.1f}', avg(actual_delivery_days)), ' dias') AS avg_delivery_days_text,
+  concat(format('{:.2f}', avg(CAST(is_late AS INT)) * 100), '%') AS late_rate_text,
+  format('{:.2f}', avg(review_score)) AS avg_review_score_text"""
+
+_LEADERS = f""", by_category AS (
+  SELECT category_most_common AS top_category, coalesce(sum(revenue), 0) AS r FROM delivered
+  WHERE category_most_common IS NOT NULL GROUP BY 1 ORDER BY r DESC, 1 LIMIT 1),
+by_state AS (
+  SELECT customer_state AS top_state, coalesce(sum(revenue), 0) AS r FROM delivered
+  WHERE customer_state IS NOT NULL GROUP BY 1 ORDER BY r DESC, 1 LIMIT 1),
+by_delay AS (
+  SELECT customer_state AS latest_state, avg(CAST(is_late AS INT)) AS rate FROM delivered
+  WHERE customer_state IS NOT NULL GROUP BY 1
+  ORDER BY rate DESC, median(delivery_delay) DESC NULLS LAST, 1 LIMIT 1),
+headline AS (SELECT {_KPI_TEXTS} FROM delivered)
+SELECT headline.*, top_category,
+  concat('R$ ', format('{{:,.2f}}', by_category.r)) AS top_category_revenue_text, top_state,
+  concat('R$ ', format('{{:,.2f}}', by_state.r)) AS top_state_revenue_text, latest_state,
+  concat(format('{{:.2f}}', rate * 100), '%') AS latest_state_late_rate_text
+FROM headline, by_category, by_state, by_delay"""
+
 _DELAYS = """SELECT customer_state, round(avg(CAST(is_late AS INT)), 6) AS late_rate,
   median(delivery_delay) AS median_delay, round(coalesce(sum(revenue), 0), 2) AS revenue
   FROM delivered WHERE customer_state IS NOT NULL GROUP BY 1"""
@@ -422,16 +445,7 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
         "review_fill": _sql("base", "SELECT median(given_score) AS fill_score FROM joined"),
         "order_base": _sql("base", f"SELECT {_BASE_COLUMNS} FROM base"),
         "kpi_summary": _sql("base", _KPIS),
-        "kpi_formatted": _sql(
-            "base",
-            "SELECT concat('R$ ', format('{:,.2f}', coalesce(sum(revenue), 0)))"
-            " AS total_revenue_text,"
-            " concat('R$ ', format('{:,.2f}', avg(revenue))) AS avg_ticket_text,"
-            " concat(format('{:.1f}', avg(actual_delivery_days)), ' dias')"
-            " AS avg_delivery_days_text,"
-            " concat(format('{:.2f}', avg(CAST(is_late AS INT)) * 100), '%') AS late_rate_text,"
-            " format('{:.2f}', avg(review_score)) AS avg_review_score_text FROM delivered",
-        ),
+        "kpi_formatted": _sql("base", f"SELECT {_KPI_TEXTS} FROM delivered"),
         "revenue_by_category": _sql("base", _revenue("category_most_common")),
         "revenue_by_state": _sql("base", _revenue("customer_state")),
         "delay_by_state": _sql("base", _DELAYS),
@@ -557,5 +571,10 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
         "auc_of_score": _sql("base", _RANKED_AUC),
         "classification_report_of_score": _sql("base", _REPORT),
         "drift_tier_by_state": _sql("base", _TIERS),
+        "historical_late_rate": _sql(
+            "base",
+            "SELECT round(avg(CAST(is_late AS INT)), 6) AS baseline_late_rate FROM delivered",
+        ),
+        "report_headline": _sql("base", _LEADERS),
         "csv_roundtrip": _sql("tables", _CSV_COUNTS),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from latelane.functions.columns import all_present, ratio, sorted_distinct_list, sum_or_zero
 from latelane.operators.joins import ROW, SMALL_ROWS, hot_keys, lookup, with_row_number
 from latelane.operators.selection import exact_medians
+from latelane.sources.scratch import written
 
 UNKNOWN_CATEGORY = "unknown"  # fixed value
 
@@ -54,28 +55,33 @@ def payments_per_order(payments: DataFrame) -> DataFrame:
     )
 
 
-def items_with_products(
+def categorised_products(
     tables: Mapping[str, DataFrame], small_rows: int = SMALL_ROWS
 ) -> DataFrame:
-    """Items with product measures and the English category name.
+    """Product measures with the English category name, written once.
 
-    Each dimension is joined as the plain scan it is, so that Catalyst sees its size and
-    broadcasts it when it is under the session's threshold.
+    Written, Catalyst knows its real size when items are joined to it.
     """
     products = tables["products"].select("product_id", "product_category_name", *PRODUCT_MEANS)
     categories = tables["categories"].select(
         "product_category_name", "product_category_name_english"
     )
+    name = "product_category_name"
+    hot = hot_keys(products, [name], small_rows)[name]
+    named = with_row_number(products).transform(lookup, categories, name, hot).drop(name, ROW)
+    return written(named, "products")
+
+
+def items_with_products(
+    tables: Mapping[str, DataFrame], small_rows: int = SMALL_ROWS
+) -> DataFrame:
+    """Items with product measures and the English category name."""
     items = tables["items"].select(
         "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
     )
     hot = hot_keys(items, ["product_id"], small_rows)["product_id"]
-    return (
-        with_row_number(items)
-        .transform(lookup, products, "product_id", hot)
-        .transform(lookup, categories, "product_category_name")
-        .drop("product_category_name", ROW)
-    )
+    products = categorised_products(tables, small_rows)
+    return with_row_number(items).transform(lookup, products, "product_id", hot).drop(ROW)
 
 
 def _most_frequent(value: str) -> Column:

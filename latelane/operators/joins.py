@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ROW = "_row"
 HOT_SHARE = 0.001
+# Slices per partition a hot key would fill: slices land on partitions by hash, and many
+# small ones even out.
+SLICES = 4
 # Below this many rows even a single task holding all of them is no straggler.
 SMALL_ROWS = 5_000_000
 
@@ -20,8 +23,8 @@ def hot_keys(
 ) -> dict[str, Ways]:
     """Per column, the values with more rows than an even shuffle partition has.
 
-    Each comes with the number of partitions its rows would fill. A frequent-items
-    sketch names at most 1/HOT_SHARE candidates per column and misses none above that
+    Each comes with the number of slices to cut its rows into. A frequent-items sketch
+    names at most 1/HOT_SHARE candidates per column and misses none above that
     share; it takes one pass, bounded memory and no shuffle. A second pass counts the
     candidates and the missing values. ``df`` should be a scan.
     """
@@ -40,7 +43,7 @@ def hot_keys(
             .where(F.col("n") * partitions > rows)
             .collect()
         )
-        return {r["value"]: ceil(r["n"] * partitions / rows) for r in counts}
+        return {r["value"]: ceil(r["n"] * partitions * SLICES / rows) for r in counts}
 
     return {c: ways(c) for c in columns}
 
@@ -59,8 +62,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, hot: Ways | None = None)
 
     Catalyst broadcasts the right side when it is under the session's broadcast
     threshold. Otherwise both sides shuffle on the key. Rows of a ``hot`` value are then
-    dealt to as many partitions as ``hot`` says, by their row number
-    (``with_row_number``), and the right rows of that value are copied to each.
+    dealt to as many slices as ``hot`` says, by their row number (``with_row_number``),
+    and the right rows of that value are copied to each.
     """
     right_key = f"_{key}"
     right = right.withColumnRenamed(key, right_key)

@@ -15,6 +15,11 @@ CELLS = 1024
 BROADCAST_ROWS = 100_000
 
 
+def _broadcast_if_few(rows: DataFrame) -> DataFrame:
+    """Broadcast hint for a written table whose row count is under the bound."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def kth_values(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The k-th smallest ``value`` per group, for the (keys, rank) rows of ``targets``.
 
@@ -28,9 +33,7 @@ def kth_values(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> Da
     state = targets.join(bounds, keys).withColumn("below", F.lit(0).cast("bigint"))
     state = written(state, "ranks")
     while not state.where("lo < hi").isEmpty():
-        open_ranks = state.where("lo < hi")
-        if open_ranks.count() <= BROADCAST_ROWS:
-            open_ranks = F.broadcast(open_ranks)
+        open_ranks = _broadcast_if_few(state.where("lo < hi"))
         cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
                        F.lit(CELLS - 1))
         cells = (
@@ -94,9 +97,9 @@ def exact_medians(
         return _selected_medians(df, keys, columns)
     # No more than rows / group_rows groups can be this large.
     large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
-    large = large.select(*keys)
     if large.isEmpty():
         return df.groupBy(*keys).agg(*medians)
+    large = _broadcast_if_few(written(large.select(*keys), "large_keys"))
     small_groups = df.join(large, list(keys), "left_anti").groupBy(*keys).agg(*medians)
     large_rows = written(df.join(large, list(keys), "left_semi"), "large_groups")
     searched = _selected_medians(large_rows, keys, columns)

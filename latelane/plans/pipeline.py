@@ -48,16 +48,12 @@ def _leader(ranking: DataFrame, key: str, value: str, prefix: str) -> DataFrame:
     return first.agg(F.first(key).alias(prefix), F.first(value).alias(f"{prefix}_{value}"))
 
 
-def report_summary(
-    marts: Mapping[str, DataFrame], trained: TrainedModel, drift: DataFrame
-) -> DataFrame:
-    """One row with the headline figures, the model's quality and the drift result."""
+def report_headline(marts: Mapping[str, DataFrame]) -> DataFrame:
+    """One row: the headline figures and the leader of each ranking."""
     parts = [
         _leader(marts["revenue_by_category"], "category_most_common", "revenue", "top_category"),
         _leader(marts["revenue_by_state"], "customer_state", "revenue", "top_state"),
         _leader(marts["delay_by_state"], "customer_state", "late_rate", "latest_state"),
-        trained.auc(),
-        drift,
     ]
     report = marts["kpi_summary"]
     for part in parts:
@@ -67,6 +63,19 @@ def report_summary(
             "top_category_revenue_text": money_text("top_category_revenue"),
             "top_state_revenue_text": money_text("top_state_revenue"),
             "latest_state_late_rate_text": percent_text("latest_state_late_rate"),
+        }
+    )
+
+
+def report_summary(
+    marts: Mapping[str, DataFrame], trained: TrainedModel, drift: DataFrame
+) -> DataFrame:
+    """The headline row with the model's quality and the drift result added."""
+    report = report_headline(marts)
+    for part in (trained.auc(), drift):
+        report = report.crossJoin(F.broadcast(part))  # one row each
+    return report.withColumns(
+        {
             "roc_auc_text": plain_text("roc_auc", 4),
             "expected_late_rate_text": percent_text("expected_late_rate"),
             "baseline_late_rate_text": percent_text("baseline_late_rate"),

@@ -10,10 +10,10 @@ def hot_orders(spark, n=3000):
 
 def test_hot_keys_are_found_and_confirmed(spark):
     df = hot_orders(spark)
-    # A third, and a seventh of the rest, of 3000 rows over 8 partitions.
-    assert joins.hot_keys(df, ["k", "i"], small_rows=0) == {"k": {"hot": 3}, "i": {}}
+    # A third of the rows over 8 partitions of 4 slices.
+    assert joins.hot_keys(df, ["k", "i"], small_rows=0) == {"k": {"hot": 11}, "i": {}}
     mostly = df.withColumn("k", joins.F.when(joins.F.col("i") > 600, joins.F.col("k")))
-    assert joins.hot_keys(mostly, ["k"], small_rows=0)["k"][None] == 3
+    assert joins.hot_keys(mostly, ["k"], small_rows=0)["k"][None] == 9
     assert joins.hot_keys(df, ["k"]) == {"k": {}}
 
 
