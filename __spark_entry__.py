@@ -219,6 +219,10 @@ def _csv_roundtrip(w: Workspace) -> DataFrame:
     return result
 
 
+def _mart(w: Workspace, name: str) -> DataFrame:
+    return pipeline.mart_tables(w.base)[name]
+
+
 def _filtered(w: Workspace, **filters: str) -> DataFrame:
     return cubes.filtered(w.cube, **filters)
 
@@ -301,6 +305,9 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         "delay_table_formatted": lambda w: metrics.delay_formatted(
             metrics.top(metrics.delay_ranking(w.delivered, "customer_state"), metrics.TOP_TABLE)
         ).select("customer_state", "revenue_text", "late_rate_text", "median_delay_text"),
+        "state_top12": lambda w: _rounded(_mart(w, "top_states"), revenue=2),
+        "category_top12": lambda w: _rounded(_mart(w, "top_categories"), revenue=2),
+        "late_state_top12": lambda w: _rounded(_mart(w, "late_states"), revenue=2),
         "revenue_by_date": lambda w: _rounded(
             _texts(metrics.revenue_by_date(w.delivered)), revenue=2
         ),
@@ -311,6 +318,9 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         "date_bounds": lambda w: metrics.date_bounds(w.delivered),
         "dashboard_cube": lambda w: _rounded(cubes.dashboard_cube(w.delivered)),
         "cube_json": lambda w: _rounded(_cube_json(w)),
+        "cube_rollup": lambda w: _rounded(
+            cubes.rolled_up(w.cube, ["customer_state", "purchase_month"], cubes.MEASURES)
+        ),
         "page_kpis": lambda w: _rounded(cubes.cube_kpis(w.cube)),
         "filtered_kpis": lambda w: _rounded(cubes.cube_kpis(_filtered(w, **FILTERS))),
         "filtered_revenue_by_date": lambda w: _rounded(_chart(w, "revenue_by_date", **FILTERS)),
@@ -318,6 +328,9 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         "filtered_category_top12": lambda w: _rounded(_chart(w, "top_categories", **DATES)),
         "filtered_late_state_top12": lambda w: _rounded(_chart(w, "late_states", **DATES)),
         "filtered_late_month": lambda w: _rounded(_chart(w, "late_months", **FILTERS)),
+        "training_rows": lambda w: _rounded(
+            delay_model.training_rows(w.delivered), revenue=6
+        ),
         "stratified_split_counts": lambda w: _split_counts(w.split),
         "approximate_split_counts": lambda w: _split_counts(_approximate_split(w)),
         "holdout_sample": _holdout_sample,

@@ -458,9 +458,22 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
         ),
         "delay_state_top10": _sql(
             "base",
-            _DELAYS + " ORDER BY late_rate DESC NULLS LAST, median_delay DESC NULLS LAST,"
+            _DELAYS + " ORDER BY avg(CAST(is_late AS INT)) DESC, median_delay DESC NULLS LAST,"
             " customer_state LIMIT 10",
         ),
+        "state_top12": _sql(
+            "base", _revenue("customer_state") + " ORDER BY revenue DESC, customer_state LIMIT 12"
+        ),
+        "category_top12": _sql(
+            "base",
+            _revenue("category_most_common")
+            + " ORDER BY revenue DESC, category_most_common LIMIT 12",
+        ),
+        "late_state_top12": _sql(
+            "base",
+            _DELAYS + " ORDER BY avg(CAST(is_late AS INT)) DESC, median_delay DESC NULLS LAST,"
+            " customer_state LIMIT 12",
+        ),
         "delay_table_formatted": _sql(
             "base",
             "SELECT customer_state, format('{:,.2f}', coalesce(sum(revenue), 0)) AS revenue_text,"
@@ -520,6 +533,14 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
             "cube",
             "SELECT * REPLACE (round(sum_revenue, 2) AS sum_revenue) FROM cube_rows",
         ),
+        "cube_rollup": _sql(
+            "cube",
+            "SELECT customer_state, purchase_month, round(sum(sum_revenue), 2) AS sum_revenue,"
+            " CAST(sum(sum_late) AS BIGINT) AS sum_late,"
+            " CAST(sum(sum_delivery_days) AS BIGINT) AS sum_delivery_days,"
+            " sum(sum_review_score) AS sum_review_score,"
+            " CAST(sum(order_count) AS BIGINT) AS order_count FROM cube_rows GROUP BY 1, 2",
+        ),
         "page_kpis": _sql("cube", _CUBE_KPIS),
         "filtered_kpis": _sql("cube", f"{_CUBE_KPIS} {chosen}"),
         "filtered_revenue_by_date": _sql(
@@ -551,6 +572,14 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
             f" round(sum(sum_late) / sum(order_count), 6) AS late_rate FROM cube_rows {chosen}"
             " GROUP BY 1",
         ),
+        "training_rows": _sql(
+            "base",
+            "SELECT order_id, review_score, CAST(is_late AS DOUBLE) AS label, "
+            + ", ".join(
+                f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in NUMERIC
+            )
+            + f", {', '.join(CATEGORICAL)} FROM delivered",
+        ),
         "stratified_split_counts": _sql(
             "split",
             "SELECT label, is_test, count(*) AS n, CAST(sum(order_id) AS BIGINT) AS id_total"

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from latelane.functions.columns import all_present, ratio, sorted_distinct_list, sum_or_zero
+from latelane.functions.columns import all_present, sorted_distinct_list, sum_or_zero
 from latelane.operators.joins import ROW, SMALL_ROWS, hot_keys, lookup, with_row_number
 from latelane.operators.selection import exact_medians
 from latelane.sources.scratch import written
@@ -90,48 +90,35 @@ def _most_frequent(value: str) -> Column:
     return F.min(F.when(F.col(value).isNotNull(), ranked))["value"]
 
 
-def items_per_order(items: DataFrame) -> DataFrame:
-    """Totals, means, distinct counts and modes per order, in two aggregation steps.
+def _item_measures(items: DataFrame) -> DataFrame:
+    """Totals and means per order: fixed-size sums, combined on the map side."""
+    return items.groupBy("order_id").agg(
+        F.count("order_item_id").alias("total_items"),
+        sum_or_zero("price").alias("revenue"),
+        sum_or_zero("freight_value").alias("freight_value"),
+        F.avg("price").alias("avg_item_price"),
+        *[F.avg(m).alias(name) for m, name in PRODUCT_MEANS.items()],
+    )
+
 
-    Each item gives one row carrying its seller and the measures and one carrying its
-    category. Counting those per (order, seller) and (order, category) first spreads
-    even a single huge order over many tasks and combines on the map side; the second
-    step sees each distinct value of an order once. Nothing is collected per order.
+def _item_modes(items: DataFrame) -> DataFrame:
+    """Distinct counts and modes of categories and sellers per order.
+
+    An item gives one row for its seller and one for its category. Counting those per
+    (order, seller) and (order, category) first spreads even a single huge order over
+    many tasks and combines on the map side; the second step sees each distinct value
+    of an order once. Nothing is collected per order.
     """
-    measures = ["price", "freight_value", *PRODUCT_MEANS]
-    seller_side = F.struct(
-        F.col("seller_id"),
-        F.lit(None).cast("string").alias("category"),
-        F.col("order_item_id").isNotNull().cast("bigint").alias("item"),
-        *[F.col(m).cast("double").alias(m) for m in measures],
-    )
-    category_side = F.struct(
-        F.lit(None).cast(items.schema["seller_id"].dataType).alias("seller_id"),
-        F.col("product_category_name_english").alias("category"),
-        F.lit(None).cast("bigint").alias("item"),
-        *[F.lit(None).cast("double").alias(m) for m in measures],
-    )
+    category = F.col("product_category_name_english").alias("category")
+    no_seller = F.lit(None).cast(items.schema["seller_id"].dataType).alias("seller_id")
+    no_category = F.lit(None).cast("string").alias("category")
+    sides = F.array(F.struct("seller_id", no_category), F.struct(no_seller, category))
     counted = (
-        all_present(items, ["order_id"])
-        .select("order_id", F.inline(F.array(seller_side, category_side)))
+        items.select("order_id", F.inline(sides))
         .groupBy("order_id", "seller_id", "category")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum("item").alias("item"),
-            *[F.sum(m).alias(m) for m in measures],
-            *[F.count(m).alias(f"{m}_n") for m in measures if m != "freight_value"],
-        )
+        .agg(F.count("*").alias("n"))
     )
-
-    def mean(measure: str) -> Column:
-        return ratio(F.sum(measure), F.sum(f"{measure}_n"))
-
     return counted.groupBy("order_id").agg(
-        F.sum("item").alias("total_items"),
-        sum_or_zero("price").alias("revenue"),
-        sum_or_zero("freight_value").alias("freight_value"),
-        mean("price").alias("avg_item_price"),
-        *[mean(m).alias(name) for m, name in PRODUCT_MEANS.items()],
         F.count("category").cast("int").alias("distinct_categories"),
         F.coalesce(_most_frequent("category"), F.lit(UNKNOWN_CATEGORY)).alias(
             "category_most_common"
@@ -141,6 +128,16 @@ def items_per_order(items: DataFrame) -> DataFrame:
     )
 
 
+def items_per_order(items: DataFrame) -> DataFrame:
+    """Totals, means, distinct counts and modes per order.
+
+    Both parts have a row for every order and are partitioned by it, so joining them
+    moves nothing.
+    """
+    items = all_present(items, ["order_id"])
+    return _item_measures(items).join(_item_modes(items), "order_id")
+
+
 def _with_centroid(places: DataFrame, zip_column: str, geo: DataFrame) -> DataFrame:
     return places.join(
         geo, F.col(zip_column) == F.col("geolocation_zip_code_prefix"), "left"
