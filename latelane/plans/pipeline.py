@@ -95,7 +95,7 @@ def run_pipeline(
     Each mart is written once, under ``out``; the rankings for the report are read back
     from there. The model is saved under ``out`` as well.
     """
-    base = written(build_order_base(load_tables(spark, base_path)), "order_base")
+    base = written(build_order_base(load_tables(spark, base_path, convert=True)), "order_base")
     delivered = metrics.delivered_only(base)
     paths = write_marts(mart_tables(base), out)
     marts = {name: spark.read.parquet(path) for name, path in paths.items()}

@@ -6,6 +6,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from latelane.schemas import CSV_STEMS, TABLES, required_columns
+from latelane.sources.scratch import written
+
+# Tables all of whose columns reach the enriched order table.
+PASS_THROUGH = {"orders", "customers"}
 
 # The texts read as "missing" in a CSV cell.
 MISSING_TOKENS = [
@@ -107,16 +111,28 @@ def _open_all(
 
 
 def load_tables(
-    spark: SparkSession, base: str, multiline: bool | None = None
+    spark: SparkSession, base: str, multiline: bool | None = None, convert: bool = False
 ) -> dict[str, DataFrame]:
     """The nine tables as lazy, typed DataFrames.
 
     Every table and needed column is checked first, and one error names all that is
     missing. A CSV cell that cannot be read as its declared type becomes null;
-    ``rejected_cells`` counts them.
+    ``rejected_cells`` counts them. With ``convert`` CSV tables are written as Parquet
+    first: text is then parsed once, and later scans are split and pruned. Of tables
+    whose other columns do not pass through, only the needed ones are written.
     """
+
+    def typed(table: str, kind: str, df: DataFrame) -> DataFrame:
+        if kind != "csv":
+            return _cast_columns(df, table)
+        parsed = _typed(df, table)
+        if not convert:
+            return parsed
+        needed = parsed.columns if table in PASS_THROUGH else required_columns(table)
+        return written(parsed.select(needed), table)
+
     return {
-        table: _typed(df, table) if kind == "csv" else _cast_columns(df, table)
+        table: typed(table, kind, df)
         for table, (kind, df) in _open_all(spark, base, multiline).items()
     }
 

@@ -51,7 +51,7 @@ def test_even_count_interpolates(spark):
     assert counted.agg(histogram_median("x", "n")).first()[0] == 2.5
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=40),
     st.data(),

@@ -102,6 +102,9 @@ def test_csv_keeps_every_row(spark, tmp_path):
         ids = [c for c in df.columns if c.endswith("_id") and c != "order_item_id"]
         same = df.withColumns({c: df[c].cast("string") for c in ids})
         assert loaded[name].exceptAll(same).isEmpty() and loaded[name].count() == df.count(), name
+    converted = load_tables(spark, str(tmp_path), convert=True)
+    assert converted["orders"].exceptAll(loaded["orders"]).isEmpty()
+    assert converted["reviews"].columns == ["order_id", "review_score"]
 
 
 def test_json_records_keep_nulls(spark, tmp_path):
