@@ -355,6 +355,21 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
     }
 
 
+def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL twins of the ``llm`` subpackage and the pipeline, none if it is absent."""
+    try:
+        import corpus_pipeline
+        from latelane.llm.queries import ORACLES, QUERIES
+    except ModuleNotFoundError as missing:
+        if missing.name not in {"corpus_pipeline", "latelane.llm", "latelane.llm.queries"}:
+            raise
+        return {}, {}
+    twins = dict(ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        twins["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, twins
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """States with the highest share of late deliveries."""
     return queries()["delay_state_top10"](spark, "/root/testdata/sf0.001")
@@ -366,9 +381,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(query: Callable[[Workspace], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: query(_workspace(spark, sf_dir))
 
-    return {name: bound(query) for name, query in _queries().items()}
+    return {name: bound(query) for name, query in _queries().items()} | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the trained forest and what depends on it have none."""
-    return oracle_queries(FILTERS)
+    return oracle_queries(FILTERS) | _llm()[1]
