@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from latelane.sources.scratch import written
 
-__all__ = ["WORDS", "cleared", "documents", "file_bytes", "lower_ascii", "map_rows", "table", "written"]
+__all__ = ["WORDS", "cleared", "documents", "file_bytes", "lower_ascii", "map_rows", "table", "with_package", "written"]
 
 # Runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -26,6 +29,20 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
+@cache
+def _shipped(application: str) -> None:
+    package = Path(__file__).resolve().parents[1]
+    archive = f"{tempfile.mkdtemp(prefix='latelane-')}/latelane"
+    path = shutil.make_archive(archive, "zip", package.parent, package.name)
+    SparkSession.active().sparkContext.addPyFile(path)
+
+
+def with_package(df: DataFrame) -> DataFrame:
+    """``df``; executors get a copy of this package (once) and can import it in tasks."""
+    _shipped(df.sparkSession.sparkContext.applicationId)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,7 +101,7 @@ def map_rows(
         if held:
             yield batch()
 
-    return df.mapInArrow(run, fields)
+    return with_package(df).mapInArrow(run, fields)
 
 
 def cleared(df: DataFrame, names: Sequence[str]) -> DataFrame:
