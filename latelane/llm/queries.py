@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latelane.llm import bpe, exact_dedup, jaccard_join, language_id, packing
-from latelane.llm.common import documents
+from latelane.llm import bpe, exact_dedup, jaccard_join, language_id, packing, warc
+from latelane.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,12 +33,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), BYTE_BPE)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
@@ -52,4 +57,17 @@ ORACLES: dict[str, str] = {
                sha256(t) as text_sha256
         from d join g using (t)
     """,
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        d as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest from p),
+        f as (
+            select payload_digest, min(page_id) as first from d
+            where payload_bytes >= 100 group by payload_digest
+        )
+        select page_id, payload_bytes, payload_digest,
+               case when first is distinct from page_id and first is not null
+                    then 'revisit' else 'response' end as record_type,
+               case when first is distinct from page_id then first end as refers_to
+        from d left join f using (payload_digest)
+    """,
 }
