@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from latelane.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, packing, warc
+from latelane.llm import bpe, exact_dedup, jaccard_join, language_id, license_scan, packing, quality_rules, warc
 from latelane.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_language_id": op3_language_id,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_quality_rules": op5_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
@@ -52,6 +57,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_quality_rules": r"""
+        with d as (
+            select row_number() over () as r, doc_id, coalesce(lang, '') as stratum,
+                   coalesce(text, '') as t
+            from documents
+        ),
+        s as (
+            select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+                   list_filter(string_split(t, chr(10)),
+                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l
+            from d
+        ),
+        g as (
+            select r, unnest(range(1, len(w) - 3)) as i, w from s where len(w) > 5
+        ),
+        h as (select r, i, array_to_string(w[i:i + 4], ' ') as x from g),
+        p as (
+            select r, i, coalesce(i - lag(i) over (partition by r order by i), 5) as step
+            from (select r, i, count(*) over (partition by r, x) as n from h) where n > 1
+        ),
+        q as (select r, sum(least(5, step))::bigint as n_repeat_words from p group by r),
+        m as (
+            select doc_id, stratum, len(w)::bigint as n_words,
+                   length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))
+                       ::bigint as word_chars,
+                   length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols,
+                   length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as n_capitals,
+                   len(l) as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines,
+                   coalesce(n_repeat_words, 0) as n_repeat_words
+            from s left join q using (r)
+        ),
+        f as (
+            select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+                   map {
+                       'symbols': case when word_chars > 0 then n_symbols / word_chars else 0 end,
+                       'capitals': case when word_chars > 0 then n_capitals / word_chars else 0 end,
+                       'dup_lines': case when n_lines > 0 then n_dup_lines / n_lines else 0 end,
+                       'repeats': case when n_words > 0 then n_repeat_words / n_words else 0 end
+                   } as shares
+            from m
+        ),
+        rules(rule) as (values ('symbols'), ('capitals'), ('dup_lines'), ('repeats')),
+        c as (
+            select stratum, rule, floor(64 * shares[rule])::int as cell,
+                   count(*) filter (quality > 0) as good, count(*) filter (quality <= 0) as bad
+            from f join (
+                select doc_id, min(quality) as quality from labels
+                where quality is not null group by doc_id
+            ) using (doc_id), rules
+            where not base_failed
+            group by all
+        ),
+        u as (
+            select stratum, rule, cell,
+                   sum(good) over (partition by stratum, rule order by cell desc)::bigint as k,
+                   sum(bad) over (partition by stratum, rule order by cell desc) as caught,
+                   sum(good) over (partition by stratum, rule)::bigint as n,
+                   0.01::double / 4 as risk
+            from c
+        ),
+        v as (
+            select *, case when k >= n * risk then 1.0 else list_sum(list_transform(range(0, k + 1),
+                lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+                         + j * ln(risk) + (n - j) * ln(1 - risk)))) end as tail
+            from u where cell > 0 and n > 0 and caught > 0
+        ),
+        o as (
+            select stratum, rule, arg_max(cell, (caught, cell)) as cutoff
+            from v where tail <= 0.05 / (select count(distinct stratum) * 4 * 64 from c)
+            group by stratum, rule
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed and not exists (
+                   select 1 from o where o.stratum = f.stratum
+                   and floor(64 * shares[o.rule]) >= o.cutoff) as kept
+        from f
+    """,
     "op6_exact_dedup": """
         with d as (
             select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
