@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from latelane.sources.scratch import written
 
-__all__ = ["WORDS", "cleared", "documents", "file_bytes", "lower_ascii", "map_rows", "table", "with_package", "written"]
+__all__ = ["WORDS", "add_columns", "cleared", "documents", "file_bytes", "lower_ascii", "map_rows", "table", "with_package", "written"]
 
 # Runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -104,6 +104,39 @@ def map_rows(
     return with_package(df).mapInArrow(run, fields)
 
 
+def add_columns(
+    df: DataFrame,
+    inputs: Sequence[str],
+    schema: str,
+    make: Callable[[], Callable[..., list[tuple]]],
+    rows_each: int = 1024,
+) -> DataFrame:
+    """``df`` with the columns of ``schema``, in place of columns of these names.
+
+    ``make`` runs once per task. Its function gets a list per input column, of up to
+    ``rows_each`` rows, and returns a tuple per row.
+    """
+    added = StructType.fromDDL(schema)
+    kept = cleared(df, added.names)
+    # The inputs are read before columns that clash are dropped.
+    used = [F.col(c).alias(f"_input{i}") for i, c in enumerate(inputs)]
+    rows = df.select(*used, *[F.col(f"`{c}`") for c in kept.columns])
+    fields = StructType([*kept.schema.fields, *added.fields])
+    arrow, n = to_arrow_schema(added), len(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_slice = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_each):
+                part = batch.slice(start, rows_each)
+                found = of_slice(*(part.column(i).to_pylist() for i in range(n)))
+                new = [pa.array(c, f.type) for c, f in zip(zip(*found), arrow)]
+                old = [part.column(i) for i in range(n, part.num_columns)]
+                yield pa.RecordBatch.from_arrays([*old, *new], names=fields.names)
+
+    return with_package(rows).mapInArrow(run, fields)
+
+
 def cleared(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without columns that a result of these names would clash with."""
     taken = {n.lower() for n in names}
