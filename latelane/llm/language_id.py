@@ -13,8 +13,8 @@ Texts below ``REJECT_BELOW`` fit no learned language as well as nearly all known
 
 Defined results: a null text, an empty one and one without a letter is ``und`` with score
 0; rows with a null language teach nothing; if nothing can be learned all rows are ``und``.
-Repeated rows count as often as they occur. Only doc_id, text and lang are read, so extra
-columns may have any name.
+Repeated rows count as often as they occur. Only doc_id, text and lang are read;
+other columns pass through, and those named like results are replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from latelane.llm.common import map_rows, with_package, written
+from latelane.llm.common import add_columns, map_rows, written
 
 ORDER = 5
 PAD = " " * (ORDER - 1)
-GRAMS = 100_000  # n-grams kept per language and order
+GRAMS = 60_000  # n-grams kept per language and order
 REJECT_BELOW = 0.0002
 UNKNOWN = "und"
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
@@ -142,31 +141,38 @@ def train(docs: DataFrame, grams: int = GRAMS) -> Model:
         tables.insert(0, written(shorter.agg(F.count("*").alias("n")), f"grams{size}"))
     alphabet = tables[0].select("gram").distinct().count() + 1
     levels: list[Level] = []
-    lower: pd.DataFrame | None = None
-    floor = np.zeros(len(langs))
+    floor = np.full(len(langs), -np.log(alphabet))
+    lower: DataFrame | None = None
     for size, counted in enumerate(tables, 1):
-        kept = _kept(counted, size, grams)
-        kept["lang"] = kept["lang"].map({lang: i for i, lang in enumerate(langs)})
-        kept["part"] = (kept["n"] - kept["discount"]).clip(lower=0) / kept["total"]
-        mass = kept.groupby(["lang", "context"])["part"].sum()
-        rest = (1 - mass).clip(lower=1e-9).rename("rest").reset_index()
-        kept = kept.merge(rest, on=["lang", "context"])
+        kept = written(_kept(counted, size, grams), f"kept{size}")
+        left = 1 - F.sum("part")
+        rest = kept.groupBy("lang", "context").agg(F.greatest(left, F.lit(1e-9)).alias("rest"))
+        rest = written(rest, f"rest{size}")
+        kept = kept.join(rest, ["lang", "context"])
         if lower is None:
-            kept["p"] = kept["part"] + kept["rest"] / alphabet
-            floor = np.log(rest.set_index("lang")["rest"].reindex(range(len(langs))) / alphabet).to_numpy()
+            below = F.lit(1 / alphabet)
         else:
-            kept["suffix"] = kept["gram"].str[1:]
-            kept = kept.merge(lower, on=["lang", "suffix"], how="left")
-            kept["p"] = kept["part"] + kept["rest"] * kept["lower_p"].fillna(1 / alphabet)
-        lower = kept[["lang", "gram", "p"]].rename(columns={"gram": "suffix", "p": "lower_p"})
-        grams_of, log_p = _matrix(kept["gram"], kept["lang"], np.log(kept["p"]), size, len(langs), np.nan)
-        contexts, back = _matrix(rest["context"], rest["lang"], np.log(rest["rest"]), size - 1, len(langs), 0.0)
-        levels.append(Level(grams_of, log_p, contexts, back))
+            kept = kept.withColumn("suffix", F.substring("gram", 2, size - 1))
+            kept = kept.join(lower, ["lang", "suffix"], "left")
+            below = F.coalesce("lower_p", F.lit(1 / alphabet))
+        p = F.col("part") + F.col("rest") * below
+        kept = written(kept.select("lang", "gram", p.alias("p")), f"probable{size}")
+        lower = kept.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
+        if size == 1:
+            one = {r["lang"]: r["rest"] for r in rest.collect()}  # a row per language
+            floor = np.log([one.get(lang, 1.0) / alphabet for lang in langs])
+        levels.append(
+            Level(
+                *_matrix(kept.select("lang", "gram", F.log("p")), langs, size, np.nan),
+                *_matrix(rest.select("lang", "context", F.log("rest")), langs, size - 1, 0.0),
+            )
+        )
     return Model(langs, levels, floor)
 
 
-def _kept(counted: DataFrame, size: int, grams: int) -> pd.DataFrame:
-    """The most frequent n-grams of each language with discount and context total.
+def _kept(counted: DataFrame, size: int, grams: int) -> DataFrame:
+    """(lang, gram, context, part): the discounted share of its context's counts that each
+    of a language's most frequent n-grams has.
 
     The histogram of counts (under 4097 rows a language) gives the discount and the count
     from which on a language has at most ``grams`` n-grams.
@@ -185,18 +191,18 @@ def _kept(counted: DataFrame, size: int, grams: int) -> pd.DataFrame:
     context = F.substring("gram", 1, size - 1) if size > 1 else F.lit("")
     rows = counted.withColumn("context", context)
     totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"))
-    most = rows.join(limits, "lang").where("n >= least")
-    return most.join(totals, ["lang", "context"]).drop("least").toPandas()
+    most = rows.join(limits, "lang").where("n >= least").join(totals, ["lang", "context"])
+    part = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
+    return most.select("lang", "gram", "context", part.alias("part"))
 
 
-def _matrix(grams, langs, values, size, n_langs, missing):
-    if size == 0:
-        hashes = np.zeros(len(grams), np.uint64)
-    else:
-        hashes = _gram_hashes(grams, size)
+def _matrix(rows: DataFrame, langs: list[str], size: int, missing: float):
+    """Sorted hashes of strings of ``size`` characters, and a value per language for each."""
+    found = rows.toDF("lang", "gram", "value").toPandas()  # at most languages x GRAMS rows
+    hashes = _gram_hashes(found["gram"], size) if size else np.zeros(len(found), np.uint64)
     keys, place = np.unique(hashes, return_inverse=True)
-    matrix = np.full((len(keys), n_langs), missing, np.float32)
-    matrix[place, np.asarray(langs, int)] = values
+    matrix = np.full((len(keys), len(langs)), missing, np.float32)
+    matrix[place, found["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy()] = found["value"]
     return keys, matrix
 
 
@@ -297,22 +303,15 @@ def length_class(n_chars: int) -> int:
     return min(n_chars.bit_length(), 12)
 
 
-def _mapped(docs: DataFrame, model: Model, columns: str, finish) -> DataFrame:
-    """Scores of all rows of ``docs`` (doc_id, text); ``finish`` makes the columns."""
+def _scored(docs: DataFrame, model: Model, schema: str, finish) -> DataFrame:
+    """``docs`` with the columns that ``finish`` makes of each text's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by GRAMS
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                rows = [finish(shared.value, *e) for e in scorer.entropies(part.column(1).to_pylist())]
-                arrays = [pa.array(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=names)
+        return lambda texts: [finish(shared.value, *e) for e in scorer.entropies(texts)]
 
-    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
-    return with_package(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, {columns}")
+    return add_columns(docs, ["text"], schema, make)
 
 
 def calibrate(docs: DataFrame, model: Model) -> Model:
@@ -322,7 +321,8 @@ def calibrate(docs: DataFrame, model: Model) -> Model:
         return model.langs[best] if best >= 0 else UNKNOWN, entropy, length_class(chars)
 
     labelled = docs.where("lang is not null and text is not null")
-    scored = _mapped(labelled, model, "lang_pred string, entropy double, bits bigint", finish)
+    schema = "lang_pred string, entropy double, bits bigint"
+    scored = _scored(labelled.select("text"), model, schema, finish)
     cell = F.floor(F.col("entropy") / CELL).alias("cell")
     cells = scored.where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred", "bits", cell).count()
     found = cells.toPandas()  # languages x length classes x cells
@@ -347,14 +347,14 @@ def p_value(model: Model, lang: int, entropy: float, chars: int) -> float:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, entropy (null for ``und``) of every row of ``docs``."""
+    """``docs`` with lang_pred, score and entropy (null for ``und``)."""
 
     def finish(model, best, entropy, chars):
         if best < 0:
             return UNKNOWN, 0.0, None
         return model.langs[best], p_value(model, best, entropy, chars), entropy
 
-    return _mapped(docs, model, "lang_pred string, score double, entropy double", finish)
+    return _scored(docs, model, "lang_pred string, score double, entropy double", finish)
 
 
 def fitted(docs: DataFrame) -> Model:
@@ -366,7 +366,7 @@ def fitted(docs: DataFrame) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score and entropy of every document."""
-    scored = predict(docs, fitted(docs))
+    scored = predict(docs.select("doc_id", "text"), fitted(docs))
     return scored.withColumn("held_out", F.coalesce(fold() == HELD_OUT, F.lit(False))).select(
         "doc_id", "held_out", "lang_pred", "score", "entropy"
     )
