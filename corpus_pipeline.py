@@ -1,21 +1,85 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences.
+
+Each stage takes what its predecessor kept, decides over all of it and returns the rows
+that stay with their columns; the last one returns the pieces of the packed sequences.
+Between stages rows are written as Parquet, so a lost executor costs part of one stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from latelane.llm.common import documents, written
+from latelane.llm import exact_dedup, jaccard_join, language_id, packing, quality_classifier
+from latelane.llm.common import documents, table, written
+from latelane.llm.queries import BYTE_BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in a language of the corpus; those without a letter and those that fit their
+    language worse than nearly all known texts go."""
+    scored = language_id.predict(docs, language_id.fitted(docs))
+    kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.REJECT_BELOW)
+    return scored.where(kept).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are likely enough of the best grade."""
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.scored(docs, model).where("kept").select(*docs.columns)
+
+
+def exactly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, that of the largest doc_id."""
+    decided = exact_dedup.duplicates(docs).where("kept")
+
+    def key(digest):
+        return F.concat_ws(":", F.col("doc_id").cast("string"), digest)
+
+    kept = decided.groupBy(key("text_sha256").alias("key")).agg(F.count("*").alias("n"))
+    kept = written(kept, "kept_texts")
+    lower = F.translate(F.coalesce("text", F.lit("")), exact_dedup.UPPER, exact_dedup.UPPER.lower())
+    keyed = docs.withColumn("key", key(F.sha2(lower.cast("binary"), 256)))
+    stays = keyed.join(kept.where("n = 1").select("key"), "key", "left_semi").drop("key")
+    again = kept.where("n > 1").select("key")
+    if again.isEmpty():
+        return stays
+    # Rows that repeat a doc_id with an equal text: their copies are the same but for case.
+    order = Window.partitionBy("key").orderBy("text")
+    one = keyed.join(again, "key", "left_semi").withColumn("place", F.row_number().over(order))
+    return stays.unionByName(one.where("place = 1").drop("key", "place"))
+
+
+def nearly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest doc_id."""
+    found = jaccard_join.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = written(kept.select(F.col("doc_id").alias("kept_id")).distinct(), "kept_documents")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts in sequences of 2048 tokens."""
+    return packing.packed_documents(docs, BYTE_BPE)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
+    ("quality_classifier", good_quality),
+    ("exact_dedup", exactly_once),
+    ("jaccard_join", nearly_once),
+    ("packing", packed),
+]
+
+# Language models, a fitted classifier and column generation are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -28,6 +28,7 @@ MASK_BITS = 11  # chunks of about 2 KiB
 LEAST, MOST = 256, 16384  # bytes of a chunk
 GEAR_BYTES = 16  # bytes that decide about a cut
 _BLOCK = 1 << 20
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _gear() -> np.ndarray:

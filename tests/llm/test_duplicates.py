@@ -1,0 +1,191 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from latelane.llm import components, exact_dedup, jaccard_join
+from latelane.llm.common import lower_ascii
+from tests.compare import differences, oracle_connection
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_chunks_join_to_the_text_and_depend_on_it_alone():
+    rng = random.Random(1)
+    for size in (0, 1, 255, 5000, 300_000):
+        data = rng.randbytes(size)
+        parts = list(exact_dedup.chunks(data))
+        assert b"".join(parts) == data
+        assert all(len(p) <= exact_dedup.MOST for p in parts)
+    data = rng.randbytes(200_000)
+    moved = list(exact_dedup.chunks(b"new beginning" + data))
+    # Content-defined: only the chunks around the change differ.
+    assert len(set(moved) - set(exact_dedup.chunks(data))) < 6
+    assert len(moved) > 60
+    assert list(exact_dedup.chunks(b"a" * 100_000))
+
+
+def brute_groups(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[lower_ascii(r["text"] or "")].append(r["doc_id"])
+    return groups
+
+
+def test_exact_duplicates(odd, nothing):
+    groups = brute_groups(odd.collect())
+    expected = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256(text.encode()).hexdigest()
+        expected += [(i, keep, len(ids), i == keep, digest) for i in ids]
+    found = [tuple(r) for r in exact_dedup.duplicates(odd).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    assert exact_dedup.duplicates(nothing).count() == 0
+
+
+def test_contents_with_the_same_hash_are_told_apart(odd):
+    store = odd.sparkSession.createDataFrame(
+        [(7, b"one"), (7, b"two"), (8, b"one"), (9, b"x")], "hash bigint, content binary"
+    )
+    numbers = {(r["hash"], bytes(r["content"])): r["number"] for r in exact_dedup.colliding(store).collect()}
+    assert numbers == {(7, b"one"): 0, (7, b"two"): 1}
+    assert exact_dedup.colliding(store.where("hash > 7")) is None
+    told = odd.sparkSession.createDataFrame(
+        [(exact_dedup.chunk_hash(b"a b c"), b"a b c", 1)], "hash bigint, content binary, number bigint"
+    )
+    plain = exact_dedup.recipes(odd.where("doc_id = 12")).first()["recipe"]
+    marked = exact_dedup.recipes(odd.where("doc_id = 12"), told).first()["recipe"]
+    assert bytes(plain) != bytes(marked)
+
+
+def shingle_set(text):
+    words = WORDS.findall(lower_ascii(text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+
+def brute_components(rows):
+    sets = [shingle_set(r["text"]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    parent[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, r in enumerate(rows):
+        if r["doc_id"] is not None:
+            least[find(i)].append(r["doc_id"])
+    return sorted(
+        ((r["doc_id"], len(sets[i]), min(least[find(i)], default=None)) for i, r in enumerate(rows)), key=str
+    )
+
+
+def found_components(docs):
+    return sorted((tuple(r) for r in jaccard_join.near_duplicates(docs).collect()), key=str)
+
+
+def test_near_duplicates_of_odd_rows(odd, nothing):
+    assert found_components(odd) == brute_components(odd.collect())
+    assert jaccard_join.near_duplicates(nothing).count() == 0
+
+
+def edited_texts(seed, families, copies, length):
+    """Families of texts whose members lie around the threshold, and unrelated ones that
+    share a long passage."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = rng.choices(vocabulary, k=25)
+    texts = []
+    for _ in range(families):
+        base = rng.choices(vocabulary, k=rng.randrange(3, length))
+        for _ in range(rng.randrange(1, copies)):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(1, len(base) // 18) + 1)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[: length // 2] + passage))
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("seed, block, small", [(1, 256, 256), (2, 4, 256), (3, 4, 0)])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, seed, block, small):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "MOST_SMALL", small)
+    docs = spark.createDataFrame(edited_texts(seed, 25, 14, 120), "doc_id bigint, text string")
+    expected = brute_components(docs.collect())
+    assert found_components(docs) == expected
+    assert len({c for _, _, c in expected}) < len(expected)
+
+
+def test_chains_of_links_are_one_component(spark):
+    words = [f"v{i}" for i in range(400)]
+    rows = [(1000 - k, " ".join(words[k * 6 : k * 6 + 80])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute_components(docs.collect())
+    assert len({c for _, _, c in expected}) == 1
+    assert found_components(docs) == expected
+
+
+def test_scanned_lists_find_all_links_between_components():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, 25)) for _ in range(30)]
+    offsets = np.r_[0, np.cumsum([len(s) for s in sets])]
+    n = np.array([len(s) for s in sets])
+    for block in (np.zeros(30, int), np.r_[np.zeros(12, int), np.ones(18, int)]):
+        of = np.arange(30)
+        found = {frozenset(map(int, p)) for p in jaccard_join._scan_lists(np.concatenate(sets), offsets, block, of, n)}
+        expected = {
+            frozenset((i, j))
+            for i in range(30)
+            for j in range(i)
+            if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))
+            and (block.max() == 0 or block[i] != block[j])
+        }
+        assert found == expected
+
+
+def test_components_of_a_graph(spark):
+    rng = random.Random(9)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 470)]
+    edges += [(900, k) for k in range(600, 700)] + [(5, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    touched = {x for a, b in edges if a != b for x in (a, b)}
+    found = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert sorted(map(tuple, found)) == sorted((x, find(x)) for x in touched)
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_near_duplicates_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert found_components(docs) == brute_components(docs.collect())
+
+
+def test_registered_twin(spark):
+    from latelane.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    for name in ORACLES:
+        assert differences(QUERIES[name](spark, folder), oracle_connection(folder), ORACLES[name]) == [], name
