@@ -2,43 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from latelane.functions.columns import ratio
-
-SCORE_RANGES = 256
+from latelane.operators.selection import running_totals
+from latelane.sources.scratch import written
 
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row: exact ROC AUC, tied scores counting half.
+    """One row: exact ROC AUC, tied scores counting half, and how many rows have no score.
 
-    Rows are counted per distinct score. Running totals over the scores are made per
-    range of scores, cut at quantiles so that ranges hold about equally many, and offset
-    by the totals of the ranges below. No window covers more than one range.
+    Rows are counted per distinct score; running totals over the scores give how many
+    negatives each positive beats. A null or NaN score leaves its row out and is counted
+    in ``unscored``.
     """
-    counts = (
-        scored.where(F.col(score).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
-        .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    )
-    steps = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    cuts = sorted(set(counts.approxQuantile("score", steps, 0.1 / SCORE_RANGES))) or [0.0]
-    edges = [float("-inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=edges, inputCol="score", outputCol="range").transform(counts)
-    totals = ranged.groupBy("range").agg(F.sum("neg").alias("range_neg"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("range", F.coalesce(F.sum("range_neg").over(before), F.lit(0)).alias("offset"))
-    lower = (
-        Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = ranged.withColumn("lower", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
-    wins = F.col("pos") * (F.col("offset") + F.col("lower") + F.col("neg") / 2)
-    return placed.join(F.broadcast(offsets), "range").agg(  # at most SCORE_RANGES rows
-        ratio(
-            F.sum(wins), F.sum("pos").cast("double") * F.sum("neg").cast("double")
-        ).alias("roc_auc")
+    value = F.col(score).cast("double")
+    rows = scored.select(F.nanvl(value, F.lit(None).cast("double")).alias("score"), label)
+    counts = rows.groupBy("score").agg(
+        F.count_if(F.col(label) == 1).alias("pos"),
+        F.count_if(F.col(label) == 0).alias("neg"),
+        F.count("*").alias("n"),
     )
+    counts = written(counts, "score_counts")
+    placed = running_totals(counts.where("score is not null"), [], "score", ["neg"])
+    wins = F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    unscored = counts.where("score is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unscored"))
+    return placed.agg(ratio(F.sum(wins), pairs).alias("roc_auc")).crossJoin(F.broadcast(unscored))
 
 
 def classification_report(

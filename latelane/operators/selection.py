@@ -1,4 +1,4 @@
-"""Exact order statistics that never gather an unbounded group in one task."""
+"""Exact ranks and order statistics by counts per value, one plan for every size."""
 
 from __future__ import annotations
 
@@ -9,102 +9,80 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from latelane.functions.columns import all_present
 from latelane.sources.scratch import written
 
-# Groups up to this size go through Spark's own exact median.
-GROUP_ROWS = 1_000_000
-CELLS = 1024
-BROADCAST_ROWS = 100_000
 
+def running_totals(
+    counted: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]
+) -> DataFrame:
+    """``counted`` with ``<c>_below`` for each ``sums`` column: its total over the smaller
+    values of the same keys.
 
-def _broadcast_if_few(rows: DataFrame) -> DataFrame:
-    """Broadcast hint for a written table whose row count is under the bound."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
-def kth_values(values: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The k-th smallest ``value`` per group, for the (keys, rank) rows of ``targets``.
-
-    Each pass counts the values of a group's current interval in up to CELLS equal
-    cells, a map-side-combined aggregate, keeps the cell the rank falls in and shrinks
-    the interval to the smallest and largest value seen there. It ends when the interval
-    is one value. Returns keys, rank, value and below (how many values are smaller).
+    A row per (keys, value) is wanted; null keys are a group. Rows are cut into ranges of
+    (keys, value), totals per range and keys are the offsets, and running totals are made
+    inside a range. So a group of any size is shared by many tasks, and no group is held
+    in memory.
     """
-    keys = list(keys)
-    bounds = values.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    state = targets.join(bounds, keys).withColumn("below", F.lit(0).cast("bigint"))
-    state = written(state, "ranks")
-    while not state.where("lo < hi").isEmpty():
-        open_ranks = _broadcast_if_few(state.where("lo < hi"))
-        cell = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS),
-                       F.lit(CELLS - 1))
-        cells = (
-            values.join(open_ranks, keys)
-            .where("value between lo and hi")
-            .groupBy(*keys, "rank", "below", cell.alias("cell"))
-            .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        )
-        # At most CELLS rows per rank from here on.
-        so_far = Window.partitionBy(*keys, "rank").orderBy("cell")
-        narrowed = (
-            cells.withColumn("upto", F.col("below") + F.sum("n").over(so_far))
-            .where(F.col("upto") >= F.col("rank"))
-            .withColumn("place", F.row_number().over(so_far))
-            .where("place = 1")
-            .withColumn("below", F.col("upto") - F.col("n"))
-        )
-        state = written(
-            state.where("lo = hi").unionByName(narrowed.select(*state.columns)), "ranks"
-        )
-    return state.withColumnRenamed("lo", "value").drop("hi")
-
-
-def _middle_ranks(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    middles = F.array_distinct(F.array(F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")))
-    return (
-        values.groupBy(*keys)
-        .agg(F.count("*").alias("n"))
-        .select(*keys, F.explode(middles).alias("rank"))
+    spark, keys = counted.sparkSession, list(keys)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = counted.repartitionByRange(ranges, *keys, value)
+    cut = written(cut.withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = cut.groupBy("_range", *keys).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    # Per group at most a row per range.
+    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("_range").alias("_offset_range"),
+        *[F.col(k).alias(f"_offset_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_{c}") for c in sums],
+    )
+    same = F.col("_range") == F.col("_offset_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_offset_{k}"))
+    inside = (
+        Window.partitionBy("_range", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
+    below = {
+        f"{c}_below": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums
+    }
+    placed = cut.join(offsets, same).withColumns(below)
+    return placed.select(*counted.columns, *below)
 
 
-def _selected_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Medians through ``kth_values``: all columns in long form, one rank search."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                      for c in columns])
-    long = df.select(*keys, F.inline(pairs)).where("value is not null and not isnan(value)")
-    group = [*keys, "column"]
-    found = kth_values(long, _middle_ranks(long, group), group)
-    one_per_column = [F.avg(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns]
-    return found.groupBy(*keys).agg(*one_per_column)
-
-
-def exact_medians(
-    df: DataFrame,
-    columns: Sequence[str],
-    keys: Sequence[str] = (),
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
+def counted_values(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+    """(keys, value, n) of the values that are neither null nor NaN."""
+    present = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return present.groupBy(*keys, value).agg(F.count("*").alias("n"))
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated median of each column, per group of ``keys`` (or overall).
 
-    Nulls are skipped, groups with a missing key are dropped. Groups of up to
-    ``group_rows`` rows use Spark's ``median``, whose buffer is then bounded by that
-    number; larger ones are searched with ``kth_values``.
+    Nulls and NaN are skipped, groups with a missing key are dropped, a group without
+    values has a null median. Infinities take part in order.
     """
+    keys = list(keys)
     df = all_present(df, keys).select(*keys, *columns)
-    medians = [F.median(c).alias(c) for c in columns]
+    pairs = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("value"))
+                      for c in columns])
+    group = [*keys, "_column"]
+    counts = counted_values(df.select(*keys, F.inline(pairs)), group)
+    ranked = written(running_totals(counts, group, "value", ["n"]), "ranked_values")
+    sizes = ranked.groupBy(*group).agg(F.sum("n").alias("_size"))
+    upto = F.col("n_below") + F.col("n")
+    half = F.col("_size") / 2
+    # The value that holds the lower middle rank, and the one that holds the upper.
+    lower = (F.col("n_below") < F.ceil(half)) & (F.ceil(half) <= upto)
+    upper = (F.col("n_below") < F.floor(half) + 1) & (F.floor(half) + 1 <= upto)
+    middles = ranked.join(sizes, group).where(lower | upper)
+
+    def middle(c: str) -> Column:
+        of = F.col("_column") == c
+        ends = [F.max(F.when(of & side, F.col("value"))) for side in (lower, upper)]
+        # Halved first: the sum of two large values would overflow.
+        return F.when(ends[0] == ends[1], ends[0]).otherwise(ends[0] / 2 + ends[1] / 2).alias(c)
+
     if not keys:
-        if df.count() <= group_rows:
-            return df.agg(*medians)
-        return _selected_medians(df, keys, columns)
-    # No more than rows / group_rows groups can be this large.
-    large = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
-    if large.isEmpty():
-        return df.groupBy(*keys).agg(*medians)
-    large = _broadcast_if_few(written(large.select(*keys), "large_keys"))
-    small_groups = df.join(large, list(keys), "left_anti").groupBy(*keys).agg(*medians)
-    large_rows = written(df.join(large, list(keys), "left_semi"), "large_groups")
-    searched = _selected_medians(large_rows, keys, columns)
-    valueless = large_rows.select(*keys).distinct().join(searched, list(keys), "left")
-    return small_groups.unionByName(valueless.select(*keys, *columns))
+        return middles.agg(*[middle(c) for c in columns])
+    found = middles.groupBy(*keys).agg(*[middle(c) for c in columns])
+    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, *columns)
 
 
 def histogram_median(value: str, count: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from latelane.functions.sampling import hash_number, hash_text
 from latelane.operators.joins import repeated
-from latelane.operators.selection import GROUP_ROWS, kth_values
+from latelane.operators.selection import counted_values, running_totals
 from latelane.sources.scratch import written
 
 SEED = 42  # fixed value
@@ -16,49 +16,39 @@ TEST_SHARE = 0.2  # fixed value
 ROW_KEYS = ("order_id", "review_score")
 
 
-def _numbered(rows: DataFrame, strata: Sequence[str], order: Sequence) -> DataFrame:
-    window = Window.partitionBy(*strata).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(window))
-
-
 def stratified_split(
     df: DataFrame,
     label: str,
     share: float = TEST_SHARE,
     seed: int = SEED,
     row_keys: Sequence[str] = ROW_KEYS,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """df with ``is_test``: exactly round(share * n) rows of each label are true.
 
-    Rows are ordered at random by a seeded hash of ``row_keys``. With few rows a window
-    per label numbers them. With many, the hash that separates the two parts is found by
-    ``kth_values`` and rows are compared with it where they are; only rows sharing that
-    very hash are ordered further. ``df`` is read several times and should be a scan.
+    Rows are ordered at random by a seeded hash of ``row_keys``. The hash that separates
+    the two parts of a label comes from counts per hash, and rows are compared with it
+    where they are; only rows sharing that very hash are ordered further. Rows without a
+    label are kept and are never test rows. ``df`` is read several times and should be a
+    scan.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    smallest, rows = sizes.agg(F.min("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    sizes = written(sizes, "label_sizes")
+    smallest = sizes.agg(F.min("_n")).first()[0]
     if smallest is not None and smallest < 2:
         raise ValueError(f"a stratified split needs two rows of each {label}")
-    wanted = sizes.select(label, F.round(F.col("n") * share).cast("bigint").alias("rank"))
+    wanted = sizes.select(label, F.round(F.col("_n") * share).cast("bigint").alias("_k"))
     key = hash_text(row_keys, seed)
     rest = [c for c in df.columns if c != label]
-    if rows <= group_rows:
-        order = [key, *rest]
-        return (
-            _numbered(df, [label], order)
-            .join(F.broadcast(wanted), label)  # a row per label
-            .withColumn("is_test", F.col("_rank") <= F.col("rank"))
-            .select(*df.columns, "is_test")
-        )
     hashed = df.withColumn("value", hash_number(key))
-    ranks = wanted.where("rank > 0")
-    edges = (
-        kth_values(hashed.select(label, "value"), ranks, [label])
-        .select(label, F.col("rank").alias("_k"), F.col("value").alias("_edge"),
-                F.col("below").alias("_below"))
-    )
-    placed = hashed.join(F.broadcast(edges), label, "left")  # a row per label
+    counts = counted_values(hashed.where(F.col(label).isNotNull()), [label])
+    ranked = running_totals(counts, [label], "value", ["n"]).join(wanted, label)
+    edges = written(
+        ranked.where("n_below < _k and _k <= n_below + n").select(
+            label, "_k", F.col("value").alias("_edge"), F.col("n_below").alias("_below")
+        ),
+        "edges",
+    )
+    placed = hashed.join(edges, label, "left")  # a row per label
     off_edge = placed.where("_edge is null or value <> _edge").withColumn(
         "is_test", F.coalesce(F.col("value") < F.col("_edge"), F.lit(False))
     )

@@ -5,7 +5,12 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from latelane.operators.selection import exact_medians, histogram_median, kth_values
+from latelane.operators.selection import (
+    counted_values,
+    exact_medians,
+    histogram_median,
+    running_totals,
+)
 
 
 def skewed_rows(seed, n=3000):
@@ -23,10 +28,9 @@ def skewed_rows(seed, n=3000):
 SCHEMA = "k string, x double, y double"
 
 
-@pytest.mark.parametrize("group_rows", [10**6, 700, 0])
-def test_grouped_medians_of_any_size(spark, group_rows):
+def test_grouped_medians(spark):
     rows = skewed_rows(1)
-    found = exact_medians(spark.createDataFrame(rows, SCHEMA), ["x", "y"], ["k"], group_rows)
+    found = exact_medians(spark.createDataFrame(rows, SCHEMA), ["x", "y"], ["k"])
     found = {r["k"]: (r["x"], r["y"]) for r in found.collect()}
     assert set(found) == {"hot", "a", "b", "c", "void"}
     for key, pair in found.items():
@@ -35,32 +39,56 @@ def test_grouped_medians_of_any_size(spark, group_rows):
             assert value == (pytest.approx(median(present)) if present else None)
 
 
-@pytest.mark.parametrize("group_rows", [10**6, 0])
-def test_overall_medians(spark, group_rows):
+def test_overall_medians(spark):
     rows = skewed_rows(2)
-    row = exact_medians(spark.createDataFrame(rows, SCHEMA), ["x", "y"], (), group_rows).first()
+    row = exact_medians(spark.createDataFrame(rows, SCHEMA), ["x", "y"]).first()
     assert row["x"] == pytest.approx(median(r[1] for r in rows if r[1] is not None))
     assert row["y"] == 2.0
 
 
 def test_even_count_interpolates(spark):
     df = spark.createDataFrame([(float(i),) for i in (1, 2, 3, 4)], "x double")
-    for rows in (10, 0):
-        assert exact_medians(df, ["x"], (), rows).first()["x"] == 2.5
+    assert exact_medians(df, ["x"]).first()["x"] == 2.5
     counted = df.groupBy("x").agg(F.lit(3).cast("bigint").alias("n"))
     assert counted.agg(histogram_median("x", "n")).first()[0] == 2.5
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
-@given(
-    st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=40),
-    st.data(),
+@pytest.mark.parametrize(
+    "values, expected",
+    [
+        ([1.0, 2.0, float("nan")], 1.5),
+        ([float("inf"), 1.0, 2.0], 2.0),
+        ([float("-inf"), float("inf"), 5.0], 5.0),
+        ([float("inf"), float("inf"), 1.0], float("inf")),
+        ([1.7e308, 1.7e308], 1.7e308),
+        ([1.6e308, 1.7e308], 1.65e308),
+        ([-1.7e308, 1.7e308], 0.0),
+        ([0.0, -0.0, 3.0], 0.0),
+        ([None, float("nan")], None),
+        ([], None),
+    ],
 )
-def test_kth_value_and_how_many_are_below(spark, values, data):
-    k = data.draw(st.integers(1, len(values)))
-    df = spark.createDataFrame([("g", v) for v in values], "k string, value double")
-    targets = spark.createDataFrame([("g", k)], "k string, rank bigint")
-    row = kth_values(df, targets, ["k"]).first()
-    expected = sorted(values)[k - 1]
-    assert row["value"] == expected
-    assert row["below"] == sum(v < expected for v in values)
+def test_medians_of_odd_values(spark, values, expected):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = exact_medians(df, ["x"]).first()["x"]
+    assert found == (expected if expected is None else pytest.approx(expected, rel=1e-15))
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.floats(allow_nan=False)), max_size=40))
+def test_how_many_are_below(spark, rows):
+    df = spark.createDataFrame(rows, "k string, value double")
+    found = running_totals(counted_values(df, ["k"]), ["k"], "value", ["n"]).collect()
+    assert sum(r["n"] for r in found) == len(rows)
+    for r in found:
+        same = [v for k, v in rows if k == r["k"]]
+        assert r["n_below"] == sum(v < r["value"] for v in same)
+        assert r["n"] == sum(v == r["value"] for v in same)
+
+
+def test_a_single_group_is_shared_by_tasks(spark):
+    counted = spark.range(4000).selectExpr("'one' as k", "cast(id as double) as value", "1L as n")
+    placed = running_totals(counted, ["k"], "value", ["n"])
+    assert placed.where("n_below <> value").count() == 0
+    sizes = placed.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2000
