@@ -6,14 +6,14 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from latelane.functions.columns import all_present, sorted_distinct_list, sum_or_zero
-from latelane.operators.joins import ROW, SMALL_ROWS, hot_keys, lookup, with_row_number
+from latelane.functions.columns import all_present, ratio, sorted_distinct_list, sum_or_zero
+from latelane.operators.joins import lookup
 from latelane.operators.selection import exact_medians
 from latelane.sources.scratch import written
 
 UNKNOWN_CATEGORY = "unknown"  # fixed value
 
-# Product measure -> name of its mean per order.
+# Product measure -> name of its mean per order.
 PRODUCT_MEANS = {
     "product_weight_g": "avg_product_weight",
     "product_length_cm": "avg_length_cm",
@@ -55,9 +55,7 @@ def payments_per_order(payments: DataFrame) -> DataFrame:
     )
 
 
-def categorised_products(
-    tables: Mapping[str, DataFrame], small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def categorised_products(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Product measures with the English category name, written once.
 
     Written, Catalyst knows its real size when items are joined to it.
@@ -67,21 +65,15 @@ def categorised_products(
         "product_category_name", "product_category_name_english"
     )
     name = "product_category_name"
-    hot = hot_keys(products, [name], small_rows)[name]
-    named = with_row_number(products).transform(lookup, categories, name, hot).drop(name, ROW)
-    return written(named, "products")
+    return written(lookup(products, written(categories, "categories"), name).drop(name), "products")
 
 
-def items_with_products(
-    tables: Mapping[str, DataFrame], small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def items_with_products(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Items with product measures and the English category name."""
     items = tables["items"].select(
         "order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"
     )
-    hot = hot_keys(items, ["product_id"], small_rows)["product_id"]
-    products = categorised_products(tables, small_rows)
-    return with_row_number(items).transform(lookup, products, "product_id", hot).drop(ROW)
+    return lookup(items, categorised_products(tables), "product_id")
 
 
 def _most_frequent(value: str) -> Column:
@@ -90,35 +82,44 @@ def _most_frequent(value: str) -> Column:
     return F.min(F.when(F.col(value).isNotNull(), ranked))["value"]
 
 
-def _item_measures(items: DataFrame) -> DataFrame:
-    """Totals and means per order: fixed-size sums, combined on the map side."""
-    return items.groupBy("order_id").agg(
-        F.count("order_item_id").alias("total_items"),
-        sum_or_zero("price").alias("revenue"),
-        sum_or_zero("freight_value").alias("freight_value"),
-        F.avg("price").alias("avg_item_price"),
-        *[F.avg(m).alias(name) for m, name in PRODUCT_MEANS.items()],
-    )
-
-
-def _item_modes(items: DataFrame) -> DataFrame:
-    """Distinct counts and modes of categories and sellers per order.
+def items_per_order(items: DataFrame) -> DataFrame:
+    """Totals, means, distinct counts and modes per order, in one pass over the items.
 
-    An item gives one row for its seller and one for its category. Counting those per
-    (order, seller) and (order, category) first spreads even a single huge order over
-    many tasks and combines on the map side; the second step sees each distinct value
-    of an order once. Nothing is collected per order.
+    An item gives one row for its seller, which carries its measures, and one for its
+    category. Counting and adding those per (order, seller) and (order, category) first
+    spreads even a single huge order over many tasks and combines on the map side; the
+    second step sees each distinct value of an order once. Nothing is collected per order.
     """
+    measures = ["price", "freight_value", *PRODUCT_MEANS]
     category = F.col("product_category_name_english").alias("category")
     no_seller = F.lit(None).cast(items.schema["seller_id"].dataType).alias("seller_id")
     no_category = F.lit(None).cast("string").alias("category")
-    sides = F.array(F.struct("seller_id", no_category), F.struct(no_seller, category))
+    values = ["order_item_id", *measures]
+    no_values = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in values]
+    sides = F.array(
+        F.struct("seller_id", no_category, *values), F.struct(no_seller, category, *no_values)
+    )
     counted = (
-        items.select("order_id", F.inline(sides))
+        all_present(items, ["order_id"])
+        .select("order_id", F.inline(sides))
         .groupBy("order_id", "seller_id", "category")
-        .agg(F.count("*").alias("n"))
+        .agg(
+            F.count("*").alias("n"),
+            F.count("order_item_id").alias("items"),
+            *[F.sum(m).alias(f"sum_{m}") for m in measures],
+            *[F.count(m).alias(f"n_{m}") for m in measures],
+        )
     )
+
+    def mean(m: str) -> Column:
+        return ratio(F.sum(f"sum_{m}"), F.sum(f"n_{m}"))
+
     return counted.groupBy("order_id").agg(
+        F.sum("items").alias("total_items"),
+        sum_or_zero("sum_price").alias("revenue"),
+        sum_or_zero("sum_freight_value").alias("freight_value"),
+        mean("price").alias("avg_item_price"),
+        *[mean(m).alias(name) for m, name in PRODUCT_MEANS.items()],
         F.count("category").cast("int").alias("distinct_categories"),
         F.coalesce(_most_frequent("category"), F.lit(UNKNOWN_CATEGORY)).alias(
             "category_most_common"
@@ -128,16 +129,6 @@ def _item_modes(items: DataFrame) -> DataFrame:
     )
 
 
-def items_per_order(items: DataFrame) -> DataFrame:
-    """Totals, means, distinct counts and modes per order.
-
-    Both parts have a row for every order and are partitioned by it, so joining them
-    moves nothing.
-    """
-    items = all_present(items, ["order_id"])
-    return _item_measures(items).join(_item_modes(items), "order_id")
-
-
 def _with_centroid(places: DataFrame, zip_column: str, geo: DataFrame) -> DataFrame:
     return places.join(
         geo, F.col(zip_column) == F.col("geolocation_zip_code_prefix"), "left"

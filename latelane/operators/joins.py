@@ -1,92 +1,22 @@
-"""Left outer lookups that keep one hot key from landing in one task."""
+"""Null-safe left outer lookups and repeated rows."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from math import ceil
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-ROW = "_row"
-HOT_SHARE = 0.001
-# Slices per partition a hot key would fill: slices land on partitions by hash, and many
-# small ones even out.
-SLICES = 4
-# Below this many rows even a single task holding all of them is no straggler.
-SMALL_ROWS = 5_000_000
-
-Ways = Mapping[object, int]
-
-
-def hot_keys(
-    df: DataFrame, columns: Sequence[str], small_rows: int = SMALL_ROWS
-) -> dict[str, Ways]:
-    """Per column, the values with more rows than an even shuffle partition has.
-
-    Each comes with the number of slices to cut its rows into. A frequent-items sketch
-    names at most 1/HOT_SHARE candidates per column and misses none above that
-    share; it takes one pass, bounded memory and no shuffle. A second pass counts the
-    candidates and the missing values. ``df`` should be a scan.
-    """
-    rows = df.count()
-    if rows <= small_rows:
-        return {c: {} for c in columns}
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = df.freqItems(list(columns), HOT_SHARE).first()
-
-    def ways(column: str) -> Ways:
-        values = [v for v in candidates[f"{column}_freqItems"] if v is not None]
-        counts = (
-            df.where(F.col(column).isin(values) | F.col(column).isNull())
-            .groupBy(F.col(column).alias("value"))
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") * partitions > rows)
-            .collect()
-        )
-        return {r["value"]: ceil(r["n"] * partitions * SLICES / rows) for r in counts}
-
-    return {c: ways(c) for c in columns}
-
-
-def with_row_number(scan: DataFrame) -> DataFrame:
-    """A number per row to spread hot keys by.
-
-    It depends on the file splits alone, so a task that runs again numbers its rows the
-    same way. For scans only: rows coming out of a shuffle have no fixed order.
-    """
-    return scan.withColumn(ROW, F.monotonically_increasing_id())
-
-
-def lookup(left: DataFrame, right: DataFrame, key: str, hot: Ways | None = None) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left outer join on ``key`` where a missing key matches a missing key.
 
     Catalyst broadcasts the right side when it is under the session's broadcast
-    threshold. Otherwise both sides shuffle on the key. Rows of a ``hot`` value are then
-    dealt to as many slices as ``hot`` says, by their row number (``with_row_number``),
-    and the right rows of that value are copied to each.
+    threshold. Otherwise both sides shuffle on the key, and adaptive execution splits the
+    partition of a hot key (the missing one too) among tasks, by its size at run time. For
+    that ``right`` should be a scan: a side that is already partitioned cannot be split.
     """
     right_key = f"_{key}"
     right = right.withColumnRenamed(key, right_key)
     match = F.col(key).eqNullSafe(F.col(right_key))
-    if not hot:
-        return left.join(right, match, "left").drop(right_key)
-
-    schema = T.StructType(
-        [T.StructField("_hot", left.schema[key].dataType), T.StructField("_ways", T.IntegerType())]
-    )
-    ways = left.sparkSession.createDataFrame(list(hot.items()), schema)
-
-    def with_ways(df: DataFrame, c: str) -> DataFrame:
-        # At most 1/HOT_SHARE rows and the missing value.
-        known = df.join(F.broadcast(ways), F.col(c).eqNullSafe(F.col("_hot")), "left")
-        return known.withColumn("_ways", F.coalesce("_ways", F.lit(1))).drop("_hot")
-
-    salt = F.pmod(F.col(ROW), F.col("_ways")).cast("int")
-    left = with_ways(left, key).withColumn("_salt", salt).drop("_ways")
-    copies = F.explode(F.sequence(F.lit(0), F.col("_ways") - 1))
-    right = with_ways(right, right_key).withColumn("_copy", copies).drop("_ways")
-    match = match & (F.col("_salt") == F.col("_copy"))
-    return left.join(right, match, "left").drop(right_key, "_salt", "_copy")
+    return left.join(right, match, "left").drop(right_key)
 
 
 def repeated(

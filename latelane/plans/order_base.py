@@ -23,7 +23,7 @@ from latelane.operators.enrich import (
     located_sellers,
     payments_per_order,
 )
-from latelane.operators.joins import ROW, SMALL_ROWS, hot_keys, lookup, repeated, with_row_number
+from latelane.operators.joins import lookup, repeated
 from latelane.operators.selection import histogram_median
 from latelane.sources.scratch import written
 
@@ -77,19 +77,16 @@ def with_reviews(orders: DataFrame, counted: DataFrame) -> DataFrame:
     )
 
 
-def order_facts(tables: Mapping[str, DataFrame], geo: DataFrame, small_rows: int) -> DataFrame:
+def order_facts(tables: Mapping[str, DataFrame], geo: DataFrame) -> DataFrame:
     """Orders with customer, payments, review scores and items, reviews still counted.
 
     After the customer lookup every join is on ``order_id``, and the sides joined in are
     aggregated to a row (reviews: a row per score) of an order first.
     """
-    hot = hot_keys(tables["orders"], ["customer_id"], small_rows)["customer_id"]
-    orders = with_row_number(delivery_columns(tables["orders"]))
-    customers = located_customers(tables["customers"], geo)
-    items = items_per_order(items_with_products(tables, small_rows))
+    customers = written(located_customers(tables["customers"], geo), "customers")
+    items = items_per_order(items_with_products(tables))
     return (
-        lookup(orders, customers, "customer_id", hot)
-        .drop(ROW)
+        lookup(delivery_columns(tables["orders"]), customers, "customer_id")
         .join(payments_per_order(tables["payments"]), "order_id", "left")
         .join(items, "order_id", "left")
         .transform(with_reviews, counted_reviews(tables["reviews"]))
@@ -139,7 +136,6 @@ def seller_lookup(sellers: DataFrame, history: DataFrame) -> DataFrame:
 def build_order_base(
     tables: Mapping[str, DataFrame],
     approximate_geo: bool = False,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """The enriched order table, at order and review grain.
 
@@ -149,22 +145,20 @@ def build_order_base(
     the broadcast threshold neither customers nor facts are shuffled to meet them.
     """
     geo = written(geo_centroids(tables["geolocation"], approximate_geo), "centroids")
-    facts = written(order_facts(tables, geo, small_rows), "order_facts")
-    hot = hot_keys(facts, ["seller_id", "customer_id"], small_rows)
+    facts = written(order_facts(tables, geo), "order_facts")
 
     history = late_history(facts, "seller_id", "seller_orders", "seller_late_rate")
     sellers = seller_lookup(located_sellers(tables["sellers"], geo), history)
     customers = late_history(facts, "customer_id", "customer_orders", "customer_late_rate")
     base = (
-        with_row_number(facts)
-        .transform(lookup, written(sellers, "sellers"), "seller_id", hot["seller_id"])
-        .transform(lookup, customers, "customer_id", hot["customer_id"])
+        lookup(facts, written(sellers, "sellers"), "seller_id")
+        .transform(lookup, written(customers, "customer_history"), "customer_id")
         .crossJoin(F.broadcast(review_fill(facts)))  # one row
         .withColumn("review_score", F.coalesce(F.col("review_score").cast("double"), "fill_score"))
         .withColumn(
             "distance_km",
             great_circle_km("customer_lat", "customer_lng", "seller_lat", "seller_lng"),
         )
-        .drop("fill_score", ROW)
+        .drop("fill_score")
     )
     return repeated(base, "copies", facts)

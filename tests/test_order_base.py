@@ -123,11 +123,10 @@ def test_places(base):
     assert o1["distance_km"] > 4000
 
 
-def test_orders_are_not_lost_to_skew_handling(spark, base, tables):
-    """Every threshold down to nothing gives the same table."""
+def test_orders_are_not_lost_to_hot_keys(spark):
+    """A third of all orders, items and reviews on one key: the same rows with and without
+    broadcasts and skew splits."""
     star = marketplace_tables(spark, SMALL)
-    # A third of all orders by one customer, a third of the items of one product, and a
-    # third of the reviews on one order.
     hot = F.col("order_id") % 3 == 0
     star["orders"] = star["orders"].withColumn(
         "customer_id", F.when(hot, 7).otherwise(F.col("customer_id"))
@@ -141,15 +140,40 @@ def test_orders_are_not_lost_to_skew_handling(spark, base, tables):
     star["reviews"] = star["reviews"].withColumn(
         "order_id", F.when(hot, 9).otherwise(F.col("order_id"))
     )
-    plain = build_order_base(star)
-    careful = build_order_base(star, small_rows=0)
 
     def rounded_rows(df):
         kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
         cells = [F.round(c, 6) if kinds[c] == "double" else F.col(c) for c in sorted(df.columns)]
         return Counter(map(tuple, df.select(cells).collect()))
 
-    assert rounded_rows(plain) == rounded_rows(careful)
+    plain = rounded_rows(build_order_base(star))
+    split = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for key, value in split.items():
+        spark.conf.set(key, value)
+    try:
+        assert rounded_rows(build_order_base(star)) == plain
+    finally:
+        for key in split:
+            spark.conf.unset(key)
+
+
+def test_items_are_read_and_joined_once(spark):
+    """One scan of the items, one product join, two shuffles for the per-order step."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = enrich.items_with_products(marketplace_tables(spark, SMALL))
+        plan = enrich.items_per_order(items)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("lineitem") == 1 and plan.count("SortMergeJoin") == 1
+    assert plan.count("Exchange hashpartitioning") <= 4
 
 
 def test_mode_ties_and_unknown(spark):
