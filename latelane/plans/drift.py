@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from latelane.functions.columns import late_share
+from latelane.functions.columns import late_share, ratio
 from latelane.ml.delay_model import training_rows
 from latelane.operators.split import SEED, fixed_sample
 
@@ -16,30 +14,28 @@ RETRAIN_ABOVE = 1.1
 WATCH_ABOVE = 1.05
 SAMPLE_ROWS = 80
 
-RECOMMENDATIONS = {
-    "retrain": "Predicted lateness is over 10% above its history: plan a retraining soon.",
-    "watch": "Predicted lateness is up but within bounds: keep a close eye on the model.",
-    "stable": "The model is stable: retrain once lateness rises by over 10% or the sales"
-    " mix shifts.",
-}
 
 
 def tier(rate: Column, baseline: Column) -> Column:
-    """retrain, watch or stable; both limits are exclusive."""
-    return (
+    """retrain, watch or stable; both limits are exclusive. Null without a rate or baseline,
+    so that an empty batch never passes as healthy."""
+    known = rate.isNotNull() & baseline.isNotNull()
+    return F.when(
+        known,
         F.when(rate > baseline * RETRAIN_ABOVE, "retrain")
         .when(rate > baseline * WATCH_ABOVE, "watch")
-        .otherwise("stable")
+        .otherwise("stable"),
     )
 
 
-def with_tier(
-    rates: DataFrame, texts: Mapping[str, str] = RECOMMENDATIONS
-) -> DataFrame:
-    """Adds tier and recommendation to (expected_late_rate, baseline_late_rate) rows."""
-    level = tier(F.col("expected_late_rate"), F.col("baseline_late_rate"))
-    texts_by_tier = F.create_map(*[F.lit(v) for pair in texts.items() for v in pair])
-    return rates.withColumn("tier", level).withColumn("recommendation", texts_by_tier[F.col("tier")])
+def with_tier(rates: DataFrame) -> DataFrame:
+    """Adds the tier and the reason for it to (expected_late_rate, baseline_late_rate) rows."""
+    expected, baseline = F.col("expected_late_rate"), F.col("baseline_late_rate")
+    by = (ratio(expected, baseline) - 1) * 100
+    change = F.when(by.isNotNull(), F.format_string("%+.1f%% against history", by))
+    limits = F.lit(f"; watch over {WATCH_ABOVE:g}x, retrain over {RETRAIN_ABOVE:g}x")
+    reason = F.coalesce(F.concat(change, limits), F.lit("nothing to compare"))
+    return rates.withColumn("tier", tier(expected, baseline)).withColumn("recommendation", reason)
 
 
 def historical_late_rate(delivered: DataFrame) -> DataFrame:

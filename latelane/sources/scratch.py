@@ -41,11 +41,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_partitions(spark: SparkSession, rows: int, rows_each: int = 10_000) -> int:
-    """Partitions for repeated passes over ``rows`` rows: every core busy, none for crumbs."""
-    most = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    return max(1, min(most, rows // rows_each))

@@ -36,23 +36,29 @@ def labelled(spark, n=500):
 
 def test_split_is_exact_and_loses_nothing(spark):
     df = written(labelled(spark), "labelled")
-    plain = split.stratified_split(df, "label")
-    searched = split.stratified_split(df, "label", group_rows=0)
+    rows = split.stratified_split(df, "label")
     wanted = {r["label"]: round(r["count"] * 0.2) for r in df.groupBy("label").count().collect()}
-    for rows in (plain, searched):
-        got = {r["label"]: r["n"] for r in rows.groupBy("label").agg(
-            F.count_if("is_test").alias("n")).collect()}
-        assert got == wanted
-        assert Counter(map(tuple, rows.select(df.columns).collect())) == Counter(
-            map(tuple, df.collect())
-        )
-    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, searched.collect()))
+    got = {r["label"]: r["n"] for r in rows.groupBy("label").agg(
+        F.count_if("is_test").alias("n")).collect()}
+    assert got == wanted
+    assert Counter(map(tuple, rows.select(df.columns).collect())) == Counter(
+        map(tuple, df.collect())
+    )
+    again = split.stratified_split(df.repartition(3), "label")
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, again.collect()))
+
+
+def test_rows_without_a_label_are_kept_out_of_the_test_part(spark):
+    df = labelled(spark).withColumn("label", F.expr("case when order_id % 7 <> 1 then label end"))
+    rows = split.stratified_split(written(df, "partly_labelled"), "label").collect()
+    assert len(rows) == df.count()
+    assert not any(r["is_test"] for r in rows if r["label"] is None)
 
 
 def test_split_inside_a_group_of_copies(spark):
     df = spark.createDataFrame([(1, 1, True)] * 50 + [(i, 1, False) for i in range(10)],
                                "order_id int, review_score int, label boolean")
-    rows = split.stratified_split(df, "label", group_rows=0)
+    rows = split.stratified_split(df, "label")
     got = Counter((r["label"], r["is_test"]) for r in rows.collect())
     assert got == {(True, True): 10, (True, False): 40, (False, True): 2, (False, False): 8}
 
@@ -144,16 +150,52 @@ def test_model_is_useful_repeatable_and_saved(spark, trained, delivered, tmp_pat
     assert difference.isEmpty()
 
 
+def test_model_does_not_depend_on_the_cluster(spark, delivered):
+    scores = []
+    for partitions in ("4", "16"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            trained = delay_model.train(delivered.repartition(int(partitions)), trees=10, max_depth=5)
+            scores.append(sorted(map(tuple, trained.test_scores.collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert scores[0] == scores[1]
+
+
+def test_fit_is_bounded_and_scoring_is_not(delivered):
+    rows = written(delay_model.training_rows(delivered), "training_rows")
+    some = delay_model.fitting_rows(rows, most=300)
+    assert 200 < some.count() < 400 and some.rdd.getNumPartitions() == delay_model.FIT_PARTITIONS
+    assert delay_model.fitting_rows(rows, most=10**9).count() == rows.count()
+    trained = delay_model.train(delivered, trees=5, max_depth=3, max_training_rows=200)
+    assert trained.test_scores.count() == pytest.approx(0.2 * rows.count(), abs=2)
+
+
 @pytest.mark.parametrize(
     "rate, baseline, tier",
     [(0.56, 0.5, "retrain"), (0.53, 0.5, "watch"), (0.5, 0.5, "stable"),
-     (0.5 * 1.1, 0.5, "watch"), (0.5 * 1.05, 0.5, "stable"), (0.0, 0.0, "stable")],
+     (0.5 * 1.1, 0.5, "watch"), (0.5 * 1.05, 0.5, "stable"), (0.0, 0.0, "stable"),
+     (None, 0.5, None), (0.5, None, None)],
 )
 def test_tiers(spark, rate, baseline, tier):
     rates = spark.createDataFrame([(rate, baseline)],
                                   "expected_late_rate double, baseline_late_rate double")
     row = drift.with_tier(rates).first()
-    assert row["tier"] == tier and row["recommendation"] == drift.RECOMMENDATIONS[tier]
+    assert row["tier"] == tier
+
+
+def test_an_empty_batch_is_not_healthy(trained, delivered):
+    row = drift.drift_check(trained.model, delivered.where("false"), delivered).first()
+    assert (row["orders"], row["tier"], row["recommendation"]) == (0, None, "nothing to compare")
+
+
+def test_missing_scores_are_counted(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, 0.1), (1, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert tuple(evaluation.roc_auc(df).first()) == (0.75, 2)
+    assert tuple(evaluation.roc_auc(df.where("false")).first()) == (None, 0)
+    odd = spark.createDataFrame([(1, float("inf")), (0, float("-inf")), (0, 1.7e308)], "label int, score double")
+    assert tuple(evaluation.roc_auc(odd).first()) == (1.0, 0)
 
 
 def test_drift_check_of_any_batch(trained, delivered):
