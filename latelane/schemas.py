@@ -34,7 +34,7 @@ TABLES: dict[str, T.StructType] = {
         order_id=_ID, payment_type=_TEXT, payment_installments=_INT, payment_value=_REAL
     ),
     "reviews": _table(
-        order_id=_ID, review_score=_INT, review_creation_date=_TIME, review_answer_timestamp=_TIME
+        order_id=_ID, review_score=_REAL, review_creation_date=_TIME, review_answer_timestamp=_TIME
     ),
     "orders": _table(
         order_id=_ID,

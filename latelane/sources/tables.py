@@ -33,47 +33,68 @@ def _present(text: Column) -> Column:
     return F.when(~text.isin(MISSING_TOKENS), text)
 
 
+def _is_number(kind: T.DataType) -> bool:
+    return isinstance(kind, T.NumericType)
+
+
 def _parsed(text: Column, kind: T.DataType) -> Column:
-    """The cell as its declared type, null when it cannot be read as that."""
+    """The text as its declared type, null when it cannot be read as that."""
     if isinstance(kind, T.StringType):
         return text
-    if isinstance(kind, T.IntegerType):
-        number = text.try_cast("double")
-        return F.when(number == F.floor(number), number.try_cast("int"))
-    if isinstance(kind, T.DoubleType):
-        number = text.try_cast("double")
-        return F.when(~F.isnan(number), number)
+    if _is_number(kind):
+        return _number(text.try_cast("double"), kind)
     return text.try_cast(kind)
 
 
-def _csv_table(spark: SparkSession, path: str, table: str, multiline: bool | None) -> DataFrame:
-    """Raw text columns of one CSV table.
+def _number(number: Column, kind: T.DataType) -> Column:
+    """A double as the declared type: NaN is missing, a fraction is no whole number."""
+    present = F.nanvl(number, F.lit(None).cast("double"))
+    if isinstance(kind, T.IntegerType):
+        return F.when(present == F.floor(present), present.try_cast("int"))
+    return present
 
-    A multi-line file cannot be split between tasks, so it is read that way only when it
-    has columns beyond the declared ones (free text may hold line breaks; ids, numbers
-    and dates do not), unless the caller says otherwise.
+
+def _cell(name: str, given: T.DataType, kind: T.DataType | None) -> tuple[Column, Column]:
+    """(whether a cell is present, its value) of a column, by one rule for CSV and Parquet.
+
+    Columns that are not declared and ids of any type but text stay as they are.
     """
-    declared = set(TABLES[table].names)
-    raw = _csv_source(spark, path, bool(multiline))
-    if multiline is None and not set(raw.columns) <= declared:
-        raw = _csv_source(spark, path, True)
-    return raw
+    cell = F.col(name)
+    if isinstance(given, T.StringType):
+        text = _present(cell)
+        return text.isNotNull(), _parsed(text, kind or given)
+    if kind is None or name.endswith("_id") or isinstance(kind, T.StringType):
+        return cell.isNotNull(), cell if kind is None or name.endswith("_id") else cell.cast(kind)
+    if _is_number(kind) and _is_number(given):
+        number = cell.cast("double")
+        return cell.isNotNull() & ~F.isnan(number), _number(number, kind)
+    return cell.isNotNull(), cell.try_cast(kind)
+
+
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell holds a line break.
+
+    Then some physical line has an odd number of quotes; one splittable pass tells.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
-def _typed(raw: DataFrame, table: str) -> DataFrame:
-    kinds = {f.name: f.dataType for f in TABLES[table].fields}
-    return raw.select(
-        [_parsed(_present(F.col(c)), kinds.get(c, T.StringType())).alias(c) for c in raw.columns]
-    )
+def _csv_table(spark: SparkSession, path: str, multiline: bool | None) -> DataFrame:
+    """Raw text columns of one CSV table.
+
+    A file with line breaks inside quotes cannot be split between tasks, so the content
+    decides whether it is read that way, unless the caller does.
+    """
+    if multiline is None:
+        multiline = _spans_lines(spark, path)
+    return _csv_source(spark, path, multiline)
 
 
-def _cast_columns(df: DataFrame, table: str) -> DataFrame:
-    """Parquet input: declared columns get their declared type, ids keep theirs."""
+def _typed(raw: DataFrame, table: str) -> DataFrame:
     kinds = {f.name: f.dataType for f in TABLES[table].fields}
-    keep = {c for c in df.columns if c not in kinds or c.endswith("_id")}
-    return df.select(
-        [F.col(c) if c in keep else F.col(c).cast(kinds[c]).alias(c) for c in df.columns]
-    )
+    given = {f.name: f.dataType for f in raw.schema.fields}
+    return raw.select([_cell(c, given[c], kinds.get(c))[1].alias(c) for c in raw.columns])
 
 
 def _open(
@@ -88,7 +109,7 @@ def _open(
         try:
             if kind == "parquet":
                 return kind, spark.read.parquet(path)
-            return kind, _csv_table(spark, path, table, multiline)
+            return kind, _csv_table(spark, path, multiline)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -116,17 +137,15 @@ def load_tables(
     """The nine tables as lazy, typed DataFrames.
 
     Every table and needed column is checked first, and one error names all that is
-    missing. A CSV cell that cannot be read as its declared type becomes null;
-    ``rejected_cells`` counts them. With ``convert`` CSV tables are written as Parquet
+    missing. A cell that cannot be read as its declared type becomes null, from CSV and
+    Parquet alike; ``rejected_cells`` counts them. With ``convert`` CSV tables are written as Parquet
     first: text is then parsed once, and later scans are split and pruned. Of tables
     whose other columns do not pass through, only the needed ones are written.
     """
 
     def typed(table: str, kind: str, df: DataFrame) -> DataFrame:
-        if kind != "csv":
-            return _cast_columns(df, table)
         parsed = _typed(df, table)
-        if not convert:
+        if kind != "csv" or not convert:
             return parsed
         needed = parsed.columns if table in PASS_THROUGH else required_columns(table)
         return written(parsed.select(needed), table)
@@ -140,26 +159,18 @@ def load_tables(
 def rejected_cells(
     spark: SparkSession, base: str, multiline: bool | None = None
 ) -> DataFrame:
-    """Per table and column: how many present CSV cells could not be read as their type."""
+    """Per table and column: how many present cells could not be read as their type."""
     counts = None
-    for table, (kind, raw) in _open_all(spark, base, multiline).items():
-        if kind != "csv":
-            continue
+    for table, (_, raw) in _open_all(spark, base, multiline).items():
+        given = {f.name: f.dataType for f in raw.schema.fields}
         typed = [f for f in TABLES[table].fields
-                 if f.name in raw.columns and not isinstance(f.dataType, T.StringType)]
+                 if f.name in given and not isinstance(f.dataType, T.StringType)]
         if not typed:
             continue
+        cells = {f.name: _cell(f.name, given[f.name], f.dataType) for f in typed}
         bad = raw.agg(
-            *[
-                F.count_if(
-                    _present(F.col(f.name)).isNotNull()
-                    & _parsed(_present(F.col(f.name)), f.dataType).isNull()
-                ).alias(f.name)
-                for f in typed
-            ]
+            *[F.count_if(there & value.isNull()).alias(c) for c, (there, value) in cells.items()]
         ).unpivot([], [f.name for f in typed], "column_name", "rejected")
         bad = bad.select(F.lit(table).alias("table_name"), "column_name", "rejected")
         counts = bad if counts is None else counts.unionByName(bad)
-    if counts is None:
-        return spark.createDataFrame([], "table_name string, column_name string, rejected bigint")
     return counts

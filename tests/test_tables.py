@@ -5,7 +5,7 @@ import pytest
 
 from latelane.plans.pipeline import run_pipeline
 from latelane.schemas import CSV_STEMS, TABLES
-from latelane.sources import sinks
+from latelane.sources import sinks, tables as tables_module
 from latelane.sources.scratch import scratch_root
 from latelane.sources.star import marketplace_tables
 from latelane.sources.tables import MissingInputsError, load_tables, rejected_cells
@@ -90,7 +90,7 @@ def test_parquet_folder(spark, tmp_path):
     tables = load_tables(spark, str(tmp_path))
     assert tables["orders"].schema["order_id"].dataType.typeName() == "long"
     assert tables["items"].exceptAll(source["items"]).isEmpty()
-    assert rejected_cells(spark, str(tmp_path)).isEmpty()
+    assert rejected_cells(spark, str(tmp_path)).where("rejected > 0").isEmpty()
 
 
 def test_csv_keeps_every_row(spark, tmp_path):
@@ -107,6 +107,62 @@ def test_csv_keeps_every_row(spark, tmp_path):
     assert converted["reviews"].columns == ["order_id", "review_score"]
 
 
+PRODUCTS = HEADERS["products"] + "\n"
+
+
+def test_a_quoted_line_break_tears_no_row(spark, folder):
+    (folder / "shop_products_dataset.csv").write_text(
+        PRODUCTS + 'p1,"toys\nand games",100,1,1,1\np2,plain,2,2,2,2\n'
+    )
+    rows = load_tables(spark, str(folder))["products"].orderBy("product_id").collect()
+    assert [(r["product_id"], r["product_category_name"]) for r in rows] == [
+        ("p1", "toys\nand games"), ("p2", "plain"),
+    ]
+    assert rejected_cells(spark, str(folder)).where("rejected > 0").isEmpty()
+
+
+def test_content_decides_how_a_file_is_split(spark, folder):
+    path = folder / "shop_products_dataset.csv"
+    path.write_text('product_id,note\np1,"a ""quoted"" word, and a comma"\n')
+    assert not tables_module._spans_lines(spark, str(path))
+    path.write_text('product_id,note\np1,"a\nb"\n')
+    assert tables_module._spans_lines(spark, str(path))
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet", "text"])
+def test_one_cell_rule_for_all_sources(spark, folder, kind):
+    cells = [("o1", 4.5), ("o2", float("nan")), ("o3", float("inf")), ("o4", None)]
+    frame = spark.createDataFrame(cells, "order_id string, review_score double")
+    items = frame.selectExpr(
+        "order_id", "1 as order_item_id", "'p' as product_id", "'s' as seller_id",
+        "review_score as price", "review_score as freight_value",
+    )
+    for name, df in (("reviews", frame), ("items", items)):
+        for old in folder.glob(f"*{CSV_STEMS[name]}.csv"):
+            shutil.move(old, folder / f"{old.stem}.unused")
+        if kind == "csv":
+            sinks.write_csv(df, str(folder / f"{name}.csv"))
+            continue
+        texts = df.select([df[c].cast("string") for c in df.columns]) if kind == "text" else df
+        texts.write.parquet(str(folder / f"{name}.parquet"))
+    tables = load_tables(spark, str(folder))
+    scores = {r["order_id"]: r["review_score"] for r in tables["reviews"].collect()}
+    assert scores == {"o1": 4.5, "o2": None, "o3": float("inf"), "o4": None}
+    prices = {r["order_id"]: r["price"] for r in tables["items"].collect()}
+    assert prices == scores
+    assert tables["items"].schema["order_item_id"].dataType.typeName() == "integer"
+    assert rejected_cells(spark, str(folder)).where("rejected > 0").isEmpty()
+
+
+def test_unreadable_parquet_cells_are_counted(spark, folder):
+    frame = spark.createDataFrame([("o1", "five"), ("o2", "5"), ("o3", "NA")], "order_id string, review_score string")
+    frame.write.parquet(str(folder / "reviews.parquet"))
+    loaded = load_tables(spark, str(folder))["reviews"].orderBy("order_id").collect()
+    assert [r["review_score"] for r in loaded] == [None, 5.0, None]
+    rejected = rejected_cells(spark, str(folder)).where("rejected > 0").collect()
+    assert [tuple(r) for r in rejected] == [("reviews", "review_score", 1)]
+
+
 def test_json_records_keep_nulls(spark, tmp_path):
     df = spark.createDataFrame([("a", None)], "x string, y int")
     path = sinks.write_json_records(df, str(tmp_path / "records"))
