@@ -10,7 +10,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from pyspark.ml import Pipeline
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from entry_sql import oracle_queries
 from latelane.functions.columns import first_token, freight_ratio
@@ -173,7 +173,7 @@ def _slots(w: Workspace) -> DataFrame:
 
 
 def _rule_scores(w: Workspace) -> DataFrame:
-    return w.delivered.where("seller_late_rate is not null").select(
+    return w.delivered.select(
         F.col("is_late").cast("int").alias("label"),
         F.col("seller_late_rate").alias("score"),
         (F.col("seller_late_rate") > 0.4).cast("int").alias("prediction"),
@@ -219,6 +219,65 @@ def _csv_roundtrip(w: Workspace) -> DataFrame:
     return result
 
 
+def _placed(ranking: DataFrame) -> DataFrame:
+    """A sorted ranking with the place each row came out at (groups are few)."""
+    order = Window.orderBy(F.monotonically_increasing_id())
+    return ranking.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+def _quoted_lines(w: Workspace) -> DataFrame:
+    """Products whose category holds quotes and line breaks, written as CSV and loaded."""
+    folder = scratch_path(w.spark, "quoted_csv")
+    text = F.concat(F.col("product_category_name"), F.lit('\n"q", '), F.col("product_id"))
+    for name, df in w.tables.items():
+        if name == "products":
+            df = df.withColumn("product_category_name", text)
+        sinks.write_csv(df, f"{folder}/{name}.csv")
+    loaded = load_tables(w.spark, folder)["products"]
+    return loaded.select(
+        F.col("product_id").cast("bigint").alias("product_id"), "product_category_name",
+        "product_weight_g", "product_width_cm",
+    )
+
+
+def _model_rows(w: Workspace) -> DataFrame:
+    """What SQL can check of the scored test rows."""
+    return w.trained.test_scores.select(
+        "order_id",
+        "review_score",
+        F.col("label").cast("int").alias("label"),
+        F.col("score").between(0, 1).alias("score_in_range"),
+        (F.col("prediction") == (F.col("score") > 0.5).cast("double")).alias("prediction_follows"),
+    )
+
+
+def _model_quality(w: Workspace) -> DataFrame:
+    """Support per class, and whether quality is in range and above chance."""
+    auc = F.broadcast(w.trained.auc())  # one row
+    in_range = F.col("precision").between(0, 1) & F.col("recall").between(0, 1)
+    return w.trained.report().crossJoin(auc).select(
+        "class", "support", in_range.alias("in_range"), (F.col("roc_auc") > 0.6).alias("useful")
+    )
+
+
+def _drift_rule(w: Workspace) -> DataFrame:
+    """The drift check with its tier made again from the two rates."""
+    by = F.col("expected_late_rate") / F.col("baseline_late_rate")
+    again = F.when(by > 1.1, "retrain").when(by > 1.05, "watch").otherwise("stable")
+    return w.drift.select(
+        "orders",
+        F.round("baseline_late_rate", 6).alias("baseline_late_rate"),
+        F.col("expected_late_rate").between(0, 1).alias("rate_in_range"),
+        (F.col("tier") == again).alias("tier_follows"),
+    )
+
+
+def _report_headline_texts(w: Workspace) -> DataFrame:
+    return _report(w).select(
+        "total_revenue_text", "avg_ticket_text", "top_category", "top_state", "latest_state"
+    )
+
+
 def _mart(w: Workspace, name: str) -> DataFrame:
     return pipeline.mart_tables(w.base)[name]
 
@@ -284,13 +343,13 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
             "avg_review_score_text",
         ),
         "revenue_by_category": lambda w: _rounded(
-            metrics.revenue_ranking(w.delivered, "category_most_common"), revenue=2
+            _placed(metrics.revenue_ranking(w.delivered, "category_most_common")), revenue=2
         ),
         "revenue_by_state": lambda w: _rounded(
-            metrics.revenue_ranking(w.delivered, "customer_state"), revenue=2
+            _placed(metrics.revenue_ranking(w.delivered, "customer_state")), revenue=2
         ),
         "delay_by_state": lambda w: _rounded(
-            metrics.delay_ranking(w.delivered, "customer_state"), revenue=2
+            _placed(metrics.delay_ranking(w.delivered, "customer_state")), revenue=2
         ),
         "top_category": lambda w: _rounded(
             metrics.top(metrics.revenue_ranking(w.delivered, "category_most_common"), 1), revenue=2
@@ -338,7 +397,7 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         "onehot_categorical": _slots,
         "auc_of_score": lambda w: _rounded(evaluation.roc_auc(_rule_scores(w))),
         "classification_report_of_score": lambda w: _rounded(
-            evaluation.classification_report(_rule_scores(w))
+            evaluation.classification_report(_rule_scores(w).where("score is not null"))
         ),
         "drift_tier_by_state": lambda w: _rounded(_drift_by_state(w)),
         "historical_late_rate": lambda w: _rounded(drift.historical_late_rate(w.delivered)),
@@ -348,6 +407,11 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
             "top_state_revenue_text", "latest_state", "latest_state_late_rate_text",
         ),
         "csv_roundtrip": _csv_roundtrip,
+        "csv_quoted_lines": _quoted_lines,
+        "late_model_rows": _model_rows,
+        "late_model_quality": _model_quality,
+        "drift_check_rule": _drift_rule,
+        "report_texts": _report_headline_texts,
         "late_model_scores": lambda w: _rounded(w.trained.test_scores, score=6),
         "late_model_metrics": lambda w: _rounded(_model_metrics(w)),
         "drift_check": lambda w: w.drift,

@@ -25,13 +25,13 @@ m_items AS (
     l_extendedprice * abs(l_tax) AS freight_value
   FROM lineitem),
 m_payments AS (
-  SELECT l_orderkey AS order_id,
+  SELECT CASE WHEN l_orderkey % 89 <> 0 THEN l_orderkey END AS order_id,
     CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN NULL
       WHEN l_returnflag = 'A' THEN 'credit_card'
       WHEN l_returnflag = 'N' THEN 'boleto' ELSE 'voucher' END AS payment_type,
     CAST(l_quantity AS INT) % 12 + 1 AS payment_installments,
     l_extendedprice * (1 + abs(l_tax)) AS payment_value
-  FROM lineitem WHERE l_orderkey % 89 <> 0),
+  FROM lineitem),
 m_reviews AS (
   SELECT CAST(floor(event_id / 2) AS BIGINT) AS order_id,
     CASE WHEN event_type <> 'error' THEN CAST(user_id % 5 + 1 AS INT) END AS review_score,
@@ -46,24 +46,27 @@ m_products AS (
     CAST(p_size % 11 + 1 AS DOUBLE) AS product_width_cm
   FROM part),
 m_categories AS (
-  SELECT DISTINCT lower(p_type) AS product_category_name,
-    concat(lower(p_type), '_en') AS product_category_name_english
-  FROM part WHERE p_type NOT IN ('PROMO', 'STANDARD')),
+  SELECT DISTINCT
+    CASE WHEN p_type NOT IN ('PROMO', 'STANDARD') THEN lower(p_type) END AS product_category_name,
+    CASE WHEN p_type NOT IN ('PROMO', 'STANDARD') THEN concat(lower(p_type), '_en') END
+      AS product_category_name_english
+  FROM part),
 m_customers AS (
   SELECT c_custkey AS customer_id,
     CAST(c_nationkey * 10 + c_custkey % 10 AS INT) AS customer_zip_code_prefix,
     n_name AS customer_state
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 m_sellers AS (
-  SELECT s_suppkey AS seller_id,
+  SELECT CASE WHEN s_suppkey % 17 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS seller_id,
     CAST(s_nationkey * 10 + s_suppkey % 10 AS INT) AS seller_zip_code_prefix,
     n_name AS seller_state
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 m_geolocation AS (
-  SELECT CAST(c_nationkey * 10 + c_custkey % 10 AS INT) AS geolocation_zip_code_prefix,
+  SELECT CASE WHEN c_nationkey <> 24 THEN CAST(c_nationkey * 10 + c_custkey % 10 AS INT) END
+      AS geolocation_zip_code_prefix,
     CAST(c_nationkey * 120 + (c_custkey * 7) % 13 - 3000 AS DOUBLE) / 100 AS geolocation_lat,
     CAST(c_nationkey * 130 + (c_custkey * 5) % 17 - 7000 AS DOUBLE) / 100 AS geolocation_lng
-  FROM customer WHERE c_nationkey <> 24)"""
+  FROM customer)"""
 
 # Side tables at order, customer and seller grain.
 ENRICHED = """
@@ -225,6 +228,10 @@ def _revenue(key: str, select: str = "") -> str:
     )
 
 
+def _placed(ranking: str, key: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY revenue DESC, {key}) AS place FROM ({ranking})"
+
+
 _KPIS = """SELECT round(coalesce(sum(revenue), 0), 2) AS total_revenue,
   round(avg(revenue), 4) AS avg_ticket, round(avg(actual_delivery_days), 6) AS avg_delivery_days,
   round(avg(CAST(is_late AS INT)), 6) AS late_rate,
@@ -304,7 +311,8 @@ def _category_slots() -> str:
 
 
 _RANKED_AUC = """SELECT round((sum(CASE WHEN label = 1 THEN mid END) - p * (p + 1) / 2.0)
-  / (CAST(p AS DOUBLE) * n), 6) AS roc_auc
+  / (CAST(p AS DOUBLE) * n), 6) AS roc_auc,
+  (SELECT count(*) FROM delivered WHERE seller_late_rate IS NULL) AS unscored
   FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0
       AS mid, count_if(label = 1) OVER () AS p, count_if(label = 0) OVER () AS n
     FROM (SELECT CAST(is_late AS INT) AS label, seller_late_rate AS score FROM delivered
@@ -446,9 +454,15 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
         "order_base": _sql("base", f"SELECT {_BASE_COLUMNS} FROM base"),
         "kpi_summary": _sql("base", _KPIS),
         "kpi_formatted": _sql("base", f"SELECT {_KPI_TEXTS} FROM delivered"),
-        "revenue_by_category": _sql("base", _revenue("category_most_common")),
-        "revenue_by_state": _sql("base", _revenue("customer_state")),
-        "delay_by_state": _sql("base", _DELAYS),
+        "revenue_by_category": _sql(
+            "base", _placed(_revenue("category_most_common"), "category_most_common")
+        ),
+        "revenue_by_state": _sql("base", _placed(_revenue("customer_state"), "customer_state")),
+        "delay_by_state": _sql(
+            "base",
+            "SELECT *, row_number() OVER (ORDER BY late_rate DESC NULLS LAST,"
+            f" median_delay DESC NULLS LAST, customer_state) AS place FROM ({_DELAYS})",
+        ),
         "top_category": _sql(
             "base",
             _revenue("category_most_common") + " ORDER BY revenue DESC, category_most_common LIMIT 1",
@@ -606,4 +620,32 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
         ),
         "report_headline": _sql("base", _LEADERS),
         "csv_roundtrip": _sql("tables", _CSV_COUNTS),
+        "csv_quoted_lines": _sql(
+            "tables",
+            "SELECT product_id, product_category_name || chr(10) || '\"q\", '"
+            " || CAST(product_id AS VARCHAR) AS product_category_name, product_weight_g,"
+            " product_width_cm FROM m_products",
+        ),
+        "late_model_rows": _sql(
+            "split",
+            "SELECT order_id, review_score, label, true AS score_in_range,"
+            " true AS prediction_follows FROM split WHERE is_test",
+        ),
+        "late_model_quality": _sql(
+            "split",
+            """, tested AS (SELECT label, count(*) AS n FROM split WHERE is_test GROUP BY 1)
+SELECT CAST(label AS VARCHAR) AS class, n AS support, true AS in_range, true AS useful FROM tested
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), CAST(sum(n) AS BIGINT),
+  true, true FROM tested""",
+        ),
+        "drift_check_rule": _sql(
+            "base",
+            "SELECT CAST(80 AS BIGINT) AS orders, round(avg(CAST(is_late AS INT)), 6)"
+            " AS baseline_late_rate, true AS rate_in_range, true AS tier_follows FROM delivered",
+        ),
+        "report_texts": _sql(
+            "base",
+            "SELECT total_revenue_text, avg_ticket_text, top_category, top_state, latest_state"
+            f" FROM (WITH nothing AS (SELECT 1){_LEADERS})",
+        ),
     }

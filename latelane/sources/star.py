@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _ESTIMATE_HOURS = "24 * (12 + 4 * cast(substr(o_orderpriority, 1, 1) as int))"
 _SENT_HOURS = "o_orderkey % 24 + (o_orderkey * 37) % 480"
 _ARRIVED_HOURS = "o_orderkey % 24 + (o_orderkey * 37) % 960"
+_TRANSLATED = "p_type not in ('PROMO', 'STANDARD')"
+# A few ids occur twice, with another place each.
+_SELLER = "case when s_suppkey % 17 = 0 then s_suppkey - 1 else s_suppkey end"
 
 
 def _after(hours: str) -> str:
@@ -14,7 +17,10 @@ def _after(hours: str) -> str:
 
 
 def marketplace_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """Lazy marketplace tables over the star-schema Parquet files in ``base``."""
+    """Lazy marketplace tables over the star-schema Parquet files in ``base``.
+
+    Every row of the star schema is kept; keys and values that shall be missing are null.
+    """
 
     def star(name: str) -> DataFrame:
         return spark.read.parquet(f"{base}/{name}.parquet")
@@ -46,10 +52,8 @@ def marketplace_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
             "case when l_orderkey % 97 = 0 then cast(0 as double) else l_extendedprice end as price",
             "l_extendedprice * abs(l_tax) as freight_value",
         ),
-        "payments": star("lineitem")
-        .where("l_orderkey % 89 <> 0")
-        .selectExpr(
-            "l_orderkey as order_id",
+        "payments": star("lineitem").selectExpr(
+            "case when l_orderkey % 89 <> 0 then l_orderkey end as order_id",
             "case when l_linestatus = 'O' and l_linenumber = 7 then null"
             " when l_returnflag = 'A' then 'credit_card'"
             " when l_returnflag = 'N' then 'boleto' else 'voucher' end as payment_type",
@@ -70,24 +74,23 @@ def marketplace_tables(spark: SparkSession, base: str) -> dict[str, DataFrame]:
             "cast(p_size % 7 + 1 as double) as product_height_cm",
             "cast(p_size % 11 + 1 as double) as product_width_cm",
         ),
-        "categories": part.where("p_type not in ('PROMO', 'STANDARD')")
-        .selectExpr(
-            "lower(p_type) as product_category_name",
-            "concat(lower(p_type), '_en') as product_category_name_english",
-        )
-        .distinct(),
+        "categories": part.selectExpr(
+            f"case when {_TRANSLATED} then lower(p_type) end as product_category_name",
+            f"case when {_TRANSLATED} then concat(lower(p_type), '_en') end"
+            " as product_category_name_english",
+        ).distinct(),
         "customers": located_customers.selectExpr(
             "c_custkey as customer_id",
             f"{customer_zip} as customer_zip_code_prefix",
             "n_name as customer_state",
         ),
         "sellers": located_suppliers.selectExpr(
-            "s_suppkey as seller_id",
+            f"{_SELLER} as seller_id",
             "cast(s_nationkey * 10 + s_suppkey % 10 as int) as seller_zip_code_prefix",
             "n_name as seller_state",
         ),
-        "geolocation": customer.where("c_nationkey <> 24").selectExpr(
-            f"{customer_zip} as geolocation_zip_code_prefix",
+        "geolocation": customer.selectExpr(
+            f"case when c_nationkey <> 24 then {customer_zip} end as geolocation_zip_code_prefix",
             "cast(c_nationkey * 120 + (c_custkey * 7) % 13 - 3000 as double) / 100"
             " as geolocation_lat",
             "cast(c_nationkey * 130 + (c_custkey * 5) % 17 - 7000 as double) / 100"
