@@ -274,7 +274,7 @@ def _drift_rule(w: Workspace) -> DataFrame:
 
 def _report_headline_texts(w: Workspace) -> DataFrame:
     return _report(w).select(
-        "total_revenue_text", "avg_ticket_text", "top_category", "top_state", "latest_state"
+        "total_revenue_text", "avg_ticket_text", "top_category", "top_state", "most_late_state"
     )
 
 
@@ -404,7 +404,7 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         "report_headline": lambda w: pipeline.report_headline(pipeline.mart_tables(w.base)).select(
             "total_revenue_text", "avg_ticket_text", "avg_delivery_days_text", "late_rate_text",
             "avg_review_score_text", "top_category", "top_category_revenue_text", "top_state",
-            "top_state_revenue_text", "latest_state", "latest_state_late_rate_text",
+            "top_state_revenue_text", "most_late_state", "most_late_state_late_rate_text",
         ),
         "csv_roundtrip": _csv_roundtrip,
         "csv_quoted_lines": _quoted_lines,

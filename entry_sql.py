@@ -250,14 +250,14 @@ by_state AS (
   SELECT customer_state AS top_state, coalesce(sum(revenue), 0) AS r FROM delivered
   WHERE customer_state IS NOT NULL GROUP BY 1 ORDER BY r DESC, 1 LIMIT 1),
 by_delay AS (
-  SELECT customer_state AS latest_state, avg(CAST(is_late AS INT)) AS rate FROM delivered
+  SELECT customer_state AS most_late_state, avg(CAST(is_late AS INT)) AS rate FROM delivered
   WHERE customer_state IS NOT NULL GROUP BY 1
   ORDER BY rate DESC, median(delivery_delay) DESC NULLS LAST, 1 LIMIT 1),
 headline AS (SELECT {_KPI_TEXTS} FROM delivered)
 SELECT headline.*, top_category,
   concat('R$ ', format('{{:,.2f}}', by_category.r)) AS top_category_revenue_text, top_state,
-  concat('R$ ', format('{{:,.2f}}', by_state.r)) AS top_state_revenue_text, latest_state,
-  concat(format('{{:.2f}}', rate * 100), '%') AS latest_state_late_rate_text
+  concat('R$ ', format('{{:,.2f}}', by_state.r)) AS top_state_revenue_text, most_late_state,
+  concat(format('{{:.2f}}', rate * 100), '%') AS most_late_state_late_rate_text
 FROM headline, by_category, by_state, by_delay"""
 
 _DELAYS = """SELECT customer_state, round(avg(CAST(is_late AS INT)), 6) AS late_rate,
@@ -645,7 +645,7 @@ UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), CAST(sum(n)
         ),
         "report_texts": _sql(
             "base",
-            "SELECT total_revenue_text, avg_ticket_text, top_category, top_state, latest_state"
+            "SELECT total_revenue_text, avg_ticket_text, top_category, top_state, most_late_state"
             f" FROM (WITH nothing AS (SELECT 1){_LEADERS})",
         ),
     }

@@ -11,7 +11,7 @@ from latelane.ml.delay_model import MAX_DEPTH, TREES, TrainedModel, train
 from latelane.operators import cube as cubes, metrics
 from latelane.plans.drift import sampled_drift_check
 from latelane.plans.order_base import build_order_base
-from latelane.sources.scratch import written
+from latelane.sources.scratch import scratch_run, written
 from latelane.sources.sinks import write_json_records, write_marts
 from latelane.sources.tables import load_tables
 
@@ -53,7 +53,7 @@ def report_headline(marts: Mapping[str, DataFrame]) -> DataFrame:
     parts = [
         _leader(marts["revenue_by_category"], "category_most_common", "revenue", "top_category"),
         _leader(marts["revenue_by_state"], "customer_state", "revenue", "top_state"),
-        _leader(marts["delay_by_state"], "customer_state", "late_rate", "latest_state"),
+        _leader(marts["delay_by_state"], "customer_state", "late_rate", "most_late_state"),
     ]
     report = marts["kpi_summary"]
     for part in parts:
@@ -62,7 +62,7 @@ def report_headline(marts: Mapping[str, DataFrame]) -> DataFrame:
         {
             "top_category_revenue_text": money_text("top_category_revenue"),
             "top_state_revenue_text": money_text("top_state_revenue"),
-            "latest_state_late_rate_text": percent_text("latest_state_late_rate"),
+            "most_late_state_late_rate_text": percent_text("most_late_state_late_rate"),
         }
     )
 
@@ -93,8 +93,16 @@ def run_pipeline(
     """Runs everything on the tables in ``base_path``; returns the paths written.
 
     Each mart is written once, under ``out``; the rankings for the report are read back
-    from there. The model is saved under ``out`` as well.
+    from there. The model is saved under ``out`` as well. Intermediate tables are deleted
+    when the run ends.
     """
+    with scratch_run(spark):
+        return _run(spark, base_path, out, trees, max_depth)
+
+
+def _run(
+    spark: SparkSession, base_path: str, out: str, trees: int, max_depth: int
+) -> dict[str, str]:
     base = written(build_order_base(load_tables(spark, base_path, convert=True)), "order_base")
     delivered = metrics.delivered_only(base)
     paths = write_marts(mart_tables(base), out)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_run: ContextVar[str | None] = ContextVar("run", default=None)
 
 
 @cache
@@ -28,7 +32,24 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses."""
-    return f"{scratch_root(spark)}/latelane/{uuid.uuid4().hex}/{name}"
+    run = _run.get()
+    place = f"{run}/{uuid.uuid4().hex}" if run else uuid.uuid4().hex
+    return f"{scratch_root(spark)}/latelane/{place}/{name}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[str]:
+    """Everything written inside lies in one folder, which is deleted at the end, after a
+    failure too. What outlives the run must have been written elsewhere by then."""
+    run = uuid.uuid4().hex
+    token = _run.set(run)
+    folder = f"{scratch_root(spark)}/latelane/{run}"
+    try:
+        yield folder
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

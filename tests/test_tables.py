@@ -1,12 +1,13 @@
 import shutil
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
 from latelane.plans.pipeline import run_pipeline
 from latelane.schemas import CSV_STEMS, TABLES
 from latelane.sources import sinks, tables as tables_module
-from latelane.sources.scratch import scratch_root
+from latelane.sources.scratch import scratch_root, scratch_run, written
 from latelane.sources.star import marketplace_tables
 from latelane.sources.tables import MissingInputsError, load_tables, rejected_cells
 
@@ -173,10 +174,25 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
+def scratch_files(spark):
+    return {str(p) for p in Path(scratch_root(spark)).glob("latelane/*/*")}
+
+
+def test_scratch_goes_after_a_failure_too(spark):
+    before = scratch_files(spark)
+    with pytest.raises(RuntimeError):
+        with scratch_run(spark):
+            assert written(spark.range(3), "three").count() == 3
+            raise RuntimeError
+    assert scratch_files(spark) == before
+
+
 def test_whole_run(spark, tmp_path):
     for name, df in marketplace_tables(spark, SMALL).items():
         sinks.write_csv(df, str(tmp_path / "in" / f"{name}.csv"))
+    before = scratch_files(spark)
     paths = run_pipeline(spark, str(tmp_path / "in"), str(tmp_path / "out"), trees=10, max_depth=4)
+    assert scratch_files(spark) == before
     for name, path in paths.items():
         if name != "model":
             reader = spark.read.json if name.endswith("_json") else spark.read.parquet
