@@ -21,6 +21,8 @@ __all__ = ["WORDS", "add_columns", "cleared", "documents", "file_bytes", "lower_
 # Runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
+BATCH_BYTES = 4 << 20
+
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -38,8 +40,14 @@ def _shipped(application: str) -> None:
 
 
 def with_package(df: DataFrame) -> DataFrame:
-    """``df``; executors get a copy of this package (once) and can import it in tasks."""
-    _shipped(df.sparkSession.sparkContext.applicationId)
+    """``df`` ready for Python tasks of this package.
+
+    Executors get a copy of the package (once). Batches of texts are held to ``BATCH_BYTES``
+    in the session, since the JVM and the worker both keep a batch and its buffers.
+    """
+    spark = df.sparkSession
+    _shipped(spark.sparkContext.applicationId)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 
@@ -61,7 +69,7 @@ def map_rows(
     schema: str,
     make: Callable[[], Callable[..., Iterable[tuple]]],
     flush_rows: int = 4096,
-    flush_bytes: int = 16 << 20,
+    flush_bytes: int = BATCH_BYTES,
     size: Callable[[tuple], int] | None = None,
 ) -> DataFrame:
     """Rows of ``schema`` that ``make()``'s function yields for each row of ``df``.
