@@ -38,7 +38,8 @@ UNKNOWN = "und"
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 MIN_CALIBRATION = 200  # rows of a length class below which the language's rows are used
 CELL = 0.005  # nats per character of a calibration histogram's cell
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
+CHUNK_CHARACTERS = 1_000_000
 CHUNK_WORDS = 20_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -275,12 +276,11 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> list[tuple[int, float, int]]:
         """(language, cross-entropy per character, characters); no letter: (-1, nan, 0)."""
-        split = [t.split() if t else [] for t in texts]
         out = []
-        for start in range(0, len(split), 64):
-            part = split[start : start + 64]
-            self.learn(set().union(*part))
-            for words in part:
+        for part in _chunked(texts):
+            split = [t.lower().split() if t else [] for t in part]
+            self.learn(set().union(*split))
+            for words in split:
                 places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
                 sums = np.zeros(self.table.shape[1])
                 for at in range(0, len(places), 65536):
@@ -293,6 +293,19 @@ class Scorer:
         return out
 
 
+def _chunked(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about CHUNK_CHARACTERS together, a longer one alone."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or "") > CHUNK_CHARACTERS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
 def _counting(lengths: np.ndarray) -> np.ndarray:
     """0, 1, ... within each of consecutive runs of these lengths."""
     starts = np.cumsum(lengths) - lengths
