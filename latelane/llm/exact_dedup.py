@@ -42,10 +42,12 @@ GEAR = _gear()
 
 def _cut_places(data: np.ndarray) -> np.ndarray:
     """Places after which the last ``GEAR_BYTES`` bytes ask for a cut."""
-    values = GEAR[data]
-    rolled = np.zeros(len(data), np.uint32)
-    for age in range(min(GEAR_BYTES, len(data))):
-        rolled[age:] += values[: len(data) - age] << np.uint32(age)
+    rolled = GEAR[data]
+    reach = 1
+    while reach < GEAR_BYTES:  # each step doubles the bytes a place has seen
+        longer = rolled.copy()
+        longer[reach:] += rolled[:-reach] << np.uint32(reach)
+        rolled, reach = longer, 2 * reach
     # The upper of the bits that all GEAR_BYTES bytes reach.
     mask = np.uint32(((1 << MASK_BITS) - 1) << (GEAR_BYTES - MASK_BITS))
     return np.flatnonzero((rolled & mask) == 0) + 1
