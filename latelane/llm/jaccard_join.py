@@ -41,10 +41,11 @@ from latelane.llm.components import components
 WORDS_PER_SHINGLE = 5
 THRESHOLD = 75  # per cent
 COUNTED = 0.4  # part of the shingles that rules out classes; must exceed 1 - threshold
-SLICE_SHINGLES = 2_000_000  # shingles a task sorts at a time
+SLICE_SHINGLES = 1_000_000  # shingles a task sorts at a time
 FILTER_BITS = 1 << 28
 MOST_SMALL = 256  # largest set size that may count as small
 BLOCK = 256  # sets per block
+SCANNED_PER_ROW = 500  # list entries a task scans in the time that one more row costs
 
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -98,7 +99,7 @@ def _class_scan(docs: DataFrame, seed: int, ranges: int) -> DataFrame:
 
         def sliced() -> Iterator[tuple]:
             nonlocal size
-            if held:
+            if size:
                 keys = np.array([k for k, _ in held], np.int64)
                 owner = np.repeat(np.arange(len(held)), [len(t) for _, t in held])
                 tokens = np.concatenate([t for _, t in held])
@@ -200,17 +201,21 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     while True:
         scan = written(_class_scan(docs, seed, ranges), "class_scan")
         rows = scan.where("kind = 0")
-        classes = written(
-            rows.groupBy("hi", "lo", "n", "counted").agg(F.min("doc_id").alias("least_id")), "classes"
+        # Half of the digest names a class; the other half shows whether that is unique.
+        found = rows.groupBy("hi").agg(
+            F.max("n").alias("n"),
+            F.max("counted").alias("counted"),
+            (F.min("lo") < F.max("lo")).alias("several"),
         )
-        if classes.groupBy("hi").count().where("count > 1").isEmpty():
+        shared = scan.where("kind = 1").groupBy("hi").agg(F.sum("shared").alias("shared"))
+        classes = written(found.join(shared, "hi", "left"), "classes")
+        if classes.where("several").isEmpty():
             break
         seed += 1  # two sets share half a digest: expected once in 2^64 pairs
-    shared = scan.where("kind = 1").groupBy("hi").agg(F.sum("shared").alias("shared"))
-    able = F.col("shared") >= F.col("counted") - (F.col("n") - needed("n"))
-    able = able & (F.col("n") > 1)
-    live = classes.join(shared, "hi").where(able).select("hi", "n")
-    return rows.select("doc_id", "n", "hi"), written(live, "able_classes"), seed
+    unshared = F.col("counted") - F.coalesce("shared", F.lit(0))
+    able = unshared <= F.col("n") - needed("n")
+    live = classes.where(able & (F.col("n") > 1)).select("hi", "n")
+    return rows.select("doc_id", "n", "hi"), live, seed
 
 
 # 3: sets of the classes left, rare shingles first
@@ -299,8 +304,9 @@ def _prefix(lists: DataFrame, size: int) -> DataFrame:
 def small_limit(lists: DataFrame) -> int:
     """The size up to which enumerating pairs costs less than scanning inverted lists."""
     pairs = _prefix(lists, 2).select("hi", (F.size("prefix") * (F.size("prefix") - 1) / 2).alias("pairs"))
+    entries = F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, x: a + x)
     scans = _prefix(lists, 1).select(
-        "hi", "n", F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("scanned")
+        "hi", "n", (F.size("prefix") + entries / SCANNED_PER_ROW).alias("scanned")
     )
     costs = (
         scans.where(F.col("n") <= MOST_SMALL)
@@ -329,7 +335,6 @@ def _members(lists: DataFrame, limit: int) -> DataFrame:
     keys = small.select(F.lit(2).alias("kind"), F.explode(F.expr(choose)).alias("key"), "hi").unionByName(
         large.select(F.lit(1).alias("kind"), F.explode("prefix").alias("key"), "hi")
     )
-    keys = written(keys, "bucket_keys")
     buckets = keys.groupBy("kind", "key").agg(F.count("*").alias("size"), F.min("hi").alias("pivot"))
     buckets = written(buckets.where("size > 1").drop("size"), "buckets")
     return written(keys.join(buckets, ["kind", "key"]), "bucket_members")
@@ -344,10 +349,8 @@ def _linking(overlap, n, m):
 
 def _pivot_links(members: DataFrame, lists: DataFrame) -> DataFrame:
     """Links (a, b) between a bucket's pivot and its other sets."""
-    pairs = written(
-        members.where("hi <> pivot").select(F.col("hi").alias("a"), F.col("pivot").alias("b")).distinct(),
-        "pivot_pairs",
-    )
+    pairs = members.where("hi <> pivot").select(F.col("hi").alias("a"), F.col("pivot").alias("b"))
+    pairs = pairs.distinct()
 
     def side(name: str) -> DataFrame:
         return lists.select(
@@ -384,42 +387,37 @@ def _tiles(members: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame
         .where("first <> last")
         .select("kind", "key")
     )
-    left = written(known.join(written(still_open, "open_buckets"), ["kind", "key"]), "open_members")
+    left = written(known.join(still_open, ["kind", "key"]), "open_members")
     groups = written(components(left.select(F.col("hi").alias("a"), F.col("pivot").alias("b"))), "groups")
     sets = _labelled(left.select("hi", "of").distinct(), groups, "group_id")
     sets = written(sets.join(lists.select("hi", "n"), "hi"), "open_sets")
     sizes = sets.groupBy("group_id", "of").agg(F.count("*").alias("size"))
     # Sets of small components share the home 0.
     home = F.when(F.col("size") >= BLOCK, F.col("of")).otherwise(F.lit(0))
-    parts = written(sizes.withColumn("home", home), "group_parts")
+    parts = sizes.withColumn("home", home)
     slots = parts.groupBy("group_id", "home").agg(F.ceil(F.sum("size") / BLOCK).alias("slots"))
     parts = parts.select("group_id", "of", "home").join(slots, ["group_id", "home"])
-    dealt = sets.join(written(parts, "block_counts"), ["group_id", "of"])
+    dealt = sets.join(parts, ["group_id", "of"])
     slot = F.pmod(F.xxhash64("hi", F.lit(11)), F.col("slots"))
     block = F.xxhash64("group_id", "home", slot)
     dealt = written(dealt.select("hi", "of", "n", "group_id", block.alias("block")), "blocks")
-    blocks = written(
-        dealt.groupBy("group_id", "block").agg(
-            F.min("of").alias("first"), F.max("of").alias("last"), F.min("n").alias("low"), F.max("n").alias("high")
-        ),
-        "block_bounds",
+    blocks = dealt.groupBy("group_id", "block").agg(
+        F.min("of").alias("first"), F.max("of").alias("last"), F.min("n").alias("low"), F.max("n").alias("high")
     )
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, F.expr("x.group_id = y.group_id and x.block <= y.block")).where(
         "not (x.first = x.last and y.first = y.last and x.first = y.first)"
         f" and 100 * least(x.high, y.high) >= {THRESHOLD} * greatest(x.low, y.low)"
     )
-    pairs = written(
-        pairs.select(F.xxhash64("x.block", "y.block").alias("tile"), F.col("x.block").alias("x"), F.col("y.block").alias("y")),
-        "tiles",
-    )
+    tile = F.xxhash64("x.block", "y.block").alias("tile")
+    pairs = pairs.select(tile, F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     ends = pairs.select("tile", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     full = lists.select("hi", "shared")
     return ends.join(dealt, "block").join(full, "hi").select("tile", "block", "hi", "of", "n", "shared")
 
 
 def _tile_links(tiles: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of different components, at most one per pair of them."""
+    """Pairs (a, b) of components that a link between two of their sets joins."""
     spark = tiles.sparkSession
     tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -433,7 +431,7 @@ def _tile_links(tiles: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else []
         for a, b in zip(starts, np.r_[starts[1:], len(tile)].astype(int)):
             found = _scan_lists(values, offsets[a : b + 1], block[a:b], of[a:b], n[a:b])
-            links += [(int(hi[a + i]), int(hi[a + j])) for i, j in found]
+            links += [(int(of[a + i]), int(of[a + j])) for i, j in found]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     spread = tiles.withColumn("task", F.pmod(F.xxhash64("tile"), F.lit(tasks)))
@@ -475,11 +473,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows, live, seed = _classes(docs)
     lists = _ordered(_live_sets(docs, live, seed))
     members = _members(lists, small_limit(lists))
-    near = written(_pivot_links(members, lists), "pivot_links")
-    labels = written(components(near), "pivot_components")
-    rest = written(_tile_links(_tiles(members, lists, labels)), "tile_links")
-    whole = written(components(near.unionByName(rest)), "near_components")
-    labelled = written(_labelled(rows, whole, "class"), "labelled_documents")
+    near = written(components(_pivot_links(members, lists)), "pivot_components")
+    rest = written(components(_tile_links(_tiles(members, lists, near))), "tile_components")
+    # Components of the first step are the nodes of the second.
+    whole = _labelled(rows, near, "of").join(rest.select(F.col("node").alias("of"), "component"), "of", "left")
+    whole = whole.withColumn("class", F.coalesce("component", "of")).select("doc_id", "n", "class")
+    labelled = written(whole, "labelled_documents")
     least = written(labelled.groupBy("class").agg(F.min("doc_id").alias("least")), "least_documents")
     return labelled.join(least, "class").select(
         "doc_id",

@@ -131,6 +131,18 @@ def test_near_duplicates_around_the_threshold(spark, monkeypatch, seed, block, s
     assert len({c for _, _, c in expected}) < len(expected)
 
 
+def test_small_sets(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        words = [f"t{rng.randrange(10_000)}" for _ in range(rng.randrange(5, 13))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = brute_components(docs.collect())
+    assert len({c for _, _, c in expected}) < 500
+    assert found_components(docs) == expected
+
+
 def test_chains_of_links_are_one_component(spark):
     words = [f"v{i}" for i in range(400)]
     rows = [(1000 - k, " ".join(words[k * 6 : k * 6 + 80])) for k in range(40)]
