@@ -1,11 +1,14 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language over the characters of lower-cased words (runs of letters, with a
-boundary on either side). All labelled training rows are counted; a model keeps at most
-``grams`` n-grams per language and order, the most frequent, and gives the mass of the
-others to the shorter context, so what tasks receive is bounded by languages x orders x
-``grams``. Models are sorted hash arrays. The language with the lowest cross-entropy per
-character wins, the first in alphabetical order of equals.
+boundary on either side). All labelled training rows are counted and all their n-grams are
+kept, as written tables of probabilities and back-off weights. The language with the lowest
+cross-entropy per character wins, the first in alphabetical order of equals.
+
+A text's score is the sum over its words. The scores of the most frequent training words
+(at most ``HOT_WORDS``) go to every task; the other words of the texts are joined to the
+tables, each distinct word once. That decides where a word is looked up, not its score, so
+what the driver and a task hold is bounded by ``HOT_WORDS`` x languages.
 
 ``score`` is a conformal p-value: the share of calibration rows (labelled, not counted) of
 the predicted language and about the same length that fit it no better than this text.
@@ -19,28 +22,28 @@ other columns pass through, and those named like results are replaced.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from latelane.llm.common import add_columns, map_rows, written
+from latelane.llm.common import add_columns, cleared, map_rows, written
 
 ORDER = 5
 PAD = " " * (ORDER - 1)
-GRAMS = 60_000  # n-grams kept per language and order
+HOT_WORDS = 100_000  # words whose scores every task holds
 REJECT_BELOW = 0.0002
 UNKNOWN = "und"
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 MIN_CALIBRATION = 200  # rows of a length class below which the language's rows are used
 CELL = 0.005  # nats per character of a calibration histogram's cell
-CACHE_WORDS = 300_000
-CHUNK_CHARACTERS = 1_000_000
-CHUNK_WORDS = 20_000
+LONG_WORD = 64  # characters from which on a word's key is a digest
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -53,26 +56,34 @@ def letter_runs(word: str) -> list[str]:
     return _LETTERS.findall(word.lower())
 
 
+def word_grams(word: str) -> Counter:
+    """The ``ORDER``-grams of a word's letter runs, an end after each run."""
+    found: Counter = Counter()
+    for run in letter_runs(word):
+        padded = f"{PAD}{run} "
+        found.update(padded[i : i + ORDER] for i in range(len(run) + 1))
+    return found
+
+
+def word_key(word: str) -> str:
+    """Short enough to stand beside each of the word's n-grams."""
+    return word if len(word) < LONG_WORD else "\0" + hashlib.sha256(word.encode()).hexdigest()
+
+
 # Counting
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all ``ORDER``-grams; tasks count words first, then their grams."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) of the lower-cased words of labelled rows."""
 
     def make():
         words: dict[str, Counter] = {}
         size = 0
 
-        def grams() -> Iterator[tuple]:
+        def flushed() -> Iterator[tuple]:
             nonlocal size
             for lang, counted in words.items():
-                found: Counter = Counter()
-                for word, n in counted.items():
-                    for run in letter_runs(word):
-                        padded = f"{PAD}{run} "
-                        for i in range(len(run) + 1):
-                            found[padded[i : i + ORDER]] += n
-                yield from ((lang, g, n) for g, n in found.items())
+                yield from ((lang, word, n) for word, n in counted.items())
             words.clear()
             size = 0
 
@@ -80,61 +91,79 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             nonlocal size
             counted = words.setdefault(lang, Counter())
             before = len(counted)
-            counted.update(text.split())
+            counted.update(text.lower().split())
             size += len(counted) - before
             if size > 500_000:
-                yield from grams()
+                yield from flushed()
 
-        each.end = grams
+        each.end = flushed
         return each
 
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
+    counted = map_rows(
+        rows, "lang string, word string, n bigint", make, flush_rows=50_000, size=lambda r: 4 * len(r[1])
+    )
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, gram, n) of all ``ORDER``-grams of counted words."""
+
+    def make():
+        grams: Counter = Counter()
+
+        def flushed() -> Iterator[tuple]:
+            yield from ((lang, gram, n) for (lang, gram), n in grams.items())
+            grams.clear()
+
+        def each(lang, word, n):
+            for gram, times in word_grams(word).items():
+                grams[lang, gram] += n * times
+            if len(grams) > 300_000:
+                yield from flushed()
+
+        each.end = flushed
+        return each
+
+    rows = words.select("lang", "word", "n")
     counted = map_rows(rows, "lang string, gram string, n bigint", make, flush_rows=50_000)
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Level:
-    """One order: gram hash to log-probability, context hash to log back-off weight."""
+    """One order, written tables with a value per language (null: not seen)."""
 
-    grams: np.ndarray
-    log_p: np.ndarray
-    contexts: np.ndarray
-    back_off: np.ndarray
+    grams: DataFrame  # gram, p: probability
+    contexts: DataFrame  # context, rest: share of the shorter context
 
 
 @dataclass
-class Model:
-    langs: list[str]
-    levels: list[Level]
-    unseen: np.ndarray  # log-probability of a character no text had, per language
-    calibration: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-
+class Tail:
+    """Calibration rows of a language and length: how many fit no better, cell by cell."""
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+    first: int  # cell of ``counts[0]``
+    counts: list[int]
+    rows: int
 
 
-def _gram_hashes(texts: pd.Series, size: int) -> np.ndarray:
-    """Hashes of strings of ``size`` characters."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(-1, size)
-    return _window_hash(points.astype(np.uint64).T)
-
-
-def _window_hash(columns) -> np.ndarray:
-    h = np.zeros(len(columns[0]) if len(columns) else 0, np.uint64)
-    for c in columns:
-        h = _mixed(h * np.uint64(0x100000001B3) + c + np.uint64(1))
-    return h
+@dataclass
+class Model:
+    langs: list[str]
+    levels: list[Level]
+    alphabet: int  # characters, one more for those no text had
+    words: list[str] = field(default_factory=list)  # keys of the most frequent training words
+    scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))  # as rows of Scorer.table
+    calibration: dict[tuple[int, int], Tail] = field(default_factory=dict)
 
 
-def train(docs: DataFrame, grams: int = GRAMS) -> Model:
+def train(docs: DataFrame) -> Model:
     """Kneser-Ney models from all labelled rows of ``docs`` (text, lang)."""
-    counts = written(gram_counts(docs), "grams")
+    words = written(word_counts(docs), "words")
+    counts = written(gram_counts(words), "grams")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())  # a row a language
     if not langs:
-        return Model([], [], np.zeros(0))
+        return Model([], [], 1)
     # The shorter an n-gram, the more it counts in how many contexts it occurs, not how often.
     tables = [counts]
     for size in range(ORDER - 1, 0, -1):
@@ -142,232 +171,222 @@ def train(docs: DataFrame, grams: int = GRAMS) -> Model:
         tables.insert(0, written(shorter.agg(F.count("*").alias("n")), f"grams{size}"))
     alphabet = tables[0].select("gram").distinct().count() + 1
     levels: list[Level] = []
-    floor = np.full(len(langs), -np.log(alphabet))
     lower: DataFrame | None = None
     for size, counted in enumerate(tables, 1):
-        kept = written(_kept(counted, size, grams), f"kept{size}")
+        parts = written(_discounted(counted, size), f"parts{size}")
         left = 1 - F.sum("part")
-        rest = kept.groupBy("lang", "context").agg(F.greatest(left, F.lit(1e-9)).alias("rest"))
+        rest = parts.groupBy("lang", "context").agg(F.greatest(left, F.lit(1e-9)).alias("rest"))
         rest = written(rest, f"rest{size}")
-        kept = kept.join(rest, ["lang", "context"])
+        parts = parts.join(rest, ["lang", "context"])
         if lower is None:
             below = F.lit(1 / alphabet)
         else:
-            kept = kept.withColumn("suffix", F.substring("gram", 2, size - 1))
-            kept = kept.join(lower, ["lang", "suffix"], "left")
+            parts = parts.withColumn("suffix", F.substring("gram", 2, size - 1))
+            parts = parts.join(lower, ["lang", "suffix"], "left")
             below = F.coalesce("lower_p", F.lit(1 / alphabet))
         p = F.col("part") + F.col("rest") * below
-        kept = written(kept.select("lang", "gram", p.alias("p")), f"probable{size}")
-        lower = kept.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
-        if size == 1:
-            one = {r["lang"]: r["rest"] for r in rest.collect()}  # a row per language
-            floor = np.log([one.get(lang, 1.0) / alphabet for lang in langs])
+        probable = written(parts.select("lang", "gram", p.alias("p")), f"probable{size}")
+        lower = probable.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower_p"))
         levels.append(
             Level(
-                *_matrix(kept.select("lang", "gram", F.log("p")), langs, size, np.nan),
-                *_matrix(rest.select("lang", "context", F.log("rest")), langs, size - 1, 0.0),
+                written(_by_language(probable, "gram", "p", langs), f"level{size}"),
+                written(_by_language(rest, "context", "rest", langs), f"contexts{size}"),
             )
         )
-    return Model(langs, levels, floor)
-
-
-def _kept(counted: DataFrame, size: int, grams: int) -> DataFrame:
-    """(lang, gram, context, part): the discounted share of its context's counts that each
-    of a language's most frequent n-grams has.
-
-    The histogram of counts (under 4097 rows a language) gives the discount and the count
-    from which on a language has at most ``grams`` n-grams.
-    """
-    cells = counted.groupBy("lang", F.least("n", F.lit(4096)).alias("cell")).count()
-    limits = []
-    for lang, part in cells.toPandas().groupby("lang"):
-        sizes = part.set_index("cell")["count"].sort_index(ascending=False)
-        one, two = int(sizes.get(1, 0)), int(sizes.get(2, 0))
-        discount = one / (one + 2 * two) if one and two else 0.5
-        fitting = sizes[sizes.cumsum() <= grams]
-        least = int(fitting.index.min()) if len(fitting) else 4097
-        limits.append((lang, least, float(discount)))
+    return _with_hot_words(Model(langs, levels, alphabet), words)
+
+
+def _discounted(counted: DataFrame, size: int) -> DataFrame:
+    """(lang, context, gram, part): each n-gram's discounted share of its context's counts."""
+    cells = counted.where("n <= 2").groupBy("lang").pivot("n", [1, 2]).count().collect()
+    discounts = [
+        (r["lang"], r["1"] / (r["1"] + 2 * r["2"])) for r in cells if r["1"] and r["2"]
+    ]  # at most a row per language
     spark = counted.sparkSession
-    limits = F.broadcast(spark.createDataFrame(limits, "lang string, least bigint, discount double"))
+    discounts = F.broadcast(spark.createDataFrame(discounts, "lang string, discount double"))
     context = F.substring("gram", 1, size - 1) if size > 1 else F.lit("")
-    rows = counted.withColumn("context", context)
+    rows = counted.withColumn("context", context).join(discounts, "lang", "left")
     totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"))
-    most = rows.join(limits, "lang").where("n >= least").join(totals, ["lang", "context"])
-    part = F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / F.col("total")
-    return most.select("lang", "gram", "context", part.alias("part"))
+    discount = F.coalesce("discount", F.lit(0.5))
+    part = F.greatest(F.col("n") - discount, F.lit(0.0)) / F.col("total")
+    return rows.join(totals, ["lang", "context"]).select("lang", "context", "gram", part.alias("part"))
+
+
+def _by_language(rows: DataFrame, key: str, value: str, langs: list[str]) -> DataFrame:
+    """A row per key with an array of the languages' values."""
+    values = [F.max(F.when(F.col("lang") == lang, F.col(value))) for lang in langs]
+    return rows.groupBy(key).agg(F.array(*values).alias(value))
+
+
+def _with_hot_words(model: Model, words: DataFrame) -> Model:
+    """The model with the scores of the most frequent words, at most ``HOT_WORDS``."""
+    counted = words.groupBy("word").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("cell", F.floor(8 * F.log2("n")))
+    cells = counted.groupBy("cell").count().toPandas()  # 8 cells each time n doubles
+    sizes = cells.set_index("cell")["count"].sort_index(ascending=False).cumsum()
+    fitting = sizes[sizes <= HOT_WORDS]
+    if len(fitting):
+        hot = counted.where(F.col("cell") >= int(fitting.index.min())).select("word")
+        found = word_scores(hot, model).toPandas()
+        model.words = found["key"].tolist()
+        if model.words:
+            model.scores = np.column_stack([np.stack(found["log_p"]), found["chars"]])
+    return model
 
 
-def _matrix(rows: DataFrame, langs: list[str], size: int, missing: float):
-    """Sorted hashes of strings of ``size`` characters, and a value per language for each."""
-    found = rows.toDF("lang", "gram", "value").toPandas()  # at most languages x GRAMS rows
-    hashes = _gram_hashes(found["gram"], size) if size else np.zeros(len(found), np.uint64)
-    keys, place = np.unique(hashes, return_inverse=True)
-    matrix = np.full((len(keys), len(langs)), missing, np.float32)
-    matrix[place, found["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy()] = found["value"]
-    return keys, matrix
+# Scoring
 
 
-# Scoring
+def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
+    """gram, log_p: log-probabilities by language of distinct ``ORDER``-grams (a written table)."""
+    at = range(len(model.langs))
+    lower: DataFrame | None = None
+    for size, level in enumerate(model.levels, 1):
+        own = grams.select(F.substring("gram", ORDER - size + 1, size).alias("gram")).distinct()
+        own = own.withColumn("context", F.substring("gram", 1, size - 1) if size > 1 else F.lit(""))
+        own = own.join(level.grams, "gram", "left").join(level.contexts, "context", "left")
+        if lower is None:
+            below = [F.lit(-math.log(model.alphabet))] * len(model.langs)
+        else:
+            own = own.withColumn("suffix", F.substring("gram", 2, size - 1)).join(lower, "suffix")
+            below = [F.col("lower")[i] for i in at]
+        backed_off = [F.coalesce(F.log(F.col("rest")[i]), F.lit(0.0)) + below[i] for i in at]
+        log_p = F.array(*[F.coalesce(F.log(F.col("p")[i]), backed_off[i]) for i in at])
+        own = own.select("gram", log_p.alias("log_p"))
+        lower = own.select(F.col("gram").alias("suffix"), F.col("log_p").alias("lower"))
+    return own
+
+
+def word_scores(words: DataFrame, model: Model) -> DataFrame:
+    """key, log_p (sums by language) and chars of distinct ``word``s that have a letter."""
 
+    def make():
+        return lambda word: [(word_key(word), gram, n) for gram, n in word_grams(word).items()]
 
-def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return place, (keys[place] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+    grams = map_rows(words.select("word"), "key string, gram string, n bigint", make)
+    grams = written(grams, "word_grams")
+    known = gram_scores(written(grams.select("gram").distinct(), "wanted_grams"), model)
+    sums = [F.sum(F.col("n") * F.col("log_p")[i]) for i in range(len(model.langs))]
+    scored = grams.join(known, "gram").groupBy("key")
+    return written(scored.agg(F.array(*sums).alias("log_p"), F.sum("n").alias("chars")), "word_scores")
 
 
 class Scorer:
-    """Sums of log-probabilities and characters per word, remembered up to a bound."""
+    """Sums of log-probabilities and characters per word; row 0 is for words not held."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.places: dict[str, int] = {}
-        self.table = np.zeros((1024, len(model.langs) + 1))
+        self.places = {key: i for i, key in enumerate(model.words, 1)}
+        self.table = np.concatenate([np.zeros((1, len(model.langs) + 1)), model.scores.reshape(-1, len(model.langs) + 1)])
 
     def learn(self, words: set[str]) -> None:
-        """Make room for and score the words of a slice that are not known yet."""
-        new = [w for w in words if w not in self.places]
-        if len(self.places) + len(new) > CACHE_WORDS:
-            self.places.clear()
-            new = list(words)
-        start = len(self.places)
-        while len(self.table) < start + len(new):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for at in range(0, len(new), CHUNK_WORDS):
-            chunk = new[at : at + CHUNK_WORDS]
-            self.table[start + at : start + at + len(chunk)] = self._scored(chunk)
-        self.places.update((w, start + i) for i, w in enumerate(new))
-
-    def _scored(self, words: list[str]) -> np.ndarray:
-        runs, owner = [], []
-        for i, word in enumerate(words):
-            for run in letter_runs(word):
-                runs.append(run)
-                owner.append(i)
-        out = np.zeros((len(words), self.table.shape[1]))
-        if not runs:
-            return out
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs)) + 1
-        points = np.frombuffer((PAD + PAD.join(runs) + " ").encode("utf-32-le"), np.uint32)
-        # Each run begins after a pad of its own; the pad that follows is its end.
-        begins = np.cumsum(lengths + len(PAD) - 1) - (lengths - 1)
-        ends = np.repeat(begins, lengths) + _counting(lengths)
-        log_p = self._window_log_p(points, ends)
-        who = np.repeat(np.asarray(owner), lengths)
-        for k in range(log_p.shape[1]):
-            out[:, k] = np.bincount(who, log_p[:, k], len(words))
-        out[:, -1] = np.bincount(who, minlength=len(words))
-        return out
-
-    def _window_log_p(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        points = points.astype(np.uint64)
-        whole = _window_hash([points[ends - j] for j in range(ORDER - 1, -1, -1)])
-        _, first, inverse = np.unique(whole, return_index=True, return_inverse=True)
-        at = ends[first]
-        column = [points[at - j] for j in range(ORDER - 1, -1, -1)]
-        log_p = np.tile(self.model.unseen, (len(at), 1))
-        for size, level in enumerate(self.model.levels, 1):
-            if size > 1:
-                place, known = _found(level.contexts, _window_hash(column[ORDER - size : ORDER - 1]))
-                log_p[known] += level.back_off[place[known]]
-            place, known = _found(level.grams, _window_hash(column[ORDER - size :]))
-            rows = level.log_p[place[known]]
-            log_p[known] = np.where(np.isnan(rows), log_p[known], rows)
-        return log_p[inverse]
-
-    def entropies(self, texts: list[str | None]) -> list[tuple[int, float, int]]:
-        """(language, cross-entropy per character, characters); no letter: (-1, nan, 0)."""
+        """Score words that are not held yet; on the driver, where the tables can be read."""
+        new = [(w,) for w in sorted(words) if word_key(w) not in self.places]
+        found = word_scores(SparkSession.active().createDataFrame(new, "word string"), self.model)
+        for r in found.collect():
+            self.places[r["key"]] = len(self.table)
+            self.table = np.vstack([self.table, [*r["log_p"], r["chars"]]])
+
+    def sums(self, texts: list[str | None]) -> list[tuple]:
+        """(sums by language, characters, words not held, how often) of each text."""
         out = []
-        for part in _chunked(texts):
-            split = [t.lower().split() if t else [] for t in part]
-            self.learn(set().union(*split))
-            for words in split:
-                places = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-                sums = np.zeros(self.table.shape[1])
-                for at in range(0, len(places), 65536):
-                    sums += self.table[places[at : at + 65536]].sum(axis=0)
-                if not self.model.langs or not sums[-1]:
-                    out.append((-1, float("nan"), 0))
-                    continue
-                best = int(np.argmax(sums[:-1]))
-                out.append((best, float(-sums[best] / sums[-1]), int(sums[-1])))
+        for text in texts:
+            words = text.lower().split() if text else []
+            places = np.fromiter(map(self.places.get, words, repeat(0)), np.int64, len(words))
+            sums = np.zeros(self.table.shape[1])
+            for at in range(0, len(places), 65536):
+                sums += self.table[places[at : at + 65536]].sum(axis=0)
+            rest = Counter(words[i] for i in np.flatnonzero(places == 0)) if len(words) else {}
+            cold = [w for w in rest if _LETTERS.search(w)]
+            out.append((sums[:-1].tolist(), int(sums[-1]), cold, [rest[w] for w in cold]))
         return out
 
 
-def _chunked(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """Consecutive texts of about CHUNK_CHARACTERS together, a longer one alone."""
-    part, size = [], 0
-    for text in texts:
-        if part and size + len(text or "") > CHUNK_CHARACTERS:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text or "")
-    if part:
-        yield part
-
-
-def _counting(lengths: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each of consecutive runs of these lengths."""
-    starts = np.cumsum(lengths) - lengths
-    return np.arange(lengths.sum()) - np.repeat(starts, lengths)
-
-
-def length_class(n_chars: int) -> int:
-    return min(n_chars.bit_length(), 12)
-
-
-def _scored(docs: DataFrame, model: Model, schema: str, finish) -> DataFrame:
-    """``docs`` with the columns that ``finish`` makes of each text's score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by GRAMS
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred, entropy (null for ``und``) and bits, the length class."""
+    docs = cleared(docs, ["lang_pred", "entropy", "bits"])
+    if not model.langs:
+        nothing = F.lit(None).cast("double").alias("entropy")
+        return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), nothing, F.lit(0).alias("bits"))
+    # Bounded by HOT_WORDS; the tables stay in Spark.
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.scores))
 
     def make():
-        scorer = Scorer(shared.value)
-        return lambda texts: [finish(shared.value, *e) for e in scorer.entropies(texts)]
+        langs, words, scores = shared.value
+        return Scorer(Model(langs, [], 0, words, scores)).sums
+
+    schema = "_sums array<double>, _chars bigint, _cold array<string>, _times array<bigint>"
+    keyed = docs.withColumn("_text_key", F.md5("text"))
+    held = written(add_columns(keyed, ["text"], schema, make, rows_each=256), "held_sums")
+    pairs = F.inline(F.arrays_zip(F.col("_cold").alias("word"), F.col("_times").alias("n")))
+    cold = held.where(F.size("_cold") > 0).select("_text_key", pairs).toDF("_text_key", "word", "n")
+    cold = written(cold.distinct(), "cold_words")  # equal texts once
+    scores = word_scores(cold.select("word").distinct(), model)
+    digest = F.concat(F.lit("\0"), F.sha2(F.col("word").cast("binary"), 256))
+    key = F.when(F.length("word") < LONG_WORD, F.col("word")).otherwise(digest)
+    at = range(len(model.langs))
+    cold = cold.withColumn("key", key).join(scores, "key").groupBy("_text_key")
+    more = [F.sum(F.col("n") * F.col("log_p")[i]) for i in at]
+    more = cold.agg(F.array(*more).alias("_more"), F.sum(F.col("n") * F.col("chars")).alias("_more_chars"))
+    rows = held.drop("_cold", "_times").join(written(more, "cold_sums"), "_text_key", "left")
+    sums = F.array(*[F.col("_sums")[i] + F.coalesce(F.col("_more")[i], F.lit(0.0)) for i in at])
+    chars = F.col("_chars") + F.coalesce("_more_chars", F.lit(0))
+    rows = rows.withColumn("_sums", sums).withColumn("_chars", chars)
+    best = F.array_max("_sums")
+    langs = F.array(*[F.lit(lang) for lang in model.langs])
+    lang = F.get(langs, (F.array_position("_sums", best) - 1).cast("int"))
+    known = F.col("_chars") > 0
+    return rows.select(
+        *docs.columns,
+        F.when(known, lang).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, -best / F.col("_chars")).alias("entropy"),
+        length_class(F.col("_chars")).alias("bits"),
+    )
+
 
-    return add_columns(docs, ["text"], schema, make)
+def length_class(n_chars: Column) -> Column:
+    return F.least(F.length(F.bin(n_chars)), F.lit(12))
 
 
 def calibrate(docs: DataFrame, model: Model) -> Model:
     """Histogram of the cross-entropies of labelled rows that are recognised as labelled."""
-
-    def finish(model, best, entropy, chars):
-        return model.langs[best] if best >= 0 else UNKNOWN, entropy, length_class(chars)
-
-    labelled = docs.where("lang is not null and text is not null")
-    schema = "lang_pred string, entropy double, bits bigint"
-    scored = _scored(labelled.select("text"), model, schema, finish)
+    labelled = docs.where("lang is not null and text is not null").select("text")
+    scored = _scored(labelled, model).where(F.col("lang_pred") != UNKNOWN)
     cell = F.floor(F.col("entropy") / CELL).alias("cell")
-    cells = scored.where(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred", "bits", cell).count()
+    cells = scored.groupBy("lang_pred", "bits", cell).count()
     found = cells.toPandas()  # languages x length classes x cells
     for lang, part in found.groupby("lang_pred"):
         index = model.langs.index(lang)
         for bits in range(13):
             own = part[part["bits"] == bits]
             own = own if own["count"].sum() >= MIN_CALIBRATION else part
-            sizes = own.groupby("cell")["count"].sum().sort_index()
-            tail = sizes[::-1].cumsum()[::-1]
-            model.calibration[index, bits] = (tail.index.to_numpy(), tail.to_numpy())
+            model.calibration[index, bits] = _tail(own.groupby("cell")["count"].sum())
     return model
 
 
-def p_value(model: Model, lang: int, entropy: float, chars: int) -> float:
-    cells, tail = model.calibration.get((lang, length_class(chars)), (np.zeros(0), np.zeros(0)))
-    if not len(cells):
-        return 1.0
-    at = int(np.searchsorted(cells, np.floor(entropy / CELL)))
-    as_bad = int(tail[at]) if at < len(tail) else 0
-    return (1 + as_bad) / (1 + int(tail[0]))
+def _tail(sizes) -> Tail:
+    """From the rows of each cell (a series)."""
+    first, last = int(sizes.index.min()), int(sizes.index.max())
+    dense = sizes.reindex(range(first, last + 1), fill_value=0)
+    counts = dense[::-1].cumsum()[::-1].astype(int).tolist()
+    return Tail(first, counts, counts[0])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, score and entropy (null for ``und``)."""
-
-    def finish(model, best, entropy, chars):
-        if best < 0:
-            return UNKNOWN, 0.0, None
-        return model.langs[best], p_value(model, best, entropy, chars), entropy
-
-    return _scored(docs, model, "lang_pred string, score double, entropy double", finish)
+    docs = cleared(docs, ["lang_pred", "score", "entropy"])
+    scored = _scored(docs, model)
+    rows = [
+        (model.langs[i], bits, t.first, t.counts, t.rows) for (i, bits), t in model.calibration.items()
+    ]
+    schema = "lang_pred string, bits int, _first bigint, _counts array<bigint>, _rows bigint"
+    tails = F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # languages x length classes
+    cell = F.greatest(F.floor(F.col("entropy") / CELL) - F.col("_first"), F.lit(0)).cast("int")
+    as_bad = F.coalesce(F.get("_counts", cell), F.lit(0))
+    score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).when(F.col("_rows").isNull(), 1.0)
+    score = score.otherwise((1 + as_bad) / (1 + F.col("_rows")))
+    found = scored.join(tails, ["lang_pred", "bits"], "left")
+    return found.select(*docs.columns, "lang_pred", score.alias("score"), "entropy")
 
 
 def fitted(docs: DataFrame) -> Model:

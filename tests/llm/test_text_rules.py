@@ -77,6 +77,32 @@ def test_probabilities_are_kneser_neys(spark):
         assert row[at] == pytest.approx(expected, rel=1e-4)
 
 
+def test_rare_grams_of_a_rich_language_count(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9000)]
+    docs = spark.createDataFrame([(" ".join(words[i::50]), "xx") for i in range(50)], "text string, lang string")
+    counts = Counter()
+    for word in words:
+        counts.update(language_id.word_grams(word))
+    assert len(counts) > 70_000  # with most of them once
+    p = kneser_ney(counts, 28)
+    scorer = language_id.Scorer(language_id.train(docs))
+    scorer.learn({words[0]})
+    padded = f"{language_id.PAD}{words[0]} "
+    expected = sum(math.log(p(padded[i : i + 5])) for i in range(9))
+    assert scorer.table[scorer.places[words[0]]][0] == pytest.approx(expected, rel=1e-4)
+
+
+def test_words_that_tasks_do_not_hold_score_the_same(odd, monkeypatch):
+    def found():
+        rows = language_id.predict(odd, language_id.fitted(odd)).collect()
+        return sorted((str(r["doc_id"]), r["lang_pred"], round(r["entropy"] or 0, 9)) for r in rows)
+
+    held = found()
+    monkeypatch.setattr(language_id, "HOT_WORDS", 0)
+    assert found() == held
+
+
 def test_languages_of_odd_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert len(language_id.identify(odd).collect()) == odd.count()
