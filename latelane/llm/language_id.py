@@ -10,9 +10,13 @@ A text's score is the sum over its words. The scores of the most frequent traini
 tables, each distinct word once. That decides where a word is looked up, not its score, so
 what the driver and a task hold is bounded by ``HOT_WORDS`` x languages.
 
-``score`` is a conformal p-value: the share of calibration rows (labelled, not counted) of
-the predicted language and about the same length that fit it no better than this text.
-Texts below ``REJECT_BELOW`` fit no learned language as well as nearly all known texts do.
+``score`` is the share of calibration rows (labelled, not counted) of the predicted language
+and about the same length that fit it no better than this text. Among the ``TAIL`` that fit
+worst it is not counted but smoothed, falling exponentially with their mean excess, so that
+any number of calibration rows can tell a text that fits no language. Length classes with
+few rows are pooled with the next ones, a language without any with all languages; with no
+calibration row at all nothing is rejected (score 1). Texts below ``REJECT_BELOW`` fit no
+learned language as well as nearly all known texts do.
 
 Defined results: a null text, an empty one and one without a letter is ``und`` with score
 0; rows with a null language teach nothing; if nothing can be learned all rows are ``und``.
@@ -41,7 +45,9 @@ HOT_WORDS = 100_000  # words whose scores every task holds
 REJECT_BELOW = 0.0002
 UNKNOWN = "und"
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
-MIN_CALIBRATION = 200  # rows of a length class below which the language's rows are used
+MIN_CALIBRATION = 200  # rows of a length class below which those of the next lengths are added
+TAIL = 0.1  # share of calibration rows that the smoothed tail stands for
+PRIOR_EXCESS = 0.5  # nats per character, as one more row of the tail: a margin where rows are few
 CELL = 0.005  # nats per character of a calibration histogram's cell
 LONG_WORD = 64  # characters from which on a word's key is a digest
 
@@ -140,11 +146,15 @@ class Level:
 
 @dataclass
 class Tail:
-    """Calibration rows of a language and length: how many fit no better, cell by cell."""
+    """Calibration rows of a language and length: how many fit no better, cell by cell up to
+    the tail, which begins at an entropy of ``start`` and falls by ``excess``."""
 
     first: int  # cell of ``counts[0]``
     counts: list[int]
     rows: int
+    start: float
+    excess: float
+    beyond: int  # rows in the tail
 
 
 @dataclass
@@ -355,11 +365,14 @@ def calibrate(docs: DataFrame, model: Model) -> Model:
     cell = F.floor(F.col("entropy") / CELL).alias("cell")
     cells = scored.groupBy("lang_pred", "bits", cell).count()
     found = cells.toPandas()  # languages x length classes x cells
-    for lang, part in found.groupby("lang_pred"):
-        index = model.langs.index(lang)
+    for index, lang in enumerate(model.langs if len(found) else []):
+        part = found[found["lang_pred"] == lang]
+        part = part if len(part) else found
         for bits in range(13):
-            own = part[part["bits"] == bits]
-            own = own if own["count"].sum() >= MIN_CALIBRATION else part
+            away = (part["bits"] - bits).abs()
+            sizes = part["count"].groupby(away).sum().sort_index().cumsum()
+            enough = sizes[sizes >= MIN_CALIBRATION]
+            own = part[away <= (enough.index.min() if len(enough) else 13)]
             model.calibration[index, bits] = _tail(own.groupby("cell")["count"].sum())
     return model
 
@@ -369,7 +382,14 @@ def _tail(sizes) -> Tail:
     first, last = int(sizes.index.min()), int(sizes.index.max())
     dense = sizes.reindex(range(first, last + 1), fill_value=0)
     counts = dense[::-1].cumsum()[::-1].astype(int).tolist()
-    return Tail(first, counts, counts[0])
+    rows = counts[0]
+    # The last cell below the tail: rows beyond it are TAIL of all at most.
+    body = next(i for i in range(len(counts)) if i + 1 == len(counts) or counts[i + 1] <= TAIL * rows)
+    start = (first + body + 1) * CELL
+    beyond = dense.iloc[body + 1 :]
+    total = float((((beyond.index + 0.5) * CELL - start) * beyond).sum()) + PRIOR_EXCESS
+    n = int(beyond.sum())
+    return Tail(first, counts[: body + 1], rows, start, total / (n + 1), n)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -377,14 +397,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = cleared(docs, ["lang_pred", "score", "entropy"])
     scored = _scored(docs, model)
     rows = [
-        (model.langs[i], bits, t.first, t.counts, t.rows) for (i, bits), t in model.calibration.items()
+        (model.langs[i], bits, t.first, t.counts, t.rows, t.start, t.excess, t.beyond)
+        for (i, bits), t in model.calibration.items()
     ]
     schema = "lang_pred string, bits int, _first bigint, _counts array<bigint>, _rows bigint"
+    schema += ", _start double, _excess double, _beyond bigint"
     tails = F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # languages x length classes
     cell = F.greatest(F.floor(F.col("entropy") / CELL) - F.col("_first"), F.lit(0)).cast("int")
-    as_bad = F.coalesce(F.get("_counts", cell), F.lit(0))
+    as_bad = F.get("_counts", cell)
+    smooth = F.exp((F.col("_start") - F.col("entropy")) / F.col("_excess"))
+    smooth = F.least(smooth, F.lit(1.0)) * (1 + F.col("_beyond")) / (1 + F.col("_rows"))
     score = F.when(F.col("lang_pred") == UNKNOWN, 0.0).when(F.col("_rows").isNull(), 1.0)
-    score = score.otherwise((1 + as_bad) / (1 + F.col("_rows")))
+    score = score.when(as_bad.isNull(), smooth).otherwise((1 + as_bad) / (1 + F.col("_rows")))
     found = scored.join(tails, ["lang_pred", "bits"], "left")
     return found.select(*docs.columns, "lang_pred", score.alias("score"), "entropy")
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latelane.llm import language_id, license_scan, quality_classifier, quality_rules
 from latelane.llm.common import lower_ascii
@@ -79,11 +80,12 @@ def test_probabilities_are_kneser_neys(spark):
 
 def test_rare_grams_of_a_rich_language_count(spark):
     rng = random.Random(4)
-    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(9000)]
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(14_000)]
     docs = spark.createDataFrame([(" ".join(words[i::50]), "xx") for i in range(50)], "text string, lang string")
     counts = Counter()
     for word in words:
-        counts.update(language_id.word_grams(word))
+        padded = f"{language_id.PAD}{word} "
+        counts.update(padded[i : i + 5] for i in range(9))
     assert len(counts) > 70_000  # with most of them once
     p = kneser_ney(counts, 28)
     scorer = language_id.Scorer(language_id.train(docs))
@@ -103,6 +105,30 @@ def test_words_that_tasks_do_not_hold_score_the_same(odd, monkeypatch):
     assert found() == held
 
 
+def test_what_fits_no_language_is_rejected_on_small_inputs(given, spark):
+    docs = given[0].select("doc_id", "text", F.when(F.col("lang") != "fr", F.col("lang")).alias("lang"))
+    rng = random.Random(5)
+
+    def noise():
+        return " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(40))
+
+    strange = spark.createDataFrame([(f"n{i}", noise()) for i in range(40)], "doc_id string, text string")
+    model = language_id.fitted(docs)
+    known = docs.select(F.col("doc_id").cast("string"), "text").unionByName(strange)
+    rows = language_id.predict(known, model)
+    true = given[0].select(F.col("doc_id").cast("string"), "lang", language_id.fold().alias("fold"))
+    rows = rows.join(true, "doc_id", "left").collect()
+
+    def rejected(of):
+        of = list(of)
+        return sum(r["score"] < language_id.REJECT_BELOW for r in of) / len(of)
+
+    assert rejected(r for r in rows if r["doc_id"].startswith("n")) == 1
+    assert rejected(r for r in rows if r["lang"] == "fr") > 0.9
+    clean = [r for r in rows if r["lang"] in ("de", "en", "es") and r["fold"] == language_id.HELD_OUT]
+    assert len(clean) > 50 and rejected(clean) <= 0.02
+
+
 def test_languages_of_odd_rows(odd, nothing):
     rows = {r["doc_id"]: r for r in language_id.identify(odd).collect()}
     assert len(language_id.identify(odd).collect()) == odd.count()
