@@ -1,11 +1,12 @@
 """Packing token sequences by cutting-stock column generation.
 
 A document's ids (with an end id) are cut into blocks of the capacity and a rest. The
-histogram of rest lengths, in classes of ``WIDTH`` tokens, is the demand of a cutting-stock
-problem: a pattern says how many pieces of each class fill one sequence. The linear
+histogram of rest lengths from ``EXACT`` on, in classes of ``WIDTH`` tokens, is the demand of
+a cutting-stock problem: a pattern says how many pieces of each class fill one sequence. The linear
 program over patterns starts from one-class patterns; a knapsack dynamic program over the
 classes' dual prices finds the next pattern until none improves. Patterns are used their
-rounded-down number of times, what remains is packed first-fit by decreasing length. The
+rounded-down number of times, what remains is packed first-fit by decreasing length. Shorter
+pieces, by their exact lengths, fill the room that is left, then sequences of their own. The
 driver handles classes and patterns only, whose numbers the capacity bounds; pieces are
 ranked within their class and the rank says sequence and place.
 
@@ -31,7 +32,8 @@ from latelane.llm.common import file_bytes, map_rows, written
 
 CAPACITY = 2048
 END_ID = 1
-WIDTH = 8  # tokens per length class
+EXACT = 256  # tokens below which a piece's class is its length
+WIDTH = 8  # tokens per length class from there on
 ROUNDS = 4000  # patterns the linear program may try; it is feasible at every step
 BUCKET_PIECES = 16_384
 LEAST_BUCKETS = 64
@@ -109,7 +111,7 @@ def cut_pieces(
 
 @dataclass
 class Pattern:
-    """How often each class (in units of WIDTH) occurs in a sequence, and how many such."""
+    """How often each class (in units or tokens) occurs in a sequence, and how many such."""
 
     counts: dict[int, int]
     times: int
@@ -179,7 +181,13 @@ def plan_patterns(demand: dict[int, int], capacity: int) -> list[Pattern]:
                 patterns.append(Pattern(counts, times))
                 for s, n in counts.items():
                     left[s] -= n * times
-    # First fit by decreasing length: at most a few rounded-off uses of each pattern.
+    # At most a few rounded-off uses of each pattern.
+    return patterns + _first_fit(left, capacity)
+
+
+def _first_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns by decreasing length; uses up ``left``."""
+    patterns = []
     while any(left.values()):
         counts, room = {}, capacity
         for s in sorted(left, reverse=True):
@@ -193,6 +201,30 @@ def plan_patterns(demand: dict[int, int], capacity: int) -> list[Pattern]:
     return patterns
 
 
+def plan(demand: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns that together hold exactly ``demand`` (class size in tokens to pieces)."""
+    long = {s // WIDTH: n for s, n in demand.items() if s >= EXACT}
+    left = {s: n for s, n in demand.items() if s < EXACT}
+    patterns = []
+    for pattern in plan_patterns(long, capacity // WIDTH):
+        held = {s * WIDTH: n for s, n in pattern.counts.items()}
+        times = pattern.times
+        while times:
+            # As many sequences as possible alike, each filled by decreasing length.
+            counts, room, alike = dict(held), capacity - sum(s * n for s, n in held.items()), times
+            for s in sorted(left, reverse=True):
+                if n := min(left[s], room // s):
+                    counts[s] = n
+                    room -= n * s
+                    alike = min(alike, left[s] // n)
+            patterns.append(Pattern(counts, alike))
+            for s, n in counts.items():
+                if s < EXACT:
+                    left[s] -= n * alike
+            times -= alike
+    return patterns + _first_fit(left, capacity)
+
+
 def slot_rows(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     """(class, first rank, last rank, first sequence, pieces per sequence, place) rows."""
     next_rank: dict[int, int] = {}
@@ -231,10 +263,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``pieces`` should be a written table: it is read for the histogram and for the ranks.
     """
-    units = capacity // WIDTH
-    sized = pieces.withColumn("class", F.ceil(F.col("length") / WIDTH))
-    demand = {r["class"]: r["count"] for r in sized.groupBy("class").count().collect()}  # <= units
-    slots = slot_rows(plan_patterns(demand, units))
+    reserved = F.when(F.col("length") < EXACT, F.col("length"))
+    sized = pieces.withColumn("class", reserved.otherwise(F.ceil(F.col("length") / WIDTH) * WIDTH))
+    demand = {r["class"]: r["count"] for r in sized.groupBy("class").count().collect()}  # <= capacity
+    slots = slot_rows(plan(demand, capacity))
     schema = "class bigint, first bigint, last bigint, base bigint, per bigint, place bigint"
     slots = F.broadcast(pieces.sparkSession.createDataFrame(slots, schema))  # bounded by capacity
     placed = _ranked(sized, sum(demand.values())).join(slots, "class").where("rank between first and last")

@@ -185,6 +185,12 @@ def test_little_padding(spark):
     assert check_packing(packing.packed_documents(docs, PATH).collect(), texts, packing.CAPACITY) > 0.97
 
 
+def test_little_padding_of_many_short_texts(spark):
+    texts = {i: "a b c d e f g h" if i % 3 else None for i in range(20_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert check_packing(packing.packed_documents(docs, PATH).collect(), texts, packing.CAPACITY) > 0.95
+
+
 def test_packed_sequences_hold_the_ids(odd, tmp_path):
     pieces = packing.cut_pieces(odd.where("doc_id in (1, 9, 14)"), PATH, ids=True)
     pieces.write.parquet(str(tmp_path / "pieces"))
