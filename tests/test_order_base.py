@@ -46,12 +46,12 @@ def tables(spark):
             (None, "boleto", 1, 1.0),
         ],
         "reviews": [
-            ("o1", 5, None, None),
-            ("o1", 5, None, None),
-            ("o1", 2, None, None),
-            (None, 1, None, None),
-            (None, 1, None, None),
-            ("o9", 3, None, None),
+            ("o1", 5.0, None, None),
+            ("o1", 5.0, None, None),
+            ("o1", 2.0, None, None),
+            (None, 1.0, None, None),
+            (None, 1.0, None, None),
+            ("o9", 3.0, None, None),
         ],
         "products": [("p1", "toys", 100.0, 1.0, 2.0, 3.0), ("p2", None, None, 3.0, 2.0, 3.0),
                      (None, "books", 7.0, 7.0, 7.0, 7.0)],
