@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from latelane.llm import (
     bpe,
+    decontamination,
     exact_dedup,
+    fill_in_middle,
     jaccard_join,
     language_id,
     license_scan,
     packing,
     quality_classifier,
     quality_rules,
+    token_alignment,
     token_counts,
     warc,
 )
@@ -65,6 +68,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(documents(spark, sf_dir), BYTE_BPE, PIECES)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -76,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
     "op10_warc": op10_warc,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -179,4 +197,74 @@ ORACLES: dict[str, str] = {
                case when first is distinct from page_id then first end as refers_to
         from d left join f using (payload_digest)
     """,
+    "op12_fill_in_middle": r"""
+        with h as (
+            select doc_id, coalesce(text, '') as t, sha256('42:' || coalesce(doc_id::varchar, '')) as x,
+                   regexp_extract_all(coalesce(text, ''),
+                       '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+            from documents
+        ),
+        d as (
+            select *, len(u)::bigint as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2,
+                   ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4
+            from h
+        ),
+        c as (
+            select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+                   case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+                             or h3 % 100 >= 50 then 'plain'
+                        when h4 % 100 < 80 then 'spm' else 'psm' end as form
+            from d
+        ),
+        p as (
+            select doc_id, n, form, t, array_to_string(u[1:a], '') as prefix,
+                   array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix
+            from c
+        )
+        select doc_id, n, form,
+               case when form <> 'plain' then length(prefix) end as prefix_chars,
+               case when form <> 'plain' then length(middle) end as middle_chars,
+               sha256(case form when 'plain' then t
+                      when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+               sha256(t) as restored_sha256
+        from p
+    """,
+    "op13_decontamination": r"""
+        with d as (
+            select row_number() over () as r, doc_id,
+                   list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+            from documents
+        ),
+        i as (
+            select item_id, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
+            from benchmark
+        ),
+        g as (
+            select distinct item_id, least(10, len(w)) as size,
+                   array_to_string(w[k:k + least(10, len(w)) - 1], ' ') as gram
+            from (select *, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)
+        ),
+        v as (
+            select r, size, k, array_to_string(w[k:k + size - 1], ' ') as gram
+            from (select r, size, w, unnest(range(1, len(w) - size + 2)) as k
+                  from d, (select distinct size from g) where len(w) >= size)
+        ),
+        x as (select r, v.k, v.size, item_id from v join g on v.gram = g.gram and v.size = g.size),
+        n as (
+            select r, count(distinct p) as n_hit
+            from (select r, unnest(range(k, k + size)) as p from x) group by r
+        ),
+        m as (
+            select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items
+            from (select distinct r, item_id from x) group by r
+        )
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+               sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+        from d left join n using (r) left join m using (r)
+    """,
 }
