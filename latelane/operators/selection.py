@@ -1,4 +1,10 @@
-"""Exact ranks and order statistics by counts per value, one plan for every size."""
+"""Exact ranks and order statistics by counts per value, one plan for every size.
+
+A rank is found in two passes: a bracket of values that holds it, then counts. Only values
+inside the bracket are counted one by one and moved; those below it are a number per task.
+Whether the bracket held the rank is checked, so a poor bracket costs another pass, never
+the result.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from latelane.functions.columns import all_present
 from latelane.sources.scratch import written
 
+# The quantile summary's ranks are off by a group's size over this at most; the bracket is
+# twice as wide on either side.
+ACCURACY = 2_000
+MARGIN = 2 / ACCURACY
+EVERYTHING = (float("-inf"), float("inf"))
+
 
 def running_totals(
     counted: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str]
@@ -52,37 +64,80 @@ def counted_values(values: DataFrame, keys: Sequence[str], value: str = "value")
     return present.groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def ranks_inside(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, value, n, n_below) of the values from ``_lo`` to ``_hi``, both on every row.
+
+    ``n_below`` counts all smaller values of the keys, also those under the bracket. Values
+    are neither null nor NaN, keys are not null.
+    """
+    inside = F.when(F.col("value") >= F.col("_lo"), F.col("value"))
+    counts = rows.where("value <= _hi").groupBy(*keys, inside.alias("value")).agg(F.count("*").alias("n"))
+    counts = written(counts, "bracket_counts")
+    under = counts.where("value is null").select(*keys, F.col("n").alias("_under"))
+    ranked = running_totals(counts.where("value is not null"), keys, "value", ["n"])
+    below = F.col("n_below") + F.coalesce("_under", F.lit(0))
+    return ranked.join(under, list(keys), "left").withColumn("n_below", below).drop("_under")
+
+
+def _middle_values(ranked: DataFrame, sizes: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, lower, upper): the values that hold the middle ranks of ``_size`` values."""
+    upto, half = F.col("n_below") + F.col("n"), F.col("_size") / 2
+    low, high = F.ceil(half), F.floor(half) + 1
+    lower = (F.col("n_below") < low) & (low <= upto)
+    upper = (F.col("n_below") < high) & (high <= upto)
+    held = ranked.join(sizes.select(*group, "_size"), list(group)).where(lower | upper)
+    ends = [F.max(F.when(side, F.col("value"))).alias(c) for c, side in (("lower", lower), ("upper", upper))]
+    return held.groupBy(*group).agg(*ends).where("lower is not null and upper is not null")
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated median of each column, per group of ``keys`` (or overall).
 
     Nulls and NaN are skipped, groups with a missing key are dropped, a group without
-    values has a null median. Infinities take part in order.
+    values has a null median. Infinities take part in order. ``df`` is read twice and
+    should be a scan.
     """
-    keys = list(keys)
-    df = all_present(df, keys).select(*keys, *columns)
-    pairs = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("value"))
-                      for c in columns])
-    group = [*keys, "_column"]
-    counts = counted_values(df.select(*keys, F.inline(pairs)), group)
-    ranked = written(running_totals(counts, group, "value", ["n"]), "ranked_values")
-    sizes = ranked.groupBy(*group).agg(F.sum("n").alias("_size"))
-    upto = F.col("n_below") + F.col("n")
-    half = F.col("_size") / 2
-    # The value that holds the lower middle rank, and the one that holds the upper.
-    lower = (F.col("n_below") < F.ceil(half)) & (F.ceil(half) <= upto)
-    upper = (F.col("n_below") < F.floor(half) + 1) & (F.floor(half) + 1 <= upto)
-    middles = ranked.join(sizes, group).where(lower | upper)
-
-    def middle(c: str) -> Column:
-        of = F.col("_column") == c
-        ends = [F.max(F.when(of & side, F.col("value"))) for side in (lower, upper)]
+    keys, group = list(keys), [*keys, "_column"]
+    numbers = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]
+    df = all_present(df, keys).select(*keys, *numbers)
+    edges = [0.5 - MARGIN, 0.5 + MARGIN]
+    summary = written(
+        df.groupBy(*keys).agg(
+            *[F.struct(F.count(c).alias("size"), F.percentile_approx(c, edges, ACCURACY).alias("edges")).alias(f"_{i}")
+              for i, c in enumerate(columns)]
+        ),
+        "brackets",
+    )
+
+    def bracket(i: int, *values: Column) -> Column:
+        at = F.col(f"_{i}")
+        named = [F.lit(i).alias("_column"), at["size"].alias("_size")]
+        return F.struct(*named, at["edges"][0].alias("_lo"), at["edges"][1].alias("_hi"), *values)
+
+    brackets = summary.select(*keys, F.inline(F.array(*[bracket(i) for i in range(len(columns))])))
+    brackets = brackets.where("_size > 0")
+    beside = df.join(summary, keys) if keys else df.crossJoin(F.broadcast(summary))  # one row
+    cells = [bracket(i, F.col(c).alias("value")) for i, c in enumerate(columns)]
+    rows = beside.select(*keys, F.inline(F.array(*cells)))
+    found = written(_middle_values(ranks_inside(rows, group), brackets, group), "medians")
+    missed = brackets.join(found, group, "left_anti")
+    if not missed.isEmpty():
+        lo, hi = EVERYTHING
+        again = rows.join(missed.select(*group), group, "left_semi")
+        again = again.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)}).where("value is not null")
+        rest = _middle_values(ranks_inside(again, group), brackets, group)
+        found = found.unionByName(written(rest, "more_medians"))
+
+    def median(i: int, c: str) -> Column:
         # Halved first: the sum of two large values would overflow.
-        return F.when(ends[0] == ends[1], ends[0]).otherwise(ends[0] / 2 + ends[1] / 2).alias(c)
+        middle = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(F.col("lower") / 2 + F.col("upper") / 2)
+        return F.max(F.when(F.col("_column") == i, middle)).alias(c)
 
+    medians = [median(i, c) for i, c in enumerate(columns)]
     if not keys:
-        return middles.agg(*[middle(c) for c in columns])
-    found = middles.groupBy(*keys).agg(*[middle(c) for c in columns])
-    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, *columns)
+        return found.agg(*medians)
+    found = found.groupBy(*keys).agg(*medians)
+    return summary.select(*keys).join(found, keys, "left").select(*keys, *columns)
 
 
 def histogram_median(value: str, count: str) -> Column:

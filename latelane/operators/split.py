@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from latelane.functions.sampling import hash_number, hash_text
 from latelane.operators.joins import repeated
-from latelane.operators.selection import counted_values, running_totals
+from latelane.operators.selection import EVERYTHING, ranks_inside
 from latelane.sources.scratch import written
 
 SEED = 42  # fixed value
 TEST_SHARE = 0.2  # fixed value
 ROW_KEYS = ("order_id", "review_score")
+HASHES = 16.0**13  # hash numbers are below this
+DEVIATIONS = 6  # of the rank of a uniform hash, on either side of where a cut is looked for
 
 
 def stratified_split(
@@ -25,29 +27,42 @@ def stratified_split(
 ) -> DataFrame:
     """df with ``is_test``: exactly round(share * n) rows of each label are true.
 
-    Rows are ordered at random by a seeded hash of ``row_keys``. The hash that separates
-    the two parts of a label comes from counts per hash, and rows are compared with it
-    where they are; only rows sharing that very hash are ordered further. Rows without a
-    label are kept and are never test rows. ``df`` is read several times and should be a
-    scan.
+    Rows are ordered at random by a seeded hash of ``row_keys``. Hashes are uniform, so the
+    one that separates the two parts of a label lies in a bracket of known width; counts
+    find it there, and rows are compared with it where they are. Should the bracket not
+    hold it, as when most rows share their keys, all hashes of the label are counted. Only
+    rows sharing that very hash are ordered further. Rows without a label are kept and are
+    never test rows. ``df`` is read several times and should be a scan.
     """
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
     sizes = written(sizes, "label_sizes")
     smallest = sizes.agg(F.min("_n")).first()[0]
     if smallest is not None and smallest < 2:
         raise ValueError(f"a stratified split needs two rows of each {label}")
-    wanted = sizes.select(label, F.round(F.col("_n") * share).cast("bigint").alias("_k"))
+    wanted = sizes.withColumn("_k", F.round(F.col("_n") * share).cast("bigint"))
+    at = F.col("_k") / F.col("_n")
+    off = DEVIATIONS * (F.sqrt(at * (1 - at) / F.col("_n")) + 1 / F.col("_n"))
+    brackets = wanted.withColumns({"_lo": (at - off) * HASHES, "_hi": (at + off) * HASHES})
     key = hash_text(row_keys, seed)
     rest = [c for c in df.columns if c != label]
     hashed = df.withColumn("value", hash_number(key))
-    counts = counted_values(hashed.where(F.col(label).isNotNull()), [label])
-    ranked = running_totals(counts, [label], "value", ["n"]).join(wanted, label)
-    edges = written(
-        ranked.where("n_below < _k and _k <= n_below + n").select(
-            label, "_k", F.col("value").alias("_edge"), F.col("n_below").alias("_below")
-        ),
-        "edges",
-    )
+    numbers = hashed.where(F.col(label).isNotNull()).select(label, "value")
+
+    def edges_in(brackets: DataFrame) -> DataFrame:
+        rows = numbers.join(brackets.select(label, "_lo", "_hi"), label)  # a row per label
+        ranked = ranks_inside(rows, [label]).join(wanted, label)
+        return written(
+            ranked.where("n_below < _k and _k <= n_below + n").select(
+                label, "_k", F.col("value").alias("_edge"), F.col("n_below").alias("_below")
+            ),
+            "edges",
+        )
+
+    edges = edges_in(brackets)
+    missed = brackets.where("_k > 0").join(edges, label, "left_anti")
+    if not missed.isEmpty():
+        lo, hi = EVERYTHING
+        edges = edges.unionByName(edges_in(missed.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)})))
     placed = hashed.join(edges, label, "left")  # a row per label
     off_edge = placed.where("_edge is null or value <> _edge").withColumn(
         "is_test", F.coalesce(F.col("value") < F.col("_edge"), F.lit(False))
@@ -79,7 +94,7 @@ def approximate_split(
     df: DataFrame, share: float = TEST_SHARE, seed: int = SEED, row_keys: Sequence[str] = ROW_KEYS
 ) -> DataFrame:
     """df with ``is_test`` from the hash alone: no shuffle, shares only near ``share``."""
-    edge = float(int(share * 16**13))
+    edge = float(int(share * HASHES))
     return df.withColumn("is_test", hash_number(hash_text(row_keys, seed)) < edge)
 
 
@@ -88,10 +103,11 @@ def fixed_sample(
 ) -> DataFrame:
     """``rows`` rows in the order of a seeded hash; an error if there are fewer.
 
-    Each task keeps its first ``rows`` rows only, so this is for small samples.
+    Each task keeps its first ``rows`` rows only, and the sample is written, so this is for
+    small samples.
     """
     order = [hash_text(row_keys, seed), *[c for c in df.columns]]
-    sample = df.orderBy(*order).limit(rows)
+    sample = written(df.orderBy(*order).limit(rows).coalesce(1), "sample")
     found = sample.count()
     if found < rows:
         raise ValueError(f"cannot sample {rows} rows of {found}")

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from latelane.operators import selection
 from latelane.operators.selection import (
     counted_values,
     exact_medians,
@@ -74,6 +75,21 @@ def test_medians_of_odd_values(spark, values, expected):
     assert found == (expected if expected is None else pytest.approx(expected, rel=1e-15))
 
 
+def test_a_bracket_that_misses_the_rank_costs_another_pass(spark, monkeypatch):
+    monkeypatch.setattr(selection, "ACCURACY", 1)
+    monkeypatch.setattr(selection, "MARGIN", -0.3)
+    test_grouped_medians(spark)
+    test_overall_medians(spark)
+
+
+def test_only_values_inside_the_bracket_move(spark):
+    """Of 40,000 values one in a hundred or so is counted one by one."""
+    rows = spark.range(40_000).selectExpr("cast(id as double) as value", "19000D as _lo", "19100D as _hi", "1 as k")
+    found = selection.ranks_inside(rows, ["k"]).collect()
+    assert len(found) == 101
+    assert all(r["n_below"] == r["value"] and r["n"] == 1 for r in found)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.floats(allow_nan=False)), max_size=40))
 def test_how_many_are_below(spark, rows):
