@@ -17,11 +17,11 @@ from latelane.functions.columns import first_token, freight_ratio
 from latelane.ml import delay_model
 from latelane.ml.scaling import MedianScaler
 from latelane.operators import cube as cubes, enrich, evaluation, metrics, split
-from latelane.plans import drift, order_base, pipeline
+from latelane.plans import drift, history, order_base, pipeline
 from latelane.sources import sinks
 from latelane.sources.scratch import scratch_path, written
 from latelane.sources.star import marketplace_tables
-from latelane.sources.tables import load_tables
+from latelane.sources.tables import load_tables, missing_inputs
 
 FILTERS = {
     "state": "NATION_3",
@@ -68,6 +68,10 @@ class Workspace:
     def delivered(self) -> DataFrame:
         return metrics.delivered_only(self.base)
 
+    @cached_property
+    def marts(self) -> dict[str, DataFrame]:
+        return pipeline.mart_tables(self.base)
+
     @cached_property
     def cube(self) -> DataFrame:
         return written(cubes.dashboard_cube(self.delivered), "dashboard_cube")
@@ -119,6 +123,14 @@ def _history(w: Workspace, side: str) -> DataFrame:
     return order_base.late_history(orders, f"{side}_id", f"{side}_orders", f"{side}_late_rate")
 
 
+def _with_history(w: Workspace, kind: str) -> DataFrame:
+    rows = history.HISTORIES[kind](w.base).select(
+        "order_id", "review_score", "seller_orders", "seller_late_rate", "customer_orders",
+        "customer_late_rate",
+    )
+    return _rounded(rows)
+
+
 def _review_fill(w: Workspace) -> DataFrame:
     orders = w.tables["orders"].select("order_id")
     counted = order_base.counted_reviews(w.tables["reviews"])
@@ -279,7 +291,48 @@ def _report_headline_texts(w: Workspace) -> DataFrame:
 
 
 def _mart(w: Workspace, name: str) -> DataFrame:
-    return pipeline.mart_tables(w.base)[name]
+    return w.marts[name]
+
+
+def _marts_roundtrip(w: Workspace) -> DataFrame:
+    """Every mart written to a folder and read back: its rows and the sum of one number."""
+    numbers = {
+        "kpi_summary": "total_revenue", "revenue_by_category": "revenue", "revenue_by_state": "revenue",
+        "delay_by_state": "median_delay", "top_states": "revenue", "top_categories": "revenue",
+        "late_states": "late_rate", "delay_table": "late_rate", "revenue_by_date": "revenue",
+        "month_profile": "late_rate", "delivery_days_histogram": "n", "review_score_histogram": "n",
+        "states": None, "categories": None, "date_bounds": None, "dashboard_cube": "order_count",
+    }
+    paths = sinks.write_marts(w.marts, scratch_path(w.spark, "marts"))
+    result = None
+    for name, path in paths.items():
+        total = F.sum(F.col(numbers[name]).cast("double")) if numbers[name] else F.lit(0.0)
+        part = w.spark.read.parquet(path).agg(F.count("*").alias("n_rows"), F.round(total, 2).alias("total"))
+        part = part.select(F.lit(name).alias("mart"), "n_rows", "total")
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _missing_inputs(w: Workspace) -> DataFrame:
+    """What a folder lacks that holds all tables but one, and two of them without a column."""
+    folder = scratch_path(w.spark, "incomplete")
+    for name, df in w.tables.items():
+        if name != "sellers":
+            lost = {"orders": "order_status", "items": "price"}.get(name)
+            (df.drop(lost) if lost else df).write.parquet(f"{folder}/{name}.parquet")
+    return missing_inputs(w.spark, folder)
+
+
+def _drift_boundaries(w: Workspace) -> DataFrame:
+    """The tier of each state's late rate against itself times factors around the limits."""
+    rates = metrics.delay_by(w.delivered, "customer_state").select(
+        "customer_state", F.col("late_rate").alias("baseline_late_rate")
+    )
+    factors = F.explode(F.array(*[F.lit(f) for f in (0.9, 1.0, 1.04, 1.05, 1.06, 1.09, 1.1, 1.11)]))
+    moved = rates.withColumn("factor", factors).withColumn(
+        "expected_late_rate", F.col("baseline_late_rate") * F.col("factor")
+    )
+    return drift.with_tier(moved).select("customer_state", "factor", "tier")
 
 
 def _filtered(w: Workspace, **filters: str) -> DataFrame:
@@ -296,7 +349,7 @@ def _model_metrics(w: Workspace) -> DataFrame:
 
 
 def _report(w: Workspace) -> DataFrame:
-    return pipeline.report_summary(pipeline.mart_tables(w.base), w.trained, w.drift)
+    return pipeline.report_summary(w.marts, w.trained, w.drift)
 
 
 def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
@@ -335,6 +388,9 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         ),
         "seller_history": lambda w: _rounded(_history(w, "seller")),
         "customer_history": lambda w: _rounded(_history(w, "customer")),
+        "seller_history_asof": lambda w: _rounded(_texts(history.history_asof(w.base, "seller"))),
+        "order_base_asof": lambda w: _with_history(w, "asof"),
+        "order_base_train_only": lambda w: _with_history(w, "train_only"),
         "review_fill": _review_fill,
         "order_base": lambda w: _rounded(_texts(w.base), revenue=6),
         "kpi_summary": lambda w: _rounded(metrics.kpi_summary(w.delivered)),
@@ -401,13 +457,16 @@ def _queries() -> Mapping[str, Callable[[Workspace], DataFrame]]:
         ),
         "drift_tier_by_state": lambda w: _rounded(_drift_by_state(w)),
         "historical_late_rate": lambda w: _rounded(drift.historical_late_rate(w.delivered)),
-        "report_headline": lambda w: pipeline.report_headline(pipeline.mart_tables(w.base)).select(
+        "report_headline": lambda w: pipeline.report_headline(w.marts).select(
             "total_revenue_text", "avg_ticket_text", "avg_delivery_days_text", "late_rate_text",
             "avg_review_score_text", "top_category", "top_category_revenue_text", "top_state",
             "top_state_revenue_text", "most_late_state", "most_late_state_late_rate_text",
         ),
         "csv_roundtrip": _csv_roundtrip,
         "csv_quoted_lines": _quoted_lines,
+        "marts_roundtrip": _marts_roundtrip,
+        "missing_inputs": _missing_inputs,
+        "drift_tier_rule": _drift_boundaries,
         "late_model_rows": _model_rows,
         "late_model_quality": _model_quality,
         "drift_check_rule": _drift_rule,

@@ -385,6 +385,90 @@ _BASE_COLUMNS = f"""order_id, customer_id, order_status,
   round(customer_late_rate, 6) AS customer_late_rate"""
 
 
+_MARTS = """, d AS (
+  SELECT customer_state, avg(CAST(is_late AS INT)) AS late_rate, median(delivery_delay) AS median_delay,
+    coalesce(sum(revenue), 0) AS revenue FROM delivered WHERE customer_state IS NOT NULL GROUP BY 1),
+late AS (SELECT * FROM d ORDER BY late_rate DESC NULLS LAST, median_delay DESC NULLS LAST, customer_state LIMIT 12),
+least AS (SELECT * FROM late ORDER BY late_rate DESC NULLS LAST, median_delay DESC NULLS LAST, customer_state LIMIT 10),
+c AS (SELECT category_most_common AS k, coalesce(sum(revenue), 0) AS revenue FROM delivered
+  WHERE category_most_common IS NOT NULL GROUP BY 1),
+days AS (SELECT order_purchase_date AS k, coalesce(sum(revenue), 0) AS revenue FROM delivered
+  WHERE order_purchase_date IS NOT NULL GROUP BY 1),
+months AS (SELECT purchase_month AS k, avg(CAST(is_late AS INT)) AS late_rate FROM delivered
+  WHERE purchase_month IS NOT NULL GROUP BY 1),
+cells AS (SELECT count(order_id) AS n FROM delivered WHERE order_purchase_date IS NOT NULL
+  AND customer_state IS NOT NULL AND category_most_common IS NOT NULL AND purchase_month IS NOT NULL
+  GROUP BY order_purchase_date, customer_state, category_most_common, purchase_month),
+edges AS (SELECT CAST(min(actual_delivery_days) AS DOUBLE) AS lo,
+  CAST((max(actual_delivery_days) - min(actual_delivery_days)) / 30.0 AS DOUBLE) AS width FROM delivered),
+bins AS (SELECT least(coalesce(floor((actual_delivery_days - lo) / nullif(width, 0)), 0), 29) AS bin, count(*) AS n
+  FROM delivered, edges WHERE actual_delivery_days IS NOT NULL GROUP BY 1),
+scores AS (SELECT floor(review_score) AS k, count(*) AS n FROM delivered WHERE review_score IS NOT NULL GROUP BY 1),
+m(mart, n_rows, total) AS (
+  SELECT 'kpi_summary', 1, coalesce(sum(revenue), 0) FROM delivered
+  UNION ALL SELECT 'revenue_by_category', count(*), sum(revenue) FROM c
+  UNION ALL SELECT 'revenue_by_state', count(*), sum(revenue) FROM d
+  UNION ALL SELECT 'delay_by_state', count(*), sum(median_delay) FROM d
+  UNION ALL SELECT 'top_states', count(*), sum(revenue) FROM (FROM d ORDER BY revenue DESC, customer_state LIMIT 12)
+  UNION ALL SELECT 'top_categories', count(*), sum(revenue) FROM (FROM c ORDER BY revenue DESC, k LIMIT 12)
+  UNION ALL SELECT 'late_states', count(*), sum(late_rate) FROM late
+  UNION ALL SELECT 'delay_table', count(*), sum(late_rate) FROM least
+  UNION ALL SELECT 'revenue_by_date', count(*), sum(revenue) FROM days
+  UNION ALL SELECT 'month_profile', count(*), sum(late_rate) FROM months
+  UNION ALL SELECT 'delivery_days_histogram', count(*), sum(n) FROM bins
+  UNION ALL SELECT 'review_score_histogram', count(*), sum(n) FROM scores
+  UNION ALL SELECT 'states', count(*), 0 FROM d
+  UNION ALL SELECT 'categories', count(*), 0 FROM c
+  UNION ALL SELECT 'date_bounds', 1, 0
+  UNION ALL SELECT 'dashboard_cube', count(*), sum(n) FROM cells)
+SELECT mart, CAST(n_rows AS BIGINT) AS n_rows, round(CAST(total AS DOUBLE), 2) AS total FROM m"""
+
+_TIER_RULE = """, r AS (SELECT customer_state, avg(CAST(is_late AS INT)) AS rate FROM delivered
+  WHERE customer_state IS NOT NULL GROUP BY 1),
+f AS (SELECT CAST(unnest([0.9, 1.0, 1.04, 1.05, 1.06, 1.09, 1.1, 1.11]) AS DOUBLE) AS factor)
+SELECT customer_state, factor,
+  CASE WHEN rate * factor > rate * CAST(1.1 AS DOUBLE) THEN 'retrain'
+    WHEN rate * factor > rate * CAST(1.05 AS DOUBLE) THEN 'watch' ELSE 'stable' END AS tier
+FROM r, f"""
+
+
+def _asof(key: str) -> str:
+    """Totals of a key's strictly earlier purchases, per purchase moment."""
+    return f"""SELECT {key}, order_purchase_timestamp,
+    sum(o) OVER earlier - o AS orders, sum(l) OVER earlier - l AS late, sum(n) OVER earlier - n AS n
+  FROM (SELECT {key}, order_purchase_timestamp, count(order_id) AS o, count_if(is_late) AS l, count(*) AS n
+    FROM base WHERE {key} IS NOT NULL AND order_purchase_timestamp IS NOT NULL GROUP BY 1, 2)
+  WINDOW earlier AS (PARTITION BY {key} ORDER BY order_purchase_timestamp)"""
+
+
+_SELLER_ASOF = f""", a AS ({_asof('seller_id')})
+SELECT seller_id, CAST(order_purchase_timestamp AS VARCHAR) AS order_purchase_timestamp,
+  CAST(orders AS BIGINT) AS seller_orders, round(late / nullif(n, 0), 6) AS seller_late_rate FROM a"""
+
+_BASE_ASOF = f""", a AS ({_asof('seller_id')}), c AS ({_asof('customer_id')})
+SELECT order_id, review_score, CAST(a.orders AS BIGINT) AS seller_orders,
+  round(a.late / nullif(a.n, 0), 6) AS seller_late_rate, CAST(c.orders AS BIGINT) AS customer_orders,
+  round(c.late / nullif(c.n, 0), 6) AS customer_late_rate
+FROM base LEFT JOIN a USING (seller_id, order_purchase_timestamp)
+  LEFT JOIN c USING (customer_id, order_purchase_timestamp)"""
+
+
+def _left_out(key: str) -> str:
+    """Totals of a key's other rows that are not in the test part."""
+    return f"""CASE WHEN {key}_id IS NOT NULL THEN CAST(coalesce(sum(CAST(counted AND order_id IS NOT NULL AS INT)) OVER {key}s, 0)
+    - CAST(counted AND order_id IS NOT NULL AS INT) AS BIGINT) END AS {key}_orders,
+  CASE WHEN {key}_id IS NOT NULL THEN round((sum(CAST(counted AND is_late AS INT)) OVER {key}s - CAST(counted AND is_late AS INT))
+    / nullif(sum(CAST(counted AS INT)) OVER {key}s - CAST(counted AS INT), 0), 6) END AS {key}_late_rate"""
+
+
+_TRAIN_ONLY = f""", r AS (
+  SELECT order_id, review_score, seller_id, customer_id, is_late, NOT is_test AS counted FROM split
+  UNION ALL SELECT order_id, review_score, seller_id, customer_id, is_late, true FROM base
+    WHERE order_status IS DISTINCT FROM 'delivered')
+SELECT order_id, review_score, {_left_out('seller')}, {_left_out('customer')} FROM r
+WINDOW sellers AS (PARTITION BY seller_id), customers AS (PARTITION BY customer_id)"""
+
+
 def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
     chosen = "WHERE " + _filter(**filters)
     at_least = (
@@ -450,6 +534,9 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
             "SELECT customer_id, customer_orders, round(customer_late_rate, 6)"
             " AS customer_late_rate FROM customer_past",
         ),
+        "seller_history_asof": _sql("base", _SELLER_ASOF),
+        "order_base_asof": _sql("base", _BASE_ASOF),
+        "order_base_train_only": _sql("split", _TRAIN_ONLY),
         "review_fill": _sql("base", "SELECT median(given_score) AS fill_score FROM joined"),
         "order_base": _sql("base", f"SELECT {_BASE_COLUMNS} FROM base"),
         "kpi_summary": _sql("base", _KPIS),
@@ -626,6 +713,10 @@ def oracle_queries(filters: dict[str, str]) -> dict[str, str]:
             " || CAST(product_id AS VARCHAR) AS product_category_name, product_weight_g,"
             " product_width_cm FROM m_products",
         ),
+        "marts_roundtrip": _sql("base", _MARTS),
+        "missing_inputs": "SELECT * FROM (VALUES ('sellers', NULL), ('items', 'price'), ('orders', 'order_status'))"
+        " AS t(table_name, column_name)",
+        "drift_tier_rule": _sql("base", _TIER_RULE),
         "late_model_rows": _sql(
             "split",
             "SELECT order_id, review_score, label, true AS score_in_range,"

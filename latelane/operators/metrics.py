@@ -142,6 +142,11 @@ def delivery_days_histogram(df: DataFrame, bins: int = DELIVERY_BINS) -> DataFra
         .groupBy("actual_delivery_days")
         .agg(F.count("*").alias("n"))
     )
+    return binned_days(counts, bins)
+
+
+def binned_days(counts: DataFrame, bins: int = DELIVERY_BINS) -> DataFrame:
+    """The histogram from (actual_delivery_days, n) counts."""
     edges = counts.agg(
         F.min("actual_delivery_days").cast("double").alias("lo"),
         F.max("actual_delivery_days").cast("double").alias("hi"),

@@ -80,14 +80,15 @@ def ranks_inside(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _middle_values(ranked: DataFrame, sizes: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(group, lower, upper): the values that hold the middle ranks of ``_size`` values."""
+    """(group, lower, upper) of every group in ``sizes``: the values that hold the middle ranks
+    of its ``_size`` values, null where ``ranked`` does not have them."""
     upto, half = F.col("n_below") + F.col("n"), F.col("_size") / 2
     low, high = F.ceil(half), F.floor(half) + 1
     lower = (F.col("n_below") < low) & (low <= upto)
     upper = (F.col("n_below") < high) & (high <= upto)
     held = ranked.join(sizes.select(*group, "_size"), list(group)).where(lower | upper)
     ends = [F.max(F.when(side, F.col("value"))).alias(c) for c, side in (("lower", lower), ("upper", upper))]
-    return held.groupBy(*group).agg(*ends).where("lower is not null and upper is not null")
+    return sizes.select(*group).join(held.groupBy(*group).agg(*ends), list(group), "left")
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -120,13 +121,13 @@ def exact_medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
     cells = [bracket(i, F.col(c).alias("value")) for i, c in enumerate(columns)]
     rows = beside.select(*keys, F.inline(F.array(*cells)))
     found = written(_middle_values(ranks_inside(rows, group), brackets, group), "medians")
-    missed = brackets.join(found, group, "left_anti")
+    missed = found.where("lower is null or upper is null").select(*group)
     if not missed.isEmpty():
         lo, hi = EVERYTHING
-        again = rows.join(missed.select(*group), group, "left_semi")
-        again = again.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)}).where("value is not null")
-        rest = _middle_values(ranks_inside(again, group), brackets, group)
-        found = found.unionByName(written(rest, "more_medians"))
+        again = rows.join(missed, group, "left_semi").where("value is not null")
+        again = again.withColumns({"_lo": F.lit(lo), "_hi": F.lit(hi)})
+        rest = _middle_values(ranks_inside(again, group), brackets.join(missed, group, "left_semi"), group)
+        found = found.join(missed, group, "left_anti").unionByName(written(rest, "more_medians"))
 
     def median(i: int, c: str) -> Column:
         # Halved first: the sum of two large values would overflow.

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from latelane.functions.columns import money_text, percent_text, plain_text
 from latelane.ml.delay_model import MAX_DEPTH, TREES, TrainedModel, train
-from latelane.operators import cube as cubes, metrics
+from latelane.operators import metrics
 from latelane.plans.drift import sampled_drift_check
+from latelane.plans.history import HISTORIES
+from latelane.plans.marts import Marts
 from latelane.plans.order_base import build_order_base
 from latelane.sources.scratch import scratch_run, written
 from latelane.sources.sinks import write_json_records, write_marts
@@ -17,29 +19,8 @@ from latelane.sources.tables import load_tables
 
 
 def mart_tables(base: DataFrame) -> dict[str, DataFrame]:
-    """Every table behind the dashboard, from the enriched order table."""
-    delivered = metrics.delivered_only(base)
-    delays = metrics.delay_ranking(delivered, "customer_state")
-    states = metrics.revenue_ranking(delivered, "customer_state")
-    categories = metrics.revenue_ranking(delivered, "category_most_common")
-    return {
-        "kpi_summary": metrics.kpi_formatted(metrics.kpi_summary(delivered)),
-        "revenue_by_category": categories,
-        "revenue_by_state": states,
-        "delay_by_state": delays,
-        "top_states": metrics.top(states, metrics.TOP_CHART),
-        "top_categories": metrics.top(categories, metrics.TOP_CHART),
-        "late_states": metrics.top(delays, metrics.TOP_CHART),
-        "delay_table": metrics.delay_formatted(metrics.top(delays, metrics.TOP_TABLE)),
-        "revenue_by_date": metrics.revenue_by_date(delivered),
-        "month_profile": metrics.month_profile(delivered),
-        "delivery_days_histogram": metrics.delivery_days_histogram(delivered),
-        "review_score_histogram": metrics.review_score_histogram(delivered),
-        "states": metrics.filter_domain(delivered, "customer_state"),
-        "categories": metrics.filter_domain(delivered, "category_most_common"),
-        "date_bounds": metrics.date_bounds(delivered),
-        "dashboard_cube": cubes.dashboard_cube(delivered),
-    }
+    """Every table behind the dashboard, from one scan of the enriched order table."""
+    return Marts.of(base).tables()
 
 
 def _leader(ranking: DataFrame, key: str, value: str, prefix: str) -> DataFrame:
@@ -89,21 +70,27 @@ def run_pipeline(
     out: str,
     trees: int = TREES,
     max_depth: int = MAX_DEPTH,
+    history: str = "all",
 ) -> dict[str, str]:
     """Runs everything on the tables in ``base_path``; returns the paths written.
 
+    ``history`` says what the late histories among the features count: "all" rows, the row
+    itself included, or "asof" or "train_only", which do not see its outcome.
+
     Each mart is written once, under ``out``; the rankings for the report are read back
     from there. The model is saved under ``out`` as well. Intermediate tables are deleted
     when the run ends.
     """
     with scratch_run(spark):
-        return _run(spark, base_path, out, trees, max_depth)
+        return _run(spark, base_path, out, trees, max_depth, history)
 
 
 def _run(
-    spark: SparkSession, base_path: str, out: str, trees: int, max_depth: int
+    spark: SparkSession, base_path: str, out: str, trees: int, max_depth: int, history: str
 ) -> dict[str, str]:
     base = written(build_order_base(load_tables(spark, base_path, convert=True)), "order_base")
+    if history != "all":
+        base = written(HISTORIES[history](base), "order_base_history")
     delivered = metrics.delivered_only(base)
     paths = write_marts(mart_tables(base), out)
     marts = {name: spark.read.parquet(path) for name, path in paths.items()}

@@ -116,16 +116,30 @@ def _open(
     return None
 
 
+def _absent(opened: dict[str, tuple[str, DataFrame] | None]) -> list[tuple[str, str | None]]:
+    """(table, column) of what is needed and not there; no column for a whole table."""
+    absent = [(t, None) for t, found in opened.items() if found is None]
+    for table, found in opened.items():
+        if found is not None:
+            absent += [(table, c) for c in required_columns(table) if c not in found[1].columns]
+    return absent
+
+
+def missing_inputs(spark: SparkSession, base: str) -> DataFrame:
+    """(table_name, column_name) of every table and needed column that ``base`` lacks; the
+    column is null where the whole table is absent. No rows: ``load_tables`` will find all."""
+    opened = {t: _open(spark, base.rstrip("/"), t, False) for t in TABLES}
+    return spark.createDataFrame(_absent(opened), "table_name string, column_name string")
+
+
 def _open_all(
     spark: SparkSession, base: str, multiline: bool | None
 ) -> dict[str, tuple[str, DataFrame]]:
     opened = {t: _open(spark, base.rstrip("/"), t, multiline) for t in TABLES}
-    missing = [f"table {t} ({t}.parquet, {t}.csv or *{CSV_STEMS[t]}.csv)"
-               for t, found in opened.items() if found is None]
-    for table, found in opened.items():
-        if found is not None:
-            absent = [c for c in required_columns(table) if c not in found[1].columns]
-            missing += [f"column {table}.{c}" for c in absent]
+    missing = [
+        f"column {t}.{c}" if c else f"table {t} ({t}.parquet, {t}.csv or *{CSV_STEMS[t]}.csv)"
+        for t, c in _absent(opened)
+    ]
     if missing:
         raise MissingInputsError(f"missing in {base}: " + "; ".join(missing))
     return opened
