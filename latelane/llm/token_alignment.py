@@ -2,16 +2,15 @@
 
 Tokenizer A is a byte-level BPE file, B a sentencepiece file with byte fallback; both encode
 the text with a space in front. Byte offsets where tokens of both end cut the tokens into
-groups; the last tokens of a group are linked. ``IdentityMap`` holds, per A id, the B id of
+groups; the last tokens of a group are linked. ``identity_map`` holds, per A id, the B id of
 the same bytes. A group of one token on either side that the map names is exact: such links
 are counted in a vector with a place per A id. Only the links of other groups are pairs, which
 go through a shuffle.
 
-Texts are read in stretches: a stretch ends before a space that follows a visible character.
-Neither tokenizer has a token across such a place (for B the pieces are checked, otherwise the
-whole text is one stretch), so a stretch's groups are the same wherever it stands, and a task
-works out each distinct stretch once. What it remembers is bounded by ``CACHE_BYTES``, or by
-one text where that is longer.
+Long texts are aligned in blocks. A block ends before a space that follows a visible
+character: neither tokenizer has a token across such a place (for B the pieces are checked,
+otherwise a text is one block), so memory is bounded by the block, or by the longest run
+without such a place.
 
 The first pass writes a row per document (digest, distinct exact A ids and pairs with how
 often they occur) and rows of each task's totals. Totals are summed to the vector and the
@@ -29,26 +28,24 @@ highest count are all highest; only doc_id and text are read; an empty table giv
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from latelane.llm.bpe import byte_symbols
+from latelane.llm import bpe
 from latelane.llm.common import file_bytes, map_rows, with_package, written
 
-CACHE_BYTES = 96 << 20  # of stretches, their digest strings and links, per Python process
-COLD_BATCH = 4096  # stretches encoded in one call
-PAIRS_HELD = 500_000  # distinct pairs a task counts before it passes the totals on
-ENTRY_BYTES = 400  # of objects per remembered stretch, about
-_CUT = re.compile(r"(?<=\S) ")
-_MARK = "▁"
+BLOCK_CHARS = 1 << 18  # a block's length, about
+PAIRS_HELD = 500_000  # pairs a task holds before it sums them, and sums before it passes them on
+LONG_RUN = 2_000  # characters of one kind from which on the rank-merging library is too slow
+_CUT = re.compile(r"(?<=\S) (?!\Z)")
+_MARK = "\u2581"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _B_BITS = 32
 
@@ -57,22 +54,28 @@ class Vocabularies:
     """Both tokenizers and their tokens' bytes."""
 
     def __init__(self, a: bytes, b: bytes):
+        vocabulary = bpe.Vocabulary(a)
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.a.no_truncation()
         self.a.no_padding()
+        plain = {i: t for i, t in vocabulary.bytes_of.items() if i not in vocabulary.special.values()}
+        self.a_bytes = [plain.get(i, b"") for i in range(self.a.get_vocab_size(with_added_tokens=True))]
+        # Merging by rank is exact, and faster, where ids follow the merge order.
+        order = [new for _, _, new in vocabulary.rules]
+        self.ranked = None
+        if order == sorted(set(order)) and len(set(plain.values())) == len(plain):
+            ranks = {t: i for i, t in plain.items()}
+            self.ranked = tiktoken.Encoding("a", pat_str=bpe.PIECES, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        symbols = byte_symbols()
-        spec = json.loads(a)
-        self.a_bytes = [b""] * self.a.get_vocab_size(with_added_tokens=True)
-        for token, i in spec["model"]["vocab"].items():
-            if all(c in symbols for c in token):
-                self.a_bytes[i] = bytes(symbols[c] for c in token)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [self._piece_bytes(i, p) for i, p in enumerate(pieces)]
-        # No piece goes on over a space after something else: stretches are independent.
+        # No piece goes on over a space after something else: blocks are independent.
         self.separable = not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
         self.identity = identity_map(self.a_bytes, self.b_bytes, [self.b.is_byte(i) for i in range(len(pieces))])
+        self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
+        self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
+        self.digits = _digits(max(len(self.a_bytes), len(self.b_bytes)))
 
     def _piece_bytes(self, i: int, piece: str) -> bytes:
         if self.b.is_unknown(i) or self.b.is_control(i):
@@ -81,12 +84,27 @@ class Vocabularies:
             return bytes.fromhex(_BYTE.match(piece).group(1))
         return piece.replace(_MARK, " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-        """(bytes, A ids, B ids) of texts, each with a space in front."""
-        spaced = [" " + t for t in texts]
-        of_a = self.a.encode_batch(spaced, add_special_tokens=False)
-        for text, s, found in zip(texts, spaced, of_a):
-            yield s.encode(), found.ids, self.b.encode(text)
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A ids and B ids of a text with a space in front; None where the joined bytes of
+        either are not the text's."""
+        spaced = " " + text
+        raw = spaced.encode()
+        if self.ranked is None or _long_run(text):
+            a = self.a.encode(spaced, add_special_tokens=False).ids
+        else:
+            a = self.ranked.encode_ordinary(spaced)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw:
+            return None
+        b = self.b.encode(text)
+        if b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _long_run(text: str) -> bool:
+    words = text.split()
+    spaces = len(text) - sum(map(len, words))
+    return max(map(len, words), default=0) > LONG_RUN or spaces > len(words) + LONG_RUN
 
 
 def identity_map(a_bytes: list[bytes], b_bytes: list[bytes], b_is_byte: list[bool]) -> np.ndarray:
@@ -95,133 +113,115 @@ def identity_map(a_bytes: list[bytes], b_bytes: list[bytes], b_is_byte: list[boo
     for i in sorted(range(len(b_bytes)), key=lambda i: (b_is_byte[i], i)):
         if b_bytes[i]:
             of.setdefault(b_bytes[i], i)
-    return np.array([of.get(b, -1) if b else -1 for b in a_bytes], np.int64)
-
-
-class Alignment:
-    """Groups of one text: how many tokens and groups, exact A ids, other pairs, the string."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "exact", "pairs", "text")
-
-    def __init__(self, of: Vocabularies, a: list[int], b: list[int]):
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), 0
-        self.exact, self.pairs, shown = [], [], []
-        a_bytes, b_bytes, identity = of.a_bytes, of.b_bytes, of.identity
-        i = j = first_a = first_b = end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            # Both ends are equal at the end of the text, so the shorter side has a next token.
-            if end_a <= end_b:
-                end_a += len(a_bytes[a[i]])
-                i += 1
-            else:
-                end_b += len(b_bytes[b[j]])
-                j += 1
-            if end_a == end_b:
-                last_a, last_b = a[i - 1], b[j - 1]
-                if i - first_a == 1 and j - first_b == 1 and identity[last_a] == last_b:
-                    self.exact.append(last_a)
-                    shown.append(f"{last_a}|{last_b}")
-                else:
-                    self.pairs.append(last_a << _B_BITS | last_b)
-                    shown.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                self.n_groups += 1
-        self.text = ";".join(shown).encode()
-
-
-def alignment(of: Vocabularies, raw: bytes, a: list[int], b: list[int]) -> Alignment | None:
-    """None where the joined bytes of A or B are not the text's."""
-    joined_a = b"".join([of.a_bytes[i] for i in a])
-    if joined_a != raw or b"".join([of.b_bytes[i] for i in b]) != raw:
+    return np.array([of.get(t, -1) if t else -1 for t in a_bytes], np.int64)
+
+
+def _digits(size: int) -> np.ndarray:
+    """The decimal digits of the numbers below ``size``, zero bytes in front, a place behind."""
+    width = len(str(size))
+    rows = [str(i).encode().rjust(width, b"\0") + b"\0" for i in range(size)]
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(size, width + 1)
+
+
+class Groups:
+    """The groups of a text's tokens: how many, their links, and their string."""
+
+    def __init__(self, of: Vocabularies, a: np.ndarray, b: np.ndarray):
+        ends_a, ends_b = np.cumsum(of.a_sizes[a]), np.cumsum(of.b_sizes[b])
+        marked = np.zeros(int(ends_a[-1]) + 1, np.int8)
+        marked[ends_a] = 1
+        self.cut_b = marked[ends_b] == 1
+        marked[:] = 0
+        marked[ends_b] = 1
+        self.cut_a = marked[ends_a] == 1
+        self.of, self.a, self.b = of, a, b
+        self.last_a, self.last_b = np.flatnonzero(self.cut_a), np.flatnonzero(self.cut_b)
+        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(self.last_a)
+        linked_a, linked_b = a[self.last_a], b[self.last_b]
+        alone = (np.diff(self.last_a, prepend=-1) == 1) & (np.diff(self.last_b, prepend=-1) == 1)
+        exact = alone & (of.identity[linked_a] == linked_b)
+        self.exact = linked_a[exact]
+        self.pairs = linked_a[~exact] << _B_BITS | linked_b[~exact]
+
+    def text(self) -> bytes:
+        """``a1,a2|b1;a3|b2;``: a comma or the end of its side behind each id."""
+        digits = self.of.digits
+        group_a = np.cumsum(self.cut_a) - self.cut_a
+        group_b = np.cumsum(self.cut_b) - self.cut_b
+        # A token stands behind all groups before its own, B's behind A's of the same group.
+        before = np.concatenate([[0], self.last_b[:-1] + 1])
+        at_a = np.arange(self.n_a) + before[group_a]
+        at_b = np.arange(self.n_b) + (self.last_a + 1)[group_b]
+        cells = np.empty((self.n_a + self.n_b, digits.shape[1]), np.uint8)
+        cells[at_a], cells[at_b] = digits[self.a], digits[self.b]
+        cells[:, -1] = ord(",")
+        cells[at_a[self.last_a], -1] = ord("|")
+        cells[at_b[self.last_b], -1] = ord(";")
+        flat = cells.ravel()
+        return flat[flat != 0].tobytes()
+
+
+def blocks(text: str, size: int) -> Iterator[str]:
+    """A text in parts of ``size`` characters or some more, each without the space in front.
+
+    A lone space at the end of the text has no block of its own: B would add its space to nothing.
+    """
+    start = 0
+    while len(text) - start > size:
+        cut = _CUT.search(text, start + size)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.end()
+    yield text[start:]
+
+
+def grouped(of: Vocabularies, text: str) -> list[Groups] | None:
+    """The groups of a text, block by block; None where it has no tokens."""
+    size = BLOCK_CHARS if of.separable else len(text)
+    encoded = [of.encode(part) for part in blocks(text, size)]
+    if any(e is None for e in encoded):
         return None
-    return Alignment(of, a, b)
-
+    return [Groups(of, a, b) for a, b in encoded]
 
-def stretches(text: str) -> list[str]:
-    """A text's stretches, each without the space it begins with."""
-    parts = _CUT.split(text)
-    if len(parts) > 1 and not parts[-1]:
-        # A lone space at the end has no stretch of its own: B would add its space to nothing.
-        parts[-2:] = [parts[-2] + " "]
-    return parts
 
+def _summed(values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, in order, and how often each occurs."""
+    if times is None:
+        return np.unique(values, return_counts=True)
+    distinct, inverse = np.unique(values, return_inverse=True)
+    sums = np.zeros(len(distinct), np.int64)
+    np.add.at(sums, inverse, times)
+    return distinct, sums
 
-class Aligner:
-    """Aligns texts, remembers stretches, and counts links until ``totals`` are taken."""
 
-    def __init__(self, of: Vocabularies):
-        self.of = of
-        self.forget()
+class PairTotals:
+    """Sums of pairs, in arrays of bounded length."""
 
-    def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.shown: dict[str, bytes | None] = {}
-        self.stats = np.zeros((1024, 3), np.int64)  # tokens of A, of B, groups
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), COLD_BATCH):
-            part = words[at : at + COLD_BATCH]
-            for word, (raw, a, b) in zip(part, self.of.encode(part)):
-                found = alignment(self.of, raw, a, b)
-                place = self.places[word] = len(self.links)
-                self.shown[word] = found.text if found else None
-                if place >= len(self.stats):
-                    self.stats = np.concatenate([self.stats, np.zeros_like(self.stats)])
-                if found:
-                    self.stats[place] = found.n_a, found.n_b, found.n_groups
-                    self.links.append((np.array(found.exact, np.int64), np.array(found.pairs, np.int64)))
-                    self.held += len(found.text) + 8 * found.n_groups
-                else:
-                    self.links.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                self.held += ENTRY_BYTES + len(raw)
-
-    def text(self, text: str) -> tuple | None:
-        """(tokens of A, of B, groups, string of the groups, exact ids, times, pairs, times)."""
-        words = stretches(text) if self.of.separable else [text]
-        times = Counter(words)
-        cold = [w for w in times if w not in self.places]
-        if self.held > CACHE_BYTES and cold:
-            self.forget()
-            cold = list(times)
-        self.learn(cold)
-        shown = list(map(self.shown.__getitem__, words))
-        if None in shown:
-            return self.whole(text)
-        places = np.fromiter(map(self.places.__getitem__, times), np.int64, len(times))
-        n = np.fromiter(times.values(), np.int64, len(times))
-        stats = n @ self.stats[places]
-        exact, pairs = zip(*[self.links[i] for i in places])
-        return (*stats.tolist(), b";".join(shown), *_summed(exact, n), *_summed(pairs, n))
-
-    def whole(self, text: str) -> tuple | None:
-        """The same without stretches, where one of them has other bytes."""
-        raw, a, b = next(self.of.encode([text]))
-        found = alignment(self.of, raw, a, b)
-        if found is None:
-            return None
-        one, exact, pairs = np.ones(1, np.int64), np.array(found.exact, np.int64), np.array(found.pairs, np.int64)
-        return (found.n_a, found.n_b, found.n_groups, found.text, *_summed([exact], one), *_summed([pairs], one))
-
+    def add(self, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.parts.append((pairs, times))
+        self.held += len(pairs)
 
-def _summed(parts, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of the parts, in order, and how often each occurs."""
-    values = np.concatenate(parts)
-    each = np.repeat(times, [len(p) for p in parts])
-    distinct, inverse = np.unique(values, return_inverse=True)
-    return distinct, np.bincount(inverse, weights=each, minlength=len(distinct)).astype(np.int64)
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        values, times = zip(*self.parts) if self.parts else ([np.zeros(0, np.int64)],) * 2
+        summed = _summed(np.concatenate(values), np.concatenate(times))
+        self.parts, self.held = [summed], len(summed[0])
+        return summed
 
 
-_loaded: dict[bytes, Aligner] = {}
+_loaded: dict[bytes, Vocabularies] = {}
 
 
-def _aligner(a: bytes, b: bytes) -> Aligner:
-    """The process's aligner for two files, kept between tasks."""
+def _vocabularies(a: bytes, b: bytes) -> Vocabularies:
+    """The process's tokenizers for two files, kept between tasks."""
     key = hashlib.sha256(a).digest() + hashlib.sha256(b).digest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Aligner(Vocabularies(a, b))
+        _loaded[key] = Vocabularies(a, b)
     return _loaded[key]
 
 
@@ -236,32 +236,39 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, groups: bool = False)
     shared = spark.broadcast((file_bytes(path_a), file_bytes(path_b)))  # the files' fixed size
 
     def make():
-        aligner = _aligner(*shared.value)
-        exact_totals = np.zeros(len(aligner.of.a_bytes), np.int64)  # a place per A id
-        pair_totals: Counter = Counter()
+        of = _vocabularies(*shared.value)
+        exact_totals = np.zeros(len(of.a_bytes), np.int64)  # a place per A id
+        pair_totals = PairTotals()
 
         def totals():
             ids = np.flatnonzero(exact_totals)
-            found = list(pair_totals.items())
-            row = (ids.tolist(), exact_totals[ids].tolist(), [p for p, _ in found], [n for _, n in found])
+            pairs, times = pair_totals.sums()
+            row = (ids.tolist(), exact_totals[ids].tolist(), pairs.tolist(), times.tolist())
             exact_totals[:] = 0
-            pair_totals.clear()
+            pair_totals.__init__()
             yield (True, None, None, None, None, None, None, *row, *[None] * groups)
 
         def each(doc_id, text):
-            found = aligner.text(text) if text else None
+            found = grouped(of, text) if text else None
             if found is None:
                 yield (False, doc_id, 0, 0, 0, 0, "", [], [], [], [], *[""] * groups)
                 return
-            n_a, n_b, n_groups, shown, exact, exact_n, pairs, pairs_n = found
+            exact, exact_n = _summed(np.concatenate([g.exact for g in found]))
+            pairs, pairs_n = _summed(np.concatenate([g.pairs for g in found]))
             exact_totals[exact] += exact_n
-            pairs, pairs_n = pairs.tolist(), pairs_n.tolist()
-            for pair, n in zip(pairs, pairs_n):
-                pair_totals[pair] += n
-            digest = hashlib.sha256(shown).hexdigest()
-            links = (exact.tolist(), exact_n.tolist(), pairs, pairs_n)
-            yield (False, doc_id, n_a, n_b, n_groups, n_groups, digest, *links, *[shown.decode()] * groups)
-            if len(pair_totals) >= PAIRS_HELD:
+            pair_totals.add(pairs, pairs_n)
+            digest, shown = hashlib.sha256(), []
+            for i, g in enumerate(found, 1):
+                part = g.text() if i < len(found) else g.text()[:-1]
+                digest.update(part)
+                if groups:
+                    shown.append(part)
+            n_groups = sum(g.n_groups for g in found)
+            counts = (sum(g.n_a for g in found), sum(g.n_b for g in found), n_groups, n_groups)
+            links = (exact.tolist(), exact_n.tolist(), pairs.tolist(), pairs_n.tolist())
+            strings = [b"".join(shown).decode()] * groups
+            yield (False, doc_id, *counts, digest.hexdigest(), *links, *strings)
+            if pair_totals.held >= 2 * PAIRS_HELD and len(pair_totals.sums()[0]) >= PAIRS_HELD:
                 yield from totals()
 
         each.end = totals

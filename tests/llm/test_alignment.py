@@ -79,7 +79,7 @@ def test_vectors_of_fixed_length(vocabularies):
     for a in named[:: len(named) // 500]:
         assert vocabularies.a_bytes[a] == vocabularies.b_bytes[vocabularies.identity[a]]
     # A byte that is a piece too is mapped to the piece.
-    a = vocabularies.a_bytes.index(b"A")
+    a = vocabularies.a_bytes.index(b"A")  # byte tokens come first
     assert vocabularies.b.id_to_piece(int(vocabularies.identity[a])) == "A"
 
 
@@ -92,44 +92,65 @@ def test_token_bytes_are_the_libraries(vocabularies):
     assert b"".join(vocabularies.b_bytes[i] for i in pieces.encode(text)).decode() == " " + text
 
 
+def shown(groups):
+    return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode()
+
+
+def in_blocks(of, text, size, monkeypatch):
+    """(tokens of A, of B, groups, string, exact links, pairs) of a text cut into blocks."""
+    monkeypatch.setattr(ta, "BLOCK_CHARS", size)
+    found = ta.grouped(of, text)
+    if found is None:
+        return None
+    exact = Counter((int(i), int(of.identity[i])) for g in found for i in g.exact)
+    pairs = Counter((int(p) >> 32, int(p) & 0xFFFFFFFF) for g in found for p in g.pairs)
+    counts = (sum(g.n_a for g in found), sum(g.n_b for g in found), sum(g.n_groups for g in found))
+    return *counts, b"".join(g.text() for g in found)[:-1], exact, pairs
+
+
+@pytest.mark.parametrize("size", [1, 5, 1 << 18])
 @pytest.mark.parametrize("text", ODD_TEXTS)
-def test_stretches_join_to_the_whole_text(vocabularies, text):
+def test_blocks_join_to_the_whole_text(vocabularies, monkeypatch, text, size):
     whole = plain_groups(vocabularies, text)
-    found = ta.Aligner(vocabularies).text(text)
+    found = in_blocks(vocabularies, text, size, monkeypatch)
     if whole is None:
         assert found is None
         return
     a, b, groups = whole
-    shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-    assert found[:4] == (len(a), len(b), len(groups), shown.encode())
-    links = Counter((x[-1], y[-1]) for x, y in groups)
-    exact = {(int(i), int(vocabularies.identity[i])): int(n) for i, n in zip(found[4], found[5])}
-    pairs = {(int(p) >> 32, int(p) & 0xFFFFFFFF): int(n) for p, n in zip(found[6], found[7])}
-    assert not exact.keys() & pairs.keys()
-    assert exact | pairs == links
+    assert found[:4] == (len(a), len(b), len(groups), shown(groups))
+    assert not found[4].keys() & found[5].keys()
+    assert found[4] + found[5] == Counter((x[-1], y[-1]) for x, y in groups)
 
 
-def test_stretches_of_random_texts(vocabularies):
+def test_blocks_of_random_texts(vocabularies, monkeypatch):
     rng = np.random.default_rng(5)
     signs = np.array(list("ab c  \n\t'é1.日▁-") + ["the ", " and", "  ", "'s"])
-    aligner = ta.Aligner(vocabularies)
-    for _ in range(400):
+    for i in range(400):
         text = "".join(rng.choice(signs, rng.integers(1, 30)))
-        whole, found = plain_groups(vocabularies, text), aligner.text(text)
+        whole, found = plain_groups(vocabularies, text), in_blocks(vocabularies, text, 1 + i % 7, monkeypatch)
         assert (whole is None) == (found is None), repr(text)
         if found:
-            shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in whole[2])
-            assert found[3] == shown.encode(), repr(text)
+            assert found[3] == shown(whole[2]), repr(text)
+
+
+@pytest.mark.parametrize("text", ["x" * 9000, " " * 9000, "\n" * 5000 + "a", "ab" * 3000 + " c " + "é" * 4000])
+def test_long_runs(vocabularies, monkeypatch, text):
+    whole = plain_groups(vocabularies, text)
+    assert in_blocks(vocabularies, text, 100, monkeypatch)[3] == shown(whole[2])
 
 
-def test_a_full_memory_changes_nothing(vocabularies, monkeypatch):
-    texts = [" ".join(f"w{i * j % 91}" for j in range(60)) for i in range(30)]
-    free = ta.Aligner(vocabularies)
-    expected = [[np.asarray(x).tolist() if not isinstance(x, bytes) else x for x in free.text(t)] for t in texts]
-    monkeypatch.setattr(ta, "CACHE_BYTES", 2000)
-    tight = ta.Aligner(vocabularies)
-    found = [[np.asarray(x).tolist() if not isinstance(x, bytes) else x for x in tight.text(t)] for t in texts]
-    assert found == expected
+def test_pair_totals_are_sums():
+    totals, expected = ta.PairTotals(), Counter()
+    rng = np.random.default_rng(3)
+    for i in range(50):
+        pairs, times = rng.integers(0, 40, 30), rng.integers(1, 5, 30)
+        totals.add(pairs, times)
+        for p, n in zip(pairs.tolist(), times.tolist()):
+            expected[p] += n
+        if i % 7 == 0:
+            totals.sums()
+    pairs, times = totals.sums()
+    assert dict(zip(pairs.tolist(), times.tolist())) == expected
 
 
 def test_query_equals_brute_force(spark, vocabularies):
@@ -155,6 +176,7 @@ def test_odd_texts_together(spark, vocabularies):
 
 def test_totals_may_leave_early(spark, vocabularies, monkeypatch):
     docs = spark.createDataFrame([(i, f"über {i} Größen, naïve {i * 7}") for i in range(50)], "doc_id bigint, text string")
+    monkeypatch.setattr(ta, "PAIRS_HELD", 3)
     rows = ta.alignments(docs, BYTE_BPE, PIECES, groups=True).collect()
     assert all(r["groups"] is None for r in rows if r["is_total"])
     shown = {r["doc_id"]: r["groups"] for r in rows if not r["is_total"]}
