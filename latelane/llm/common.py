@@ -118,14 +118,15 @@ def add_columns(
     schema: str,
     make: Callable[[], Callable[..., list[tuple]]],
     rows_each: int = 1024,
+    without: Sequence[str] = (),
 ) -> DataFrame:
-    """``df`` with the columns of ``schema``, in place of columns of these names.
+    """``df`` with the columns of ``schema``, in place of columns of these names and ``without``.
 
     ``make`` runs once per task. Its function gets a list per input column, of up to
     ``rows_each`` rows, and returns a tuple per row.
     """
     added = StructType.fromDDL(schema)
-    kept = cleared(df, added.names)
+    kept = cleared(df, [*added.names, *without])
     # The inputs are read before columns that clash are dropped.
     used = [F.col(c).alias(f"_input{i}") for i, c in enumerate(inputs)]
     rows = df.select(*used, *[F.col(f"`{c}`") for c in kept.columns])

@@ -72,3 +72,29 @@ def test_odd_rows_pass_through(spark, odd, tmp_path):
             assert docs.where("doc_id in (1, 2, 3) and start = 0").count() <= 1
         else:
             assert docs.count() == 0
+
+
+def test_near_copies_are_decided_by_row(spark):
+    """Rows that share an id, or have none, stay or go by their own group."""
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    other = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    rows = [
+        (1, f"{base} fifteen a"),
+        (2, f"{base} fifteen b"),  # goes: near 1
+        (2, f"{other} pi a"),  # stays: first of its group
+        (3, f"{other} pi b"),  # goes
+        (None, f"{other} pi c"),  # goes
+        (None, "a text of its own without an id that no other row of the table comes near to"),
+        (4, None), (4, ""), (None, " "),
+    ]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string").repartition(3)
+    kept = corpus_pipeline.nearly_once(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    stays = [rows[0], rows[2], *rows[5:]]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(stays, key=repr)
+
+
+def test_of_equal_rows_one_stays(spark):
+    text = "the very same text stands in three rows of the table under one id and under none"
+    docs = spark.createDataFrame([(7, text), (7, text), (None, text)], "doc_id bigint, text string")
+    assert [tuple(r) for r in corpus_pipeline.nearly_once(spark, docs, FOLDER).collect()] == [(7, text)]
