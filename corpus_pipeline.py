@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a language of the corpus; those without a letter and those that fit their
     language worse than nearly all known texts go."""
-    scored = language_id.predict(docs, language_id.fitted(docs))
+    scored = language_id.recognised(docs)
     kept = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= language_id.REJECT_BELOW)
     return scored.where(kept).select(*docs.columns)
 
@@ -54,11 +54,21 @@ def exactly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def nearly_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    found = jaccard_join.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.select(F.col("doc_id").alias("kept_id")).distinct(), "kept_documents")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One row of each group of near duplicates, that of the smallest doc_id.
+
+    Rows are told apart by their place in a written copy, so a repeated or null doc_id keeps
+    or drops each of its rows by that row's own group. Of equal ids in a group the first place
+    stays, a null id only where no other is in the group. Texts without words, which link with
+    nothing, stay.
+    """
+    columns = docs.columns
+    placed = written(docs.withColumn("_place", F.monotonically_increasing_id()), "placed")
+    found = jaccard_join.near_duplicates(placed.select(F.col("_place").alias("doc_id"), "text"))
+    ids = placed.select("_place", F.col("doc_id").alias("_id"))
+    rows = found.join(ids, found["doc_id"] == ids["_place"])
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_place"))["_place"].alias("_place")
+    kept = written(rows.groupBy("component_id").agg(first).select("_place"), "kept_places")
+    return placed.join(kept, "_place", "left_semi").select(columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
