@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from latelane.schemas import CSV_STEMS, TABLES, required_columns
 from latelane.sources.scratch import written
@@ -80,15 +83,73 @@ def _spans_lines(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, value) of every CSV record, with the line breaks inside its quotes.
+
+    Files are split between tasks at line breaks. A line begins inside quotes if an odd number
+    of quotes stands before it in its file: quotes are counted per split, prefix sums over a
+    file's splits give each one's starting state, running sums inside a split the state of
+    each line. Only lines of records with a line break are moved and joined; the others are
+    records already. ``line`` grows with the place in the file, inside a block.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        (quotes % 2).alias("odd"),
+        "value",
+    )
+    lines = written(lines, "csv_lines")
+    split = Window.partitionBy("file", "block").orderBy("line")
+    within = F.sum("odd").over(split.rowsBetween(Window.unboundedPreceding, 0))
+    # Per file as many rows as splits.
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "block").agg(F.sum("odd").alias("odds"))
+    starts = starts.select("file", "block", F.coalesce(F.sum("odds").over(ahead), F.lit(0)).alias("before"))
+    counted = lines.select("file", "block", "line", "odd").withColumn("within", within)
+    counted = counted.join(starts, ["file", "block"]).withColumn("upto", F.col("before") + F.col("within"))
+    # Odd lines open and close records in turn, so the n-th record has the counts 2n-1 and 2n.
+    torn = ((F.col("upto") - F.col("odd")) % 2 == 1) | (F.col("odd") == 1)
+    number = F.floor((F.col("upto") + 1) / 2).alias("number")
+    torn = written(counted.where(torn).select("line", number), "torn_lines")
+    parts = lines.join(torn, "line").groupBy("file", "number").agg(
+        F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts")  # of one record
+    )
+    joined = F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value")
+    first = F.col("parts")[0]
+    mended = parts.select("file", first["block"].alias("block"), first["line"].alias("line"), joined)
+    whole = lines.join(torn, "line", "left_anti").select("file", "block", "line", "value")
+    records = whole.unionByName(mended)
+    # What is left of a carriage return before the line break.
+    value = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    return records.withColumn("value", value)
+
+
+def _csv_by_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """As ``_csv_source``, from records that may span lines; the files have one header."""
+    records = written(csv_records(spark, path), "csv_records")
+    first = records.where("block = 0").groupBy("file").agg(F.min("line").alias("line"))
+    first = written(records.join(first, ["file", "line"]).select("line", "value"), "csv_headers")
+    headers = [r["value"] for r in first.select("value").distinct().limit(2).collect()]
+    if len(headers) != 1:
+        raise ValueError(f"the CSV files of {path} have different headers")
+    names = next(csv.reader(io.StringIO(headers[0].removeprefix("\ufeff"), newline="")))
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = records.join(first, "line", "left_anti").where(F.trim("value") != "")
+    cells = F.from_csv("value", schema.toDDL(), {"escape": '"', "mode": "PERMISSIVE"})
+    return rows.select(cells.alias("cells")).select("cells.*")
+
+
 def _csv_table(spark: SparkSession, path: str, multiline: bool | None) -> DataFrame:
     """Raw text columns of one CSV table.
 
-    A file with line breaks inside quotes cannot be split between tasks, so the content
-    decides whether it is read that way, unless the caller does.
+    The content decides whether records are put together from lines first, unless the caller
+    does: ``multiline=True`` reads each file in one task, as Spark's own mode does.
     """
-    if multiline is None:
-        multiline = _spans_lines(spark, path)
-    return _csv_source(spark, path, multiline)
+    if multiline is None and _spans_lines(spark, path):
+        return _csv_by_quotes(spark, path)
+    return _csv_source(spark, path, bool(multiline))
 
 
 def _typed(raw: DataFrame, table: str) -> DataFrame:
