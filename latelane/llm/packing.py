@@ -1,16 +1,17 @@
 """Packing token sequences by cutting-stock column generation.
 
 A document's ids (with an end id) are cut into blocks of the capacity and a rest. The
-histogram of rest lengths from ``EXACT`` on, in classes of ``WIDTH`` tokens, is the demand of
-a cutting-stock problem: a pattern says how many pieces of each class fill one sequence. The linear
-program over patterns starts from one-class patterns; a knapsack dynamic program over the
-classes' dual prices finds the next pattern until none improves. Patterns are used their
-rounded-down number of times, what remains is packed first-fit by decreasing length. Shorter
-pieces, by their exact lengths, fill the room that is left, then sequences of their own. The
-driver handles classes and patterns only, whose numbers the capacity bounds; pieces are
-ranked within their class and the rank says sequence and place.
-
-Ranks come from counts per class and hash bucket, so a length that a third of all pieces
+histogram of rest lengths, one class per length, is the demand of a cutting-stock problem: a
+pattern says how many pieces of each length fill one sequence. The linear program over
+patterns starts from the basis that first-fit by decreasing length gives when patterns may be
+used a fraction of times; a knapsack dynamic program over the lengths' dual prices finds the
+next patterns. Prices are smoothed towards those of the best lower bound, and the program
+ends within ``GAP`` of that bound, or when patterns improve it too little (``PATIENCE``). Patterns are used their
+rounded-down number of times, what remains is packed first-fit by decreasing length. The
+driver handles lengths and patterns only, whose numbers the capacity bounds; pieces are
+ranked within their length and the rank says sequence and place.
+
+Ranks come from counts per length and hash bucket, so a length that a third of all pieces
 share is ranked by many tasks.
 
 A null or empty text is the end id alone; a null doc_id is kept as it is; repeated rows are
@@ -32,9 +33,11 @@ from latelane.llm.common import file_bytes, map_rows, written
 
 CAPACITY = 2048
 END_ID = 1
-EXACT = 256  # tokens below which a piece's class is its length
-WIDTH = 8  # tokens per length class from there on
-ROUNDS = 4000  # patterns the linear program may try; it is feasible at every step
+GAP = 5e-4  # share of sequences by which the linear program may miss its lower bound
+ROUNDS = 400  # prices the linear program may try; it is feasible at every step
+PATIENCE = 50  # rounds in which it must save ``GAP`` of its sequences to go on
+OFFERS = 64  # patterns tried for each
+SMOOTHING = 0.7  # weight of the best bound's prices
 BUCKET_PIECES = 16_384
 LEAST_BUCKETS = 64
 LONG_TEXT, LONG_RUN = 20_000, 2_000
@@ -106,91 +109,150 @@ def cut_pieces(
     return map_rows(rows, schema + ", ids array<int>" * ids, make, size=lambda r: 4 * r[2] * ids)
 
 
-# The plan, on the driver: classes and patterns only
+# The plan, on the driver: lengths and patterns only
 
 
 @dataclass
 class Pattern:
-    """How often each class (in units or tokens) occurs in a sequence, and how many such."""
+    """How often each length occurs in a sequence, and how many such sequences."""
 
     counts: dict[int, int]
     times: int
 
 
-def _best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack: the pattern of the highest price that fits."""
+def _priced(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, list[np.ndarray]]:
+    """Unbounded knapsack: the highest price of a pattern, and for the lengths with the
+    dearest ones the best pattern that holds the length, dearest first."""
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
     paying = np.flatnonzero(prices > 1e-12)
     sizes_paying, prices_paying = sizes[paying], prices[paying]
+    fitting = np.searchsorted(sizes_paying, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        best[room], taken[room] = best[room - 1], -1
-        fits = np.searchsorted(sizes_paying, room, side="right")
-        if fits:
-            values = best[room - sizes_paying[:fits]] + prices_paying[:fits]
+        best[room] = best[room - 1]
+        if n := fitting[room]:
+            values = best[room - sizes_paying[:n]] + prices_paying[:n]
             k = int(values.argmax())
             if values[k] > best[room] + 1e-12:
                 best[room], taken[room] = values[k], k
-    counts, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if taken[room] < 0:
-            room -= 1
-        else:
-            counts[paying[taken[room]]] += 1
-            room -= sizes_paying[taken[room]]
-    return counts
+
+    def holding(first: int) -> np.ndarray:
+        counts = np.zeros(len(sizes))
+        counts[first] = 1
+        room = capacity - sizes[first]
+        while room > 0:
+            if taken[room] < 0:
+                room -= 1
+            else:
+                k = paying[taken[room]]
+                counts[k] += 1
+                room -= sizes[k]
+        return counts
+
+    dearest = np.argsort(-(prices_paying + best[capacity - sizes_paying]), kind="stable")
+    return best[-1], [holding(k) for k in paying[dearest[:OFFERS]]]
+
+
+def _fractional_first_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int):
+    """A basis of patterns and how often each is used.
+
+    Each pattern is used until one of its lengths runs out, which no later pattern holds, so
+    with lengths in that order the matrix is triangular.
+    """
+    left = demand.copy()
+    lengths = list(range(len(sizes)))[::-1]
+    columns, used = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    for i in range(len(sizes)):
+        room, held = capacity, []
+        for k in lengths:
+            if n := room // sizes[k]:
+                columns[k, i] = n
+                held.append(k)
+                room -= n * sizes[k]
+            if room < sizes[lengths[-1]]:
+                break
+        uses = left[held] / columns[held, i]
+        out = held[int(uses.argmin())]
+        used[i] = uses.min()
+        left[held] = np.maximum(left[held] - used[i] * columns[held, i], 0)
+        lengths.remove(out)
+    return columns, used
 
 
 def _linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int):
     """Columns (patterns) and how often each is used, fractions allowed."""
-    columns = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1 / np.diag(columns))
-    used = inverse @ demand
-    for _ in range(ROUNDS):
-        prices = inverse.sum(axis=0)
-        pattern = _best_pattern(sizes, prices, capacity)
-        if prices @ pattern <= 1 + 1e-7:
+    columns, used = _fractional_first_fit(sizes, demand, capacity)
+    centre = sizes / capacity  # no pattern costs more than 1: a bound from the room alone
+    bound = centre @ demand
+    if used.sum() <= bound * (1 + GAP):
+        return columns, used
+    inverse = np.linalg.inv(columns)
+    prices = inverse.sum(axis=0)
+    weight = SMOOTHING
+    for turn in range(ROUNDS):
+        if turn % PATIENCE == 0:
+            if turn and used.sum() > before * (1 - GAP):
+                break
+            before = used.sum()
+        smoothed = weight * centre + (1 - weight) * prices
+        dearest, patterns = _priced(sizes, smoothed, capacity)
+        if smoothed @ demand > bound * dearest:
+            bound, centre = smoothed @ demand / dearest, smoothed / dearest
+        entered = False
+        for pattern in patterns:
+            gain = prices @ pattern - 1
+            if gain <= 1e-9:
+                continue
+            held = np.flatnonzero(pattern)
+            direction = inverse[:, held] @ pattern[held]
+            rising = np.flatnonzero(direction > 1e-9)
+            if not len(rising):
+                continue
+            ratios = used[rising] / direction[rising]
+            leave = rising[int(ratios.argmin())]
+            step = used[leave] / direction[leave]
+            used -= step * direction
+            used[leave] = step
+            np.maximum(used, 0, out=used)
+            columns[:, leave] = pattern
+            inverse[leave] /= direction[leave]
+            prices = prices - gain * inverse[leave]
+            direction[leave] = 0
+            rows, cells = np.flatnonzero(direction), np.flatnonzero(inverse[leave])
+            inverse[np.ix_(rows, cells)] -= np.outer(direction[rows], inverse[leave, cells])
+            entered = True
+        if used.sum() <= bound * (1 + GAP) or not (entered or weight):
             break
-        direction = inverse @ pattern
-        ratios = np.full(len(used), np.inf)
-        rising = direction > 1e-9
-        ratios[rising] = used[rising] / direction[rising]
-        leave = int(ratios.argmin())
-        step = ratios[leave]
-        used -= step * direction
-        used[leave] = step
-        columns[:, leave] = pattern
-        inverse[leave] /= direction[leave]
-        others = np.arange(len(used)) != leave
-        inverse[others] -= np.outer(direction[others], inverse[leave])
-        np.maximum(used, 0, out=used)
+        weight = SMOOTHING if entered else 0.0
     return columns, used
 
 
 def plan_patterns(demand: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns that together hold exactly ``demand`` (class size in units to pieces)."""
+    """Patterns that together hold exactly ``demand`` (length to pieces)."""
     left = {s: n for s, n in sorted(demand.items()) if n}
     patterns = [Pattern({capacity: 1}, left.pop(capacity))] if capacity in left else []
     if left:
         sizes = np.array(list(left))
         columns, used = _linear_program(sizes, np.array(list(left.values()), float), capacity)
         for column, times in zip(columns.T.astype(int), np.floor(used + 1e-6).astype(int)):
-            counts = {int(s): int(n) for s, n in zip(sizes, column) if n}
+            held = np.flatnonzero(column)
+            counts = {int(s): int(n) for s, n in zip(sizes[held], column[held])}
             times = min([int(times), *(left[s] // n for s, n in counts.items())])
             if times:
                 patterns.append(Pattern(counts, times))
                 for s, n in counts.items():
                     left[s] -= n * times
-    # At most a few rounded-off uses of each pattern.
+    # Less than one rounded-off use of each pattern.
     return patterns + _first_fit(left, capacity)
 
 
 def _first_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
     """Patterns by decreasing length; uses up ``left``."""
     patterns = []
-    while any(left.values()):
+    lengths = sorted((s for s, n in left.items() if n), reverse=True)
+    while lengths:
         counts, room = {}, capacity
-        for s in sorted(left, reverse=True):
+        for s in lengths:
             if n := min(left[s], room // s):
                 counts[s] = n
                 room -= n * s
@@ -198,35 +260,12 @@ def _first_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
         patterns.append(Pattern(counts, times))
         for s, n in counts.items():
             left[s] -= n * times
+        lengths = [s for s in lengths if left[s]]
     return patterns
 
 
-def plan(demand: dict[int, int], capacity: int) -> list[Pattern]:
-    """Patterns that together hold exactly ``demand`` (class size in tokens to pieces)."""
-    long = {s // WIDTH: n for s, n in demand.items() if s >= EXACT}
-    left = {s: n for s, n in demand.items() if s < EXACT}
-    patterns = []
-    for pattern in plan_patterns(long, capacity // WIDTH):
-        held = {s * WIDTH: n for s, n in pattern.counts.items()}
-        times = pattern.times
-        while times:
-            # As many sequences as possible alike, each filled by decreasing length.
-            counts, room, alike = dict(held), capacity - sum(s * n for s, n in held.items()), times
-            for s in sorted(left, reverse=True):
-                if n := min(left[s], room // s):
-                    counts[s] = n
-                    room -= n * s
-                    alike = min(alike, left[s] // n)
-            patterns.append(Pattern(counts, alike))
-            for s, n in counts.items():
-                if s < EXACT:
-                    left[s] -= n * alike
-            times -= alike
-    return patterns + _first_fit(left, capacity)
-
-
 def slot_rows(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
-    """(class, first rank, last rank, first sequence, pieces per sequence, place) rows."""
+    """(length, first rank, last rank, first sequence, pieces per sequence, place) rows."""
     next_rank: dict[int, int] = {}
     rows, sequence = [], 0
     for pattern in patterns:
@@ -242,18 +281,18 @@ def slot_rows(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, in
 
 
 def _ranked(pieces: DataFrame, n_pieces: int) -> DataFrame:
-    """``rank`` from 0 within ``class`` in the order of hash bucket, doc_id, start."""
+    """``rank`` from 0 within ``length`` in the order of hash bucket, doc_id, start."""
     buckets = max(LEAST_BUCKETS, n_pieces // BUCKET_PIECES)
     spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets))
     pieces = pieces.withColumn("bucket", spread)
-    counted = pieces.groupBy("class", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counted = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(
         counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"),
-        "class_offsets",
+        "length_offsets",
     )
-    inside = Window.partitionBy("class", "bucket").orderBy("doc_id", "start")
-    return pieces.join(offsets, ["class", "bucket"]).withColumn(
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
+    return pieces.join(offsets, ["length", "bucket"]).withColumn(
         "rank", F.col("before") + F.row_number().over(inside) - 1
     )
 
@@ -263,13 +302,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ``pieces`` should be a written table: it is read for the histogram and for the ranks.
     """
-    reserved = F.when(F.col("length") < EXACT, F.col("length"))
-    sized = pieces.withColumn("class", reserved.otherwise(F.ceil(F.col("length") / WIDTH) * WIDTH))
-    demand = {r["class"]: r["count"] for r in sized.groupBy("class").count().collect()}  # <= capacity
-    slots = slot_rows(plan(demand, capacity))
-    schema = "class bigint, first bigint, last bigint, base bigint, per bigint, place bigint"
+    demand = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # <= capacity
+    slots = slot_rows(plan_patterns(demand, capacity))
+    schema = "length bigint, first bigint, last bigint, base bigint, per bigint, place bigint"
     slots = F.broadcast(pieces.sparkSession.createDataFrame(slots, schema))  # bounded by capacity
-    placed = _ranked(sized, sum(demand.values())).join(slots, "class").where("rank between first and last")
+    placed = _ranked(pieces, sum(demand.values())).join(slots, "length").where("rank between first and last")
     inside = F.col("rank") - F.col("first")
     placed = written(
         placed.withColumn("sequence_id", F.col("base") + F.floor(inside / F.col("per")))

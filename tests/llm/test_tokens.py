@@ -201,6 +201,33 @@ def test_packed_sequences_hold_the_ids(odd, tmp_path):
     assert sum(r["n_tokens"] for r in whole.collect()) == expected
 
 
+@pytest.mark.parametrize("length, each", [(341, 6), (409, 5), (682, 3), (256, 8), (1025, 1)])
+def test_a_hot_length_is_packed_exactly(length, each):
+    patterns = packing.plan_patterns({length: 9000}, 2048)
+    assert sum(p.times for p in patterns) == -(-9000 // each)
+
+
+def test_hot_lengths_among_others_are_packed_within_a_hundredth():
+    rng = random.Random(3)
+    for lengths in (
+        [rng.randrange(130, 255) for _ in range(9000)],
+        [682] * 3000 + [rng.randrange(1, 1400) for _ in range(6000)],
+        [1] * 3000 + [int(2048 * rng.random() ** 3) + 1 for _ in range(6000)],
+    ):
+        demand = {n: lengths.count(n) for n in set(lengths)}
+        patterns = packing.plan_patterns(demand, 2048)
+        assert sum(p.times for p in patterns) <= 1.01 * sum(lengths) / 2048 + 1
+
+
+def test_a_hot_length_of_documents_leaves_little_padding(spark):
+    text = " a" * 681  # 682 tokens with the end id
+    assert len(library_ids(text)) == 681
+    texts = {i: text for i in range(900)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = packing.packed_documents(docs, PATH).collect()
+    assert check_packing(rows, texts, packing.CAPACITY) > 0.99
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(0, 200), max_size=12))
 def test_patterns_hold_the_demand_exactly(demand):
