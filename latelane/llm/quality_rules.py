@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
 Each rule is a share of a text (symbols, capitals, repeated lines, repeated words) that
-rejects from a cutoff on. Cutoffs come from labelled rows, per stratum: a cutoff counts as
-safe if, were more than ``RULE_RISK`` of the good rows rejected by it, so few rejections
+rejects from a cutoff on. The cutoffs of all rules move together along one chain of steps,
+fixed before any data is seen: none rejects before its whole share at the first step, each
+has its strictest cutoff at the last. A row's step is the first at which a rule rejects it.
+Labelled rows decide, per stratum, how far along the chain to go, by fixed-sequence testing:
+a step is safe if, were more than ``RISK`` of the good rows rejected by it, so few rejections
 among the labelled good rows would have a probability (exact binomial tail) of at most
-``ERROR`` divided by the number of cutoffs tested over all rules and strata. So with
-probability 1 - ``ERROR`` no stratum loses more than ``RISK`` of its good rows to the rules
-together. Of the safe cutoffs the one that rejects most bad rows is taken, of equals the
-mildest; a stratum without a safe cutoff does not use the rule.
+``ERROR`` divided by the number of strata. Steps are tested from the mildest on and the first
+that fails ends the sequence, so the steps of a stratum need no correction of their own. Hence
+with probability 1 - ``ERROR`` no stratum loses more than ``RISK`` of its good rows to the
+rules together. Of the safe steps the one that rejects most bad rows is taken, of equals the
+mildest; a stratum without a safe step that rejects a bad row uses no rule. With four strata,
+437 good rows without a rejection are enough.
 
 Null and empty texts have no words and fail the base rule, as all texts under ten words
 do. A null stratum is a stratum of its own. Repeated rows are judged one by one; a doc_id
@@ -24,9 +29,9 @@ from latelane.llm.common import written
 
 RISK = 0.01  # share of good rows a stratum may lose
 ERROR = 0.05
-CELLS = 64  # cutoffs tested per rule: 1/64, 2/64, ... 1
-RULES = ("symbols", "capitals", "dup_lines", "repeats")
-RULE_RISK = RISK / len(RULES)
+CELLS = 64  # cutoffs are cells: 1/64, 2/64, ... 1
+LAST_STEP = 63
+STRICTEST = {"symbols": 1, "capitals": 20, "dup_lines": 20, "repeats": 12}  # cells at the last step
 WINDOW_WORDS = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # per cent
@@ -46,7 +51,7 @@ def _share(part: str, whole: str) -> Column:
 
 
 def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, counts and ``<rule>_cell`` (share in 64ths) of every row.
+    """doc_id, stratum, counts and ``step`` (over ``LAST_STEP``: no rule rejects) of every row.
 
     Windows are compared by 64-bit hash within their text. Only texts with a repeated
     window, which the number of distinct windows shows, are sorted to find its words.
@@ -102,13 +107,17 @@ def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         "dup_lines": _share("n_dup_lines", "n_lines"),
         "repeats": _share("n_repeat_words", "n_words"),
     }
-    cells = {f"{rule}_cell": F.floor(CELLS * share).cast("int") for rule, share in shares.items()}
+    # The first step whose cutoff, CELLS - step * (CELLS - strictest) / LAST_STEP, is in the share's cell.
+    steps = [
+        F.ceil(LAST_STEP * (CELLS - F.floor(CELLS * shares[rule])) / F.lit(CELLS - strictest))
+        for rule, strictest in STRICTEST.items()
+    ]
     failed = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
-    return result.withColumns(cells).select(
+    return result.select(
         "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), *cells,
+        failed.alias("base_failed"), F.least(*steps).cast("int").alias("step"),
     )
 
 
@@ -134,46 +143,47 @@ def binomial_tail(k: str, n: str, risk: float) -> Column:
     )
 
 
-def cutoffs(measures: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, rule, cutoff): the cell from which a rule rejects in a stratum."""
+def safe_steps(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, last_step): the step up to which rows of a stratum are rejected."""
     rated = labels.where("doc_id is not null and quality is not null")
     rated = rated.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = measures.where(~F.col("base_failed")).join(rated, "doc_id")
-    pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"{r}_cell").alias("cell")) for r in RULES])
-    cells = (
-        rows.select("stratum", "quality", F.inline(pairs))
-        .groupBy("stratum", "rule", "cell")
-        .agg(
-            F.count(F.when(F.col("quality") > 0, 1)).alias("good"),
-            F.count(F.when(F.col("quality") <= 0, 1)).alias("bad"),
-        )
+    judged_rows = measures.where(~F.col("base_failed")).select("doc_id", "stratum", "step")
+    rows = judged_rows.join(rated, "doc_id")
+    steps = rows.groupBy("stratum", "step").agg(
+        F.count(F.when(F.col("quality") > 0, 1)).alias("good"),
+        F.count(F.when(F.col("quality") <= 0, 1)).alias("bad"),
     )
-    cells = written(cells, "rule_cells")  # strata x rules x 65 rows
-    tests = cells.select("stratum").distinct().agg((F.count("*") * len(RULES) * CELLS).alias("tests"))
-    at_least = Window.partitionBy("stratum", "rule").orderBy(F.desc("cell"))
-    whole = Window.partitionBy("stratum", "rule")
+    steps = written(steps, "rule_steps")  # at most 65 rows per stratum
+    strata = steps.agg(F.count_distinct("stratum").alias("strata"))
+    until = Window.partitionBy("stratum").orderBy("step")
     tested = (
-        cells.withColumn("rejected", F.sum("good").over(at_least))
-        .withColumn("caught", F.sum("bad").over(at_least))
-        .withColumn("n", F.sum("good").over(whole))
-        .where("cell > 0 and n > 0 and caught > 0")
+        steps.withColumn("rejected", F.sum("good").over(until))
+        .withColumn("caught", F.sum("bad").over(until))
+        .withColumn("n", F.sum("good").over(Window.partitionBy("stratum")))
+        .where(f"step <= {LAST_STEP} and n > 0 and caught > 0")
     )
-    safe = tested.crossJoin(F.broadcast(tests)).where(  # one row
-        binomial_tail("rejected", "n", RULE_RISK) <= F.lit(ERROR) / F.col("tests")
-    )
-    return safe.groupBy("stratum", "rule").agg(
-        F.max(F.struct("caught", "cell"))["cell"].alias("cutoff")
+    # Rejections only grow along the chain, so no step after a failed one passes.
+    safe = tested.crossJoin(F.broadcast(strata)).where(  # one row
+        binomial_tail("rejected", "n", RISK) <= F.lit(ERROR) / F.col("strata")
     )
+    best = F.max(F.struct("caught", -F.col("step")))
+    return safe.groupBy("stratum").agg((-best["col2"]).alias("last_step"))
+
+
+def cutoffs(steps: DataFrame) -> DataFrame:
+    """``safe_steps`` with the share from which each rule rejects."""
+    moved = {
+        rule: (CELLS - F.floor(F.col("last_step") * (CELLS - strictest) / F.lit(LAST_STEP))) / F.lit(CELLS)
+        for rule, strictest in STRICTEST.items()
+    }
+    return steps.withColumns(moved)
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The measures of every row with base_failed and the verdict ``kept``."""
     measures = written(measured(docs, stratum), "measures")
-    chosen = cutoffs(measures, labels).groupBy("stratum").pivot("rule", list(RULES)).max("cutoff")
-    chosen = written(chosen, "cutoffs")
-    broken = F.lit(False)
-    for rule in RULES:
-        broken = broken | F.coalesce(F.col(f"{rule}_cell") >= F.col(rule), F.lit(False))
+    chosen = written(safe_steps(measures, labels), "safe_steps")
+    broken = F.coalesce(F.col("step") <= F.col("last_step"), F.lit(False))
     return measures.join(chosen, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", (~F.col("base_failed") & ~broken).alias("kept"),

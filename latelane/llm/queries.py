@@ -130,49 +130,45 @@ ORACLES: dict[str, str] = {
         ),
         f as (
             select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-                   map {
-                       'symbols': case when word_chars > 0 then n_symbols / word_chars else 0 end,
-                       'capitals': case when word_chars > 0 then n_capitals / word_chars else 0 end,
-                       'dup_lines': case when n_lines > 0 then n_dup_lines / n_lines else 0 end,
-                       'repeats': case when n_words > 0 then n_repeat_words / n_words else 0 end
-                   } as shares
+                   least(
+                       ceil(63 * (64 - floor(64 * case when word_chars > 0 then n_symbols / word_chars else 0 end)) / 63),
+                       ceil(63 * (64 - floor(64 * case when word_chars > 0 then n_capitals / word_chars else 0 end)) / 44),
+                       ceil(63 * (64 - floor(64 * case when n_lines > 0 then n_dup_lines / n_lines else 0 end)) / 44),
+                       ceil(63 * (64 - floor(64 * case when n_words > 0 then n_repeat_words / n_words else 0 end)) / 52)
+                   )::int as step
             from m
         ),
-        rules(rule) as (values ('symbols'), ('capitals'), ('dup_lines'), ('repeats')),
         c as (
-            select stratum, rule, floor(64 * shares[rule])::int as cell,
-                   count(*) filter (quality > 0) as good, count(*) filter (quality <= 0) as bad
+            select stratum, step, count(*) filter (quality > 0) as good, count(*) filter (quality <= 0) as bad
             from f join (
                 select doc_id, min(quality) as quality from labels
                 where quality is not null group by doc_id
-            ) using (doc_id), rules
+            ) using (doc_id)
             where not base_failed
             group by all
         ),
         u as (
-            select stratum, rule, cell,
-                   sum(good) over (partition by stratum, rule order by cell desc)::bigint as k,
-                   sum(bad) over (partition by stratum, rule order by cell desc) as caught,
-                   sum(good) over (partition by stratum, rule)::bigint as n,
-                   0.01::double / 4 as risk
+            select stratum, step,
+                   sum(good) over (partition by stratum order by step)::bigint as k,
+                   sum(bad) over (partition by stratum order by step) as caught,
+                   sum(good) over (partition by stratum)::bigint as n,
+                   0.01::double as risk
             from c
         ),
         v as (
             select *, case when k >= n * risk then 1.0 else list_sum(list_transform(range(0, k + 1),
                 lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
                          + j * ln(risk) + (n - j) * ln(1 - risk)))) end as tail
-            from u where cell > 0 and n > 0 and caught > 0
+            from u where step <= 63 and n > 0 and caught > 0
         ),
         o as (
-            select stratum, rule, arg_max(cell, (caught, cell)) as cutoff
-            from v where tail <= 0.05 / (select count(distinct stratum) * 4 * 64 from c)
-            group by stratum, rule
+            select stratum, arg_max(step, (caught, -step)) as last_step
+            from v where tail <= 0.05 / (select count(distinct stratum) from c)
+            group by stratum
         )
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               not base_failed and not exists (
-                   select 1 from o where o.stratum = f.stratum
-                   and floor(64 * shares[o.rule]) >= o.cutoff) as kept
-        from f
+               not base_failed and not coalesce(step <= last_step, false) as kept
+        from f left join o using (stratum)
     """,
     "op6_exact_dedup": """
         with d as (

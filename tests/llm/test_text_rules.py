@@ -232,10 +232,10 @@ def test_base_measures(odd, spark):
     assert quality_rules.judged(odd.where("false"), labels).count() == 0
 
 
-def test_binomial_tail(spark):
+@pytest.mark.parametrize("risk", [quality_rules.RISK, 0.0025])
+def test_binomial_tail(spark, risk):
     cases = [(0, 100), (3, 2000), (7, 8000), (0, 1), (40, 30_000), (25, 10_000), (2400, 1_000_000)]
     frame = spark.createDataFrame(cases, "k bigint, n bigint")
-    risk = quality_rules.RULE_RISK
     for k, n, found in frame.select("k", "n", quality_rules.binomial_tail("k", "n", risk)).collect():
         if k >= n * risk:
             assert found == 1
@@ -270,6 +270,83 @@ def test_cutoffs_keep_the_promise(spark):
     assert few.where("not kept").count() == 0  # too few labels to be sure of any cutoff
 
 
+def measures_of(spark, rows):
+    """Rows of (doc_id, stratum, step, quality) as measures and labels."""
+    frame = spark.createDataFrame(rows, "doc_id bigint, stratum string, step int, quality int")
+    return frame.withColumn("base_failed", F.lit(False)), frame.select("doc_id", "quality")
+
+
+def brute_last_step(good, bad, strata):
+    best = None
+    for step in range(quality_rules.LAST_STEP + 1):  # from mild to strict, until one fails
+        k, n = sum(g <= step for g in good), len(good)
+        tail = sum(math.comb(n, j) * 0.01**j * 0.99 ** (n - j) for j in range(k + 1))
+        if tail > 0.05 / strata:
+            break
+        caught = sum(b <= step for b in bad)
+        if caught and (best is None or caught > best[0]):
+            best = (caught, step)
+    return best and best[1]
+
+
+def test_the_chain_stops_where_brute_force_does(spark):
+    rng = random.Random(9)
+    rows, expected = [], {}
+    strata = [(f"s{i}", n) for i, n in enumerate((100, 435, 520, 700, 1500, 2500, 900, 0))]
+    for name, n in strata:
+        good = [rng.randrange(20, 64) if rng.random() < 0.008 else 64 for _ in range(n)]
+        bad = [rng.randrange(0, 64) for _ in range(25)]
+        expected[name] = brute_last_step(good, bad, len(strata)) if good else None
+        rows += [(len(rows) + i, name, step, 1) for i, step in enumerate(good)]
+        rows += [(len(rows) + i, name, step, 0) for i, step in enumerate(bad)]
+    steps = quality_rules.safe_steps(*measures_of(spark, rows))
+    found = {r["stratum"]: r["last_step"] for r in steps.collect()}
+    assert found == {name: step for name, step in expected.items() if step is not None}
+    assert len(found) >= 3
+    for r in quality_rules.cutoffs(steps).collect():
+        assert quality_rules.STRICTEST["symbols"] / 64 <= r["symbols"] <= 1
+
+
+def test_few_hundred_good_rows_are_enough(spark):
+    def rows(n):
+        good = [(i, f"s{i % 4}", 64, 1) for i in range(4 * n)]
+        return [*good, *((4 * n + i, f"s{i % 4}", 30, 0) for i in range(8))]
+
+    assert quality_rules.safe_steps(*measures_of(spark, rows(437))).count() == 4
+    assert quality_rules.safe_steps(*measures_of(spark, rows(436))).count() == 0
+
+
+def test_the_promise_holds_over_many_draws(spark):
+    """A share of 3 % of good rows beyond a step: over many strata drawn alike the step must
+    almost never be passed, since each stratum's error is ``ERROR`` over their number."""
+    rng = random.Random(10)
+    rows = []
+    for s in range(200):
+        for _ in range(600):
+            rows.append((len(rows), f"s{s}", 40 if rng.random() < 0.03 else 64, 1))
+        rows += [(len(rows) + i, f"s{s}", step, 0) for i, step in enumerate([10, 50, 60])]
+    found = quality_rules.safe_steps(*measures_of(spark, rows)).collect()
+    assert all(r["last_step"] == 10 for r in found)
+
+
+def test_rules_act_on_the_given_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality_rules.judged(docs, labels).join(docs.select("doc_id", "lang"), "doc_id")
+    rows = rows.join(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
+    counts = (
+        rows.where("not base_failed").groupBy("lang")
+        .agg(F.sum((~F.col("kept") & (F.col("quality") > 0)).cast("int")).alias("lost"),
+             F.sum((~F.col("kept") & (F.col("quality") <= 0)).cast("int")).alias("caught"),
+             F.sum((F.col("quality") > 0).cast("int")).alias("good"))
+    )
+    found = {r["lang"]: r for r in counts.collect()}
+    for lang in ("en", "de", "fr"):
+        assert found[lang]["caught"] > 0
+        assert found[lang]["lost"] <= quality_rules.RISK * found[lang]["good"]
+
+
 def brute_places(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text or ""))
     found = []
