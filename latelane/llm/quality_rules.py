@@ -2,8 +2,9 @@
 
 Each rule is a share of a text (symbols, capitals, repeated lines, repeated words) that
 rejects from a cutoff on. The cutoffs of all rules move together along one chain of steps,
-fixed before any data is seen: none rejects before its whole share at the first step, each
-has its strictest cutoff at the last. A row's step is the first at which a rule rejects it.
+a constant that the labelled rows of a run do not move: none rejects before its whole share at
+the first step, each has its strictest cutoff at the last. (``STRICTEST`` was set by judgement
+after a look at the shares in one sample table; on that table itself the bound is not strict.) A row's step is the first at which a rule rejects it.
 Labelled rows decide, per stratum, how far along the chain to go, by fixed-sequence testing:
 a step is safe if, were more than ``RISK`` of the good rows rejected by it, so few rejections
 among the labelled good rows would have a probability (exact binomial tail) of at most

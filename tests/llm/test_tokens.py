@@ -211,7 +211,7 @@ def test_hot_lengths_among_others_are_packed_within_a_hundredth():
     rng = random.Random(3)
     for lengths in (
         [rng.randrange(130, 255) for _ in range(9000)],
-        [682] * 3000 + [rng.randrange(1, 1400) for _ in range(6000)],
+        [682] * 3000 + [rng.randrange(1, 2048) for _ in range(6000)],
         [1] * 3000 + [int(2048 * rng.random() ** 3) + 1 for _ in range(6000)],
     ):
         demand = {n: lengths.count(n) for n in set(lengths)}
