@@ -1,11 +1,13 @@
 """Archives: round trip, format and revisits against brute force."""
 
 import gzip
+import hashlib
 import io
 from collections import defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from latelane.llm import warc
 
@@ -34,8 +36,6 @@ def pages(spark):
 
 
 def expected(rows):
-    import hashlib
-
     least = defaultdict(list)
     for page_id, _, html in rows:
         if page_id is not None:
@@ -69,11 +69,58 @@ def test_payloads_come_back_and_copies_are_stored_once(pages, tmp_path):
         if r["record_type"] == "revisit":
             assert r["html"] == "" and r["payload_bytes"] == 0
     assert {r["url"] for r in stored} == {u.replace("\r\n", "%0D%0A") if u else None for _, u, _ in ODD}
-    for file in Path(path).glob("*.gz"):
+    for file in Path(path).glob("part-*"):
         data = gzip.decompress(file.read_bytes())
         assert not data or data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n")
 
 
+def test_a_record_is_read_at_its_offset(pages, tmp_path):
+    spark = pages.sparkSession
+    path = warc.write_archives(pages, str(tmp_path / "archives"))
+    index = warc.archive_index(spark, path).collect()
+    assert len(index) == len(ODD)
+    of_page = {(p, hashlib.sha256((h or "").encode()).hexdigest()): h or "" for p, _, h in ODD}
+    urls = {p: u for p, u, _ in ODD}
+    for r in index:
+        with open(r["file"].removeprefix("file:"), "rb") as file:
+            file.seek(r["offset"])
+            record = gzip.decompress(file.read(r["length"]))
+        (row,) = warc.parse_records(io.BytesIO(record), payload=True)
+        assert (row[0], row[1], row[3]) == (r["record_id"], r["page_id"], r["record_type"])
+        html = of_page[r["page_id"], r["payload_digest"]]
+        if r["record_type"] == "response":
+            assert row[7] == html
+        else:
+            first = min(p for p, _, h in ODD if h == html and p is not None)
+            named = f"WARC-Refers-To-Target-URI: {urls[first]}\r\n".encode()
+            assert row[5] == 0 and named in record and b"WARC-Refers-To-Date: 20" in record
+
+
+def test_rows_that_fill_archives_by_one_key_are_dealt_to_several(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 50_000)
+    rows = [(None, None, None)] * 600 + [(7, "http://a/7", "w" * 200)] * 300 + [(None, "u", "w" * 200)] * 300
+    rows += [(n, "http://b", f"page {n} " * 40) for n in range(100, 400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    path = warc.write_archives(pages, str(tmp_path / "archives"))
+    assert sorted(map(str, warc.full_records(warc.read_archives(spark, path)).toLocalIterator())) == sorted(
+        map(str, spark.createDataFrame(expected(rows), warc.archived(pages).schema).toLocalIterator())
+    )
+    sizes = [r["n"] for r in warc.archive_index(spark, path).groupBy("file").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 200
+
+
+def test_members_end_with_zero_at_every_size():
+    for size in (0, 1, 100, 1 << 16, (1 << 24) - 1, 1 << 24, (1 << 24) + 5):
+        packed = warc.member(bytes(size))
+        assert packed[-1] == 0 and len(gzip.decompress(packed)) == size
+    three = warc.member(b"a" * 9) + warc.member(bytes(1 << 24)) + warc.member(b"b")
+    found = list(warc.members(three))
+    assert [len(r) for _, _, r in found] == [9, 1 << 24, 1]
+    assert all(gzip.decompress(three[o : o + n]) == r for o, n, r in found)
+    with pytest.raises(ValueError):
+        list(warc.members(three[:-3]))
+
+
 def test_torn_archives_are_noticed():
     head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <u:1>\r\nContent-Length: 30\r\n\r\n"
     block = b"HTTP/1.1 200 OK\r\n\r\n" + b"0123456789a"
