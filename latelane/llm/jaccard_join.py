@@ -28,11 +28,13 @@ doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from latelane.llm.common import lower_ascii, map_rows, with_package, written
@@ -96,6 +98,9 @@ def _class_scan(docs: DataFrame, seed: int, ranges: int) -> DataFrame:
         held: list[tuple[int, np.ndarray]] = []
         seen: set[int] = set()
         size = 0
+        # Document rows only pass through the grouped step: they are dealt to it in turn, so
+        # that copies of a text do not meet there.
+        turn = itertools.count(TaskContext.get().partitionId())
 
         def sliced() -> Iterator[tuple]:
             nonlocal size
@@ -132,7 +137,7 @@ def _class_scan(docs: DataFrame, seed: int, ranges: int) -> DataFrame:
             tokens = shingles(text, seed)
             hi, lo = set_digest(tokens)
             counted = _counted(tokens)
-            yield hi % ranges, 0, doc_id, len(tokens), len(counted), hi, lo, 0, None, None
+            yield next(turn) % ranges, 0, doc_id, len(tokens), len(counted), hi, lo, 0, None, None
             if hi not in seen:
                 seen.add(hi)
                 held.append((hi, counted))
@@ -417,25 +422,20 @@ def _tiles(members: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def _tile_links(tiles: DataFrame) -> DataFrame:
-    """Pairs (a, b) of components that a link between two of their sets joins."""
-    spark = tiles.sparkSession
-    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Pairs (a, b) of components that a link between two of their sets joins.
+
+    A tile is a group of its own: two blocks are in memory at a time, however many there are.
+    """
 
     def scanned(table: pa.Table) -> pa.Table:
-        links: list[tuple[int, int]] = []
-        order = np.lexsort((np.asarray(table.column("hi")), np.asarray(table.column("tile"))))
-        table = table.take(pa.array(order)).combine_chunks()
-        tile, block, hi, of, n = (np.asarray(table.column(c)) for c in ("tile", "block", "hi", "of", "n"))
+        table = table.sort_by("hi").combine_chunks()
+        block, of, n = (np.asarray(table.column(c)) for c in ("block", "of", "n"))
         lists = table.column("shared").combine_chunks()
-        offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
-        starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else []
-        for a, b in zip(starts, np.r_[starts[1:], len(tile)].astype(int)):
-            found = _scan_lists(values, offsets[a : b + 1], block[a:b], of[a:b], n[a:b])
-            links += [(int(of[a + i]), int(of[a + j])) for i, j in found]
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    spread = tiles.withColumn("task", F.pmod(F.xxhash64("tile"), F.lit(tasks)))
-    return with_package(spread).groupBy("task").applyInArrow(scanned, "a bigint, b bigint")
+        found = _scan_lists(np.asarray(lists.values), np.asarray(lists.offsets), block, of, n)
+        links = np.array([(of[i], of[j]) for i, j in found], np.int64).reshape(-1, 2)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+
+    return with_package(tiles).groupBy("tile").applyInArrow(scanned, "a bigint, b bigint")
 
 
 def _scan_lists(values, offsets, block, of, n) -> list[tuple[int, int]]:
