@@ -178,6 +178,63 @@ def test_fit_does_not_depend_on_the_order_of_texts():
     assert np.allclose(one[0], two[0]) and np.allclose(one[1], two[1])
 
 
+def brute_features(text):
+    words = (text or "").split()
+    letters = {w: re.sub(r"[\W\d_]", "", w) for w in words}
+    found = {"word " + x.lower() for x in letters.values()} | {"stem " + x[:5].lower() for x in letters.values()}
+    n, d, length = max(1, len(words)), max(1, len(letters)), len(words).bit_length()
+    capitals = sum(len(x) > 1 and x.isupper() for x in letters.values())
+    symbols = sum(any(c in "#*$%&|<>@{}[]=~^\\" for c in w) for w in letters)
+    repeats = sum(words[i] == words[i + 1] for i in range(len(words) - 1))
+    found |= {f"class length {length}", f"class capitals {10 * capitals // d}", f"class symbols {10 * symbols // d}"}
+    found |= {f"class repeats {20 * repeats // n}", f"class distinct {10 * len(letters) // n} of {min(length, 12)}"}
+    return {quality_classifier.bucket(x) for x in found}
+
+
+def likelihoods(score, cuts):
+    """P(grade = 0), P(grade = 1), ... from the cumulative logits, one by one."""
+    below = [0.0, *(1 / (1 + math.exp(score - c)) for c in cuts), 1.0]
+    return [b - a for a, b in zip(below, below[1:])]
+
+
+def test_query_equals_grade_probabilities_worked_out_row_by_row(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.train(docs, labels)
+    assert np.count_nonzero(model.weights) > 10
+    found = {r["doc_id"]: r for r in quality_classifier.classified(docs, labels).collect()}
+    assert len(found) == docs.count()
+    for row in docs.select("doc_id", "text").collect():
+        score = sum(model.weights[b] for b in brute_features(row["text"]))
+        p = likelihoods(score, model.thresholds)
+        result = found[row["doc_id"]]
+        assert result["expected_grade"] == pytest.approx(sum(k * x for k, x in enumerate(p)), abs=1e-9)
+        assert result["tail_prob"] == pytest.approx(p[-1], abs=1e-9)
+        assert result["kept"] == (p[-1] >= model.cutoff) or abs(p[-1] - model.cutoff) < 1e-9
+
+
+def test_fit_is_a_minimum_of_the_loss_summed_text_by_text():
+    rng = np.random.default_rng(3)
+    grades = rng.integers(0, 3, 400)
+    lists = [np.unique(np.r_[rng.integers(20, 23, 1), g if rng.random() < 0.7 else rng.integers(0, 3)]) for g in grades]
+    sizes = np.bincount(grades)
+
+    def loss(weights, cuts):
+        total = sum(
+            -math.log(max(likelihoods(weights[x].sum(), cuts)[g], 1e-9)) / (3 * sizes[g]) for x, g in zip(lists, grades)
+        )
+        gap = math.log(cuts[1] - cuts[0])
+        return total + quality_classifier.DECAY / 2 * (weights**2).sum() + 5e-5 * ((cuts[0] + 1) ** 2 + gap**2)
+
+    weights, cuts = quality_classifier.fit(np.concatenate(lists), np.array([len(x) for x in lists]), grades)
+    best, used = loss(weights, cuts), np.flatnonzero(weights)
+    assert best < 0.8 * loss(np.zeros_like(weights), np.array([-1.0, 0.0])) and set(used) >= {0, 1, 2}
+    for _ in range(60):
+        moved = weights.copy()
+        moved[used] += rng.normal(0, 0.2, len(used))
+        assert loss(moved, cuts + rng.normal(0, 0.1, 2)) > best - 1e-4
+
+
 def test_classifier_on_odd_rows(odd, nothing):
     labels = odd.sparkSession.createDataFrame(
         [(1, 1, 0), (2, 0, 0), (9, None, 1), (None, 1, 0), (1, 1, 0), (77, 1, 0)],
