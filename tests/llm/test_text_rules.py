@@ -235,6 +235,42 @@ def test_fit_is_a_minimum_of_the_loss_summed_text_by_text():
         assert loss(moved, cuts + rng.normal(0, 0.1, 2)) > best - 1e-4
 
 
+def test_every_labelled_row_takes_part_in_the_fit(spark, monkeypatch):
+    rng = random.Random(6)
+    ids = spark.range(16_500).select(F.col("id").alias("doc_id"))
+    ids = ids.where(quality_classifier._fold() != 0).orderBy(F.xxhash64("doc_id"))
+    ids = [r["doc_id"] for r in ids.collect()]
+    words = ("nasty", "sloppy", "sound")
+    rows = []
+    for place, i in enumerate(ids):
+        grade = place % 3
+        own = rng.choice(words) if rng.random() < 0.2 else words[grade]
+        late = " latecomer" if place >= 12_000 and grade == 0 else ""  # past 4,000 of each grade
+        rows.append((i, f"some {own} text{late}", int(grade > 1), int(grade == 0)))
+    data = spark.createDataFrame(rows, "doc_id bigint, text string, quality int, toxic int").repartition(4)
+    docs, labels = data.select("doc_id", "text"), data.drop("text")
+    model = quality_classifier.train(docs, labels)
+    assert model.weights[quality_classifier.bucket("word latecomer")] < -0.1
+
+    features = quality_classifier.Features()
+    lists = [features.of(text) for _, text, _, _ in rows]
+    grades = np.array([0 if toxic else 1 + quality for _, _, quality, toxic in rows])
+    weights, cuts = quality_classifier.fit(np.concatenate(lists), np.array([len(x) for x in lists]), grades)
+    assert np.allclose(model.weights, weights, atol=1e-6) and np.allclose(model.thresholds, cuts, atol=1e-6)
+    monkeypatch.setattr(quality_classifier, "RATINGS_EACH", 5000)
+    assert np.allclose(quality_classifier.train(docs, labels).weights, weights, atol=1e-6)
+
+
+def test_cutoff_is_the_quantile_of_all_held_out_good_rows(spark):
+    rng = np.random.default_rng(7)
+    model = quality_classifier.Model(np.linspace(-3, 3, quality_classifier.BUCKETS), np.array([-1.0, 0.5]), 0.0)
+    lists = [sorted({int(x) for x in rng.integers(0, quality_classifier.BUCKETS, 3)}) for _ in range(6000)]
+    good = spark.createDataFrame([(x,) for x in lists], "features array<int>")
+    low, n = quality_classifier._good_limit(good, model)
+    tails = [float(model.above(np.array(x))[-1]) for x in lists]
+    assert n == 6000 and low == float(np.quantile(tails, quality_classifier.GOOD_LOST, method="lower"))
+
+
 def test_classifier_on_odd_rows(odd, nothing):
     labels = odd.sparkSession.createDataFrame(
         [(1, 1, 0), (2, 0, 0), (9, None, 1), (None, 1, 0), (1, 1, 0), (77, 1, 0)],
