@@ -249,3 +249,24 @@ def test_histogram_edges(spark):
 def test_review_histogram_floors_half_points(spark):
     df = spark.createDataFrame([(4.5,), (4.0,), (5.0,), (None,)], "review_score double")
     assert [tuple(r) for r in metrics.review_score_histogram(df).collect()] == [(4, 2), (5, 1)]
+
+
+def test_items_and_payments_of_ordinary_orders_move_once(spark):
+    items = spark.range(3000).selectExpr(
+        "id % 700 as order_id", "id as order_item_id", "id % 13 as seller_id", "id * 1.0D as price",
+        "1.0D as freight_value", "1.0D as product_weight_g", "1.0D as product_length_cm",
+        "1.0D as product_height_cm", "1.0D as product_width_cm",
+        "concat('c', id % 5) as product_category_name_english",
+    )
+    payments = items.selectExpr(
+        "order_id", "price as payment_value", "1 as payment_installments",
+        "product_category_name_english as payment_type",
+    )
+    for grouped, rows in ((enrich.items_per_order, items), (enrich.payments_per_order, payments)):
+        once = grouped(rows)
+        plan = once._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(order_id") == plan.count("Exchange hashpartitioning") == 1
+        same = sorted(once.collect())
+        assert len(same) == 700
+        for huge in (0, 4, 60):  # all, some and no buckets are combined first
+            assert sorted(grouped(rows, huge=huge).collect()) == same
