@@ -204,3 +204,35 @@ def test_drift_check_of_any_batch(trained, delivered):
     assert row["baseline_late_rate"] == pytest.approx(baseline)
     assert row["tier"] == "retrain" and row["orders"] == delivered.where("is_late").count()
     assert drift.sampled_drift_check(trained.model, delivered).first()["orders"] == 80
+
+
+def test_fitting_rows_are_drawn_and_dealt_once(spark, delivered, monkeypatch):
+    """Once counted, once dealt: no stage of the fit goes back to the whole training part."""
+    passed, deal = spark.sparkContext.accumulator(0), delay_model.fitting_rows
+
+    @F.udf("boolean")
+    def seen(order_id):
+        passed.add(1)
+        return True
+
+    def counted(training, *args):
+        return deal(training.where(seen("order_id")), *args)
+
+    monkeypatch.setattr(delay_model, "fitting_rows", counted)
+    trained = delay_model.train(delivered, trees=2, max_depth=2)
+    n = delivered.count() - trained.test_scores.count()
+    assert 0 < passed.value <= 2 * n
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_sample_makes_its_hash_once_a_row(spark, delivered, monkeypatch):
+    plans, write = [], split.written
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(split, "written", kept)
+    assert split.fixed_sample(delivered, 5).columns == delivered.columns
+    [first] = [line for line in plans[0].splitlines() if "TakeOrderedAndProject" in line]
+    assert "md5(" not in first
