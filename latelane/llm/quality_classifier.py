@@ -51,8 +51,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[#*$%&|<>@{}\[\]=~^\\]")
 
 
+_digest = xxhash.xxh3_64_intdigest
+
+
 def bucket(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode()) % BUCKETS
+    return _digest(feature.encode()) % BUCKETS
 
 
 class Features:
@@ -63,22 +66,31 @@ class Features:
         self.table = np.zeros((4096, 4), np.int64)  # buckets, in capitals, with a symbol
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.places]
+        new = words.difference(self.places)
+        if not new:
+            return
         if len(self.places) + len(new) > CACHE_WORDS:
             self.places.clear()
-            new = list(words)
+            new = words
         start = len(self.places)
-        while len(self.table) < start + len(new):
+        end = start + len(new)
+        while len(self.table) < end:
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for i, word in enumerate(new, start):
-            letters = "".join(_LETTERS.findall(word))
-            self.table[i] = (
-                bucket("word " + letters.lower()),
-                bucket("stem " + letters[:STEM].lower()),
-                len(letters) > 1 and letters.isupper(),
-                _SYMBOL.search(word) is not None,
-            )
-            self.places[word] = i
+        hashes, capitals, symbols = [], [], []
+        for word in new:
+            plain = word.isalpha()
+            letters = word if plain else "".join(_LETTERS.findall(word))
+            lower = letters.lower()
+            # Of other scripts a letter may become two, or another at the end of a word.
+            stem = lower[:STEM] if letters.isascii() else letters[:STEM].lower()
+            hashes.append(_digest(("word " + lower).encode()))
+            hashes.append(_digest(("stem " + stem).encode()))
+            capitals.append(len(letters) > 1 and letters.isupper())
+            symbols.append(not plain and _SYMBOL.search(word) is not None)
+        self.table[start:end, :2] = np.array(hashes, np.uint64).reshape(-1, 2) % np.uint64(BUCKETS)
+        self.table[start:end, 2] = capitals
+        self.table[start:end, 3] = symbols
+        self.places.update(zip(new, range(start, end)))
 
     def of(self, text: str | None) -> np.ndarray:
         """The buckets of a text's words, their beginnings, and its classes, each once."""
@@ -96,8 +108,9 @@ class Features:
             f"repeats {20 * repeats // n}",
             f"distinct {10 * len(distinct) // n} of {min(length, 12)}",
         )
-        buckets = np.r_[rows[:, 0], rows[:, 1], [bucket("class " + c) for c in classes]]
-        return np.unique(buckets).astype(np.int32)
+        buckets = np.concatenate([rows[:, 0], rows[:, 1], [bucket("class " + c) for c in classes]])
+        buckets = np.sort(buckets.astype(np.int32))
+        return buckets[np.r_[True, buckets[1:] != buckets[:-1]]]
 
 
 @dataclass
@@ -288,6 +301,21 @@ def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def _weighted_buckets(rated: DataFrame, sizes: np.ndarray) -> np.ndarray:
+    """As ``_columns``, where the rows lie: the driver gets the buckets only, as Arrow."""
+    texts = [F.count_if(F.col("grade") == k).alias(f"_{k}") for k in range(GRADES)]
+    counted = rated.select("grade", F.explode("features").alias("bucket")).groupBy("bucket").agg(*texts)
+    total = sum((F.col(f"_{k}") for k in range(1, GRADES)), F.col("_0"))
+    parts = []
+    for k, share in enumerate((sizes / sizes.sum()).tolist()):
+        expected = total * F.lit(share)
+        off = F.col(f"_{k}") - expected
+        parts.append(off * off / F.greatest(expected, F.lit(1e-9)))
+    chi2 = sum(parts[1:], parts[0])
+    found = counted.where(chi2 >= LEAST_CHI2).select("bucket").toArrow()  # <= BUCKETS rows
+    return np.sort(found.column("bucket").to_numpy()).astype(np.int64)
+
+
 def _fitted(rated: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """As ``fit``, over the rows of ``rated`` (grade, features) where they lie."""
     context = rated.sparkSession.sparkContext
@@ -296,11 +324,7 @@ def _fitted(rated: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
         sizes[row["grade"]] = row["count"]
     if not sizes.sum():
         return None
-    counted = rated.select("grade", F.explode("features").alias("bucket")).groupBy("grade", "bucket").count()
-    counted = counted.toPandas()  # <= GRADES x BUCKETS rows
-    texts = np.zeros((GRADES, BUCKETS), np.int64)
-    texts[counted["grade"], counted["bucket"]] = counted["count"]
-    present, each = _columns(texts, sizes), _grade_weights(sizes)
+    present, each = _weighted_buckets(rated, sizes), _grade_weights(sizes)
     width, shared = len(present), context.broadcast(present)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

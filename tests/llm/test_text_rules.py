@@ -261,6 +261,35 @@ def test_every_labelled_row_takes_part_in_the_fit(spark, monkeypatch):
     assert np.allclose(quality_classifier.train(docs, labels).weights, weights, atol=1e-6)
 
 
+def test_buckets_with_a_weight_reach_the_driver_as_arrow(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    grades = rng.integers(0, 3, 3000)
+    lists = [np.unique(np.r_[rng.integers(0, 40, 6), 100 + g * rng.integers(0, 2)]) for g in grades]
+    sizes = np.bincount(grades, minlength=3)
+    texts = np.zeros((3, quality_classifier.BUCKETS), np.int64)
+    for g, x in zip(grades, lists):
+        texts[g, x] += 1
+    wanted = quality_classifier._columns(texts, sizes)
+    assert 0 < len(wanted) < 43
+    rows = [(int(g), x.tolist()) for g, x in zip(grades, lists)]
+    rated = spark.createDataFrame(rows, "grade int, features array<int>")
+
+    def refused(self):
+        raise AssertionError("counts of all buckets and grades on the driver")
+
+    monkeypatch.setattr(type(rated), "toPandas", refused)
+    assert quality_classifier._weighted_buckets(rated, sizes).tolist() == wanted.tolist()
+    weights, cuts = quality_classifier._fitted(rated)
+    assert set(np.flatnonzero(weights)) <= set(wanted)
+
+
+def test_words_of_any_script_get_their_letters_buckets():
+    words = ["İstanbul", "ΟΔΟΣ", "ΣΟΦΟΣΑΣ", "naïve", "x²y", "a_b", "٣abc", "日本語", "C++", "$5", "USA", "e\u0301te\u0301"]
+    found = quality_classifier.Features().of(" ".join(words))
+    assert set(found.tolist()) == brute_features(" ".join(words)) and found.dtype == np.int32
+    assert (np.diff(found) > 0).all()
+
+
 def test_cutoff_is_the_quantile_of_all_held_out_good_rows(spark):
     rng = np.random.default_rng(7)
     model = quality_classifier.Model(np.linspace(-3, 3, quality_classifier.BUCKETS), np.array([-1.0, 0.5]), 0.0)
