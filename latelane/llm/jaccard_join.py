@@ -66,7 +66,8 @@ def shingles(text: str | None, seed: int = 0) -> np.ndarray:
     for k in range(WORDS_PER_SHINGLE):
         h = (h ^ hashed[k : k + n]) * _MIX[k]
         h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()  # and a mask: for these faster than np.unique
+    return h[np.r_[True, h[1:] != h[:-1]]]
 
 
 def set_digest(tokens: np.ndarray) -> tuple[int, int]:
