@@ -48,6 +48,16 @@ def test_split_is_exact_and_loses_nothing(spark):
     assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, again.collect()))
 
 
+def test_split_of_rows_with_their_hashes(spark):
+    df = written(labelled(spark), "labelled")
+    rows = split.stratified_split(written(split.with_hashes(df), "hashed"), "label")
+    plain = split.stratified_split(df, "label")
+    assert rows.columns == plain.columns
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, plain.collect()))
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (rows, plain)]
+    assert ["conv(" in p for p in plans] == [False, True]  # made once, with the rows
+
+
 def test_rows_without_a_label_are_kept_out_of_the_test_part(spark):
     df = labelled(spark).withColumn("label", F.expr("case when order_id % 7 <> 1 then label end"))
     rows = split.stratified_split(written(df, "partly_labelled"), "label").collect()

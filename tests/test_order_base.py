@@ -115,6 +115,26 @@ def test_lateness_and_history(base):
     assert (s1["seller_orders"], s1["seller_late_rate"]) == (4, 0.0)
 
 
+def test_facts_do_not_move_to_meet_customers(tables):
+    """Customers have their history before orders meet them; only sellers meet the wide facts."""
+    plan = build_order_base(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_seller_id#" in plan and "_customer_id#" not in plan
+    assert "payment_types#" in plan
+
+
+def test_history_of_a_repeated_customer(tables, base):
+    twice = tables["customers"].unionByName(tables["customers"].where("customer_id = 'c1'"))
+    found = build_order_base({**tables, "customers": twice})
+    assert found.columns == base.columns
+    assert found.where("order_id = 'o1'").count() == 6  # three reviews, two rows of c1
+    c1 = found.where("order_id = 'o2'").first()
+    assert (c1["customer_orders"], c1["customer_late_rate"]) == (8, 0.25)
+    # c9 has orders but no row among the customers.
+    c9 = found.where("order_id = 'o5'").first()
+    assert (c9["customer_state"], c9["customer_orders"], c9["customer_late_rate"]) == (None, 1, 0.0)
+    assert found.where("order_id = 'o3'").first()["customer_orders"] is None
+
+
 def test_places(base):
     o1 = base.where("order_id = 'o1'").first()
     assert (o1["customer_lat"], o1["customer_lng"]) == (-23.5, -46.5)
