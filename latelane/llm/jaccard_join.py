@@ -107,17 +107,21 @@ def _class_scan(docs: DataFrame, seed: int, ranges: int) -> DataFrame:
             nonlocal size
             if size:
                 keys = np.array([k for k, _ in held], np.int64)
-                owner = np.repeat(np.arange(len(held)), [len(t) for _, t in held])
+                owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for _, t in held])
                 tokens = np.concatenate([t for _, t in held])
+                held.clear()  # the arrays are let go as soon as they are used
                 order = np.argsort(tokens, kind="stable")
                 tokens, owner = tokens[order], owner[order]
-                new = np.r_[True, tokens[1:] != tokens[:-1]]
-                start = np.flatnonzero(new)
-                shared = np.diff(np.r_[start, len(tokens)]) > 1
-                here = np.bincount(owner, np.repeat(shared, np.diff(np.r_[start, len(tokens)])), len(keys))
+                del order
+                start = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+                lengths = np.diff(np.r_[start, len(tokens)])
+                shared = lengths > 1
+                here = np.bincount(owner[np.repeat(shared, lengths)], minlength=len(keys))
+                del lengths
                 for i in np.flatnonzero(here):
                     yield int(keys[i]) % ranges, 1, None, 0, 0, int(keys[i]), 0, int(here[i]), None, None
-                tokens, owners = tokens[start], np.where(shared, -1, owner[start])
+                tokens, owners = tokens[start], np.where(shared, np.int32(-1), owner[start])
+                del owner, start, shared
                 part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
                 cuts = np.searchsorted(part, np.arange(ranges + 1))
                 for r in range(ranges):

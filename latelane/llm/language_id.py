@@ -37,6 +37,7 @@ from functools import cache
 from itertools import repeat
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from latelane.llm.common import add_columns, cleared, map_rows, written
@@ -51,9 +52,9 @@ MIN_CALIBRATION = 200  # rows of a length class below which those of the next le
 TAIL = 0.1  # share of calibration rows that the smoothed tail stands for
 PRIOR_EXCESS = 0.5  # nats per character, as one more row of the tail: a margin where rows are few
 CELL = 0.005  # nats per character of a calibration histogram's cell
-COUNTED_WORDS = 300_000  # distinct words a task counts before it turns them into n-grams
-HELD_GRAMS = 2_000_000  # n-grams a task sums before it passes them on
-KNOWN_WORDS = 300_000  # words whose sums a task remembers
+COUNTED_WORDS = 60_000  # distinct words a task counts before it turns them into n-grams
+HELD_GRAMS = 500_000  # n-grams a task sums before it passes them on
+KNOWN_WORDS = 100_000  # words whose sums a task remembers
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACE = 32
@@ -216,6 +217,12 @@ class Model:
     single: DataFrame | None = None  # gram, p
     unseen: list[float] = field(default_factory=list)  # p of a character not seen, by language
     calibration: dict[tuple[int, int], Tail] = field(default_factory=dict)
+    shared: list[Broadcast] = field(default_factory=list)  # scorers that executors hold
+
+    def release(self) -> None:
+        """Executors drop their scorers; rows scored but not written are scored with them again."""
+        while self.shared:
+            self.shared.pop().unpersist()
 
 
 def train(docs: DataFrame) -> Model:
@@ -423,6 +430,7 @@ def _scored(docs: DataFrame, model: Model, grams: DataFrame | None = None, witho
     hot, complete = _hot(scores)
     scorer = Scorer(Model(model.langs), hot)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by HOT_WORDS
+    model.shared.append(shared)
 
     def make():
         return shared.value.sums  # words known from earlier tasks of the process stay known
@@ -550,6 +558,7 @@ def recognised(docs: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     grams = counts.groupBy("gram").agg(F.sum("n").alias("n"))
     without = [c for c in ("text", "lang") if c not in columns]
     scored = written(_scored(rows, model, grams, without), "scored")
+    model.release()
     _calibrated(scored.where((F.col("_part") == CALIBRATION) & F.col("entropy").isNotNull()), model)
     return _judged(scored, model, columns)
 

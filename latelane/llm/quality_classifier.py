@@ -45,7 +45,7 @@ EVALUATIONS, TOLERANCE, MEMORY = 60, 1e-5, 10  # of the loss, of its relative de
 FIT_PARTITIONS = 32  # tasks of an evaluation at most; each returns a gradient
 GOOD_LOST = 0.002
 FOLDS, HELD_OUT = 5, 0
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SYMBOL = re.compile(r"[#*$%&|<>@{}\[\]=~^\\]")
